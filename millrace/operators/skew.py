@@ -32,9 +32,18 @@ class GroupSizes:
         return self.hot > 0
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all ``keys``: a null key is a group like any other."""
-    return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
+def match(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False
+) -> DataFrame:
+    """Join on null-safe equality of ``keys``: a null key is a group like any other.
+
+    ``right`` may be derived from ``left``; its key columns do not appear in the
+    result. ``small`` broadcasts ``right``: for callers that have checked its size.
+    """
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    condition = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    joined = left.join(F.broadcast(renamed) if small else renamed, condition, how)
+    return joined.drop(*[f"__right_{k}" for k in keys])
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> GroupSizes:
@@ -67,10 +76,8 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows of the groups within ``limit``, rows of the larger ones."""
     hot = hot_keys(df, keys, sizes.limit)
-    if sizes.hot <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    condition = same(df, hot, keys)
-    return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
+    small = sizes.hot <= BROADCAST_ROWS
+    return match(df, hot, keys, "left_anti", small), match(df, hot, keys, "left_semi", small)
 
 
 def salted(hot: DataFrame, sizes: GroupSizes) -> DataFrame:

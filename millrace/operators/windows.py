@@ -67,11 +67,7 @@ def _stitch(placed: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFr
     ``totals`` has one row per (group, piece). Pieces are consecutive ranges, so
     that is at most hot groups + pieces rows, checked before the broadcast.
     """
-    small = skew.broadcast_if_small(totals)
-    return placed.join(small, skew.same(placed, small, [*keys, _PIECE]), "left").select(
-        *[placed[c] for c in placed.columns],
-        *[small[c] for c in small.columns if c not in (*keys, _PIECE)],
-    )
+    return skew.match(placed, totals, [*keys, _PIECE], "left", skew.fits(totals))
 
 
 def number_rows(
@@ -166,8 +162,8 @@ def rank_rows(
     steps = {"__upto": F.col("__ties"), dense_rank: F.lit(1).cast("long")}
     value_sizes = skew.group_sizes(values, keys, sizes.limit)
     ranked = running(values, keys, columns, steps, value_sizes).withColumn(rank, F.col("__upto") - F.col("__ties") + 1)
-    return df.join(ranked, skew.same(df, ranked, [*keys, *order])).select(
-        *[df[c] for c in df.columns], ranked[rank], ranked[dense_rank]
+    return skew.match(df, ranked.drop("__ties", "__upto"), [*keys, *order]).select(
+        *df.columns, rank, dense_rank
     )
 
 
@@ -291,9 +287,7 @@ def group_totals(
     if not sizes.any_hot:
         return df.withColumns({out: c.over(Window.partitionBy(*keys)) for out, c in totals.items()})
     per_group = df.groupBy(*keys).agg(*[c.alias(out) for out, c in totals.items()])
-    return df.join(per_group, skew.same(df, per_group, keys)).select(
-        *[df[c] for c in df.columns], *[per_group[out] for out in totals]
-    )
+    return skew.match(df, per_group, keys)
 
 
 def ends(

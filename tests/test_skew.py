@@ -1,0 +1,139 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import aggregates, placing, skew
+from millrace.functions import user_defined
+
+
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    rows = [(None if i % 4 == 0 else "big" if i % 4 < 3 else f"k{i % 50}", i % 7) for i in range(400)]
+    return spark.createDataFrame(rows, "k string, v long").repartition(4).cache()
+
+
+def test_group_sizes(lopsided):
+    found = skew.group_sizes(lopsided, ["k"], 50)
+    assert (found.rows, found.largest, found.hot) == (400, 200, 2)
+    assert not skew.group_sizes(lopsided, ["k"], 200).any_hot
+
+
+def test_group_sizes_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string")
+    assert skew.group_sizes(empty, ["k"]).rows == 0
+
+
+def test_split_hot_keeps_every_row_and_null_groups(lopsided):
+    found = skew.group_sizes(lopsided, ["k"], 50)
+    cold, hot = skew.split_hot(lopsided, ["k"], found)
+    assert cold.count() == 100 and hot.count() == 300
+    assert hot.filter(F.col("k").isNull()).count() == 100
+
+
+def test_salted_spreads_copies(lopsided):
+    copies = lopsided.select(F.lit("x").alias("k"))
+    found = skew.group_sizes(copies, ["k"], 50)
+    dealt = skew.salted(copies, found)
+    assert dealt.count() == 400
+    assert dealt.groupBy(skew.SALT).count().agg(F.max("count")).first()[0] <= 80
+
+
+def test_broadcast_needs_a_small_table(spark):
+    small, large = spark.range(10), spark.range(11)
+    assert skew.fits(small, 10) and not skew.fits(large, 10)
+    plan = skew.broadcast_if_small(large, 10)
+    assert plan is large
+
+
+def _partitions(df, key):
+    return df.withColumn("p", F.spark_partition_id()).groupBy(key).agg(F.count_distinct("p").alias("p"))
+
+
+def test_distribute_places_equal_keys_together(lopsided, rows):
+    placed = placing.distribute(lopsided, ["k"])
+    assert _partitions(placed, "k").agg(F.max("p")).first()[0] == 1
+    assert rows(placed) == rows(lopsided)
+
+
+def test_distribute_spreads_hot_keys_only(spark, lopsided, rows):
+    # Tiny partitions would be merged again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _check_spread(lopsided, rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def _check_spread(lopsided, rows):
+    found = skew.group_sizes(lopsided, ["k"], 50)
+    placed = placing.distribute(lopsided, ["k"], found)
+    spread = {r["k"]: r["p"] for r in _partitions(placed, "k").collect()}
+    assert spread["big"] > 1
+    assert all(n == 1 for k, n in spread.items() if k not in ("big", None))
+    assert rows(placed) == rows(lopsided)
+
+
+def test_cluster_sorts_each_partition(lopsided):
+    clustered = placing.cluster(lopsided, ["k"])
+    for part in clustered.rdd.glom().collect():
+        keys = [("" if r["k"] is None else r["k"]) for r in part]
+        assert keys == sorted(keys)
+
+
+def test_sort_within_does_not_shuffle(lopsided):
+    plan = placing.sort_within(lopsided, [F.col("v")])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" in plan and plan.count("Exchange") == plan.count("Exchange RoundRobin")
+
+
+def test_grouped_python_is_the_same_when_salted(lopsided):
+    plain = user_defined.geometric_mean(lopsided, ["k"], "v", "m")
+    found = skew.group_sizes(lopsided, ["k"], 30)
+    split = user_defined.geometric_mean(lopsided, ["k"], "v", "m", found)
+    want = {r["k"]: r["m"] for r in plain.collect()}
+    have = {r["k"]: r["m"] for r in split.collect()}
+    assert have.keys() == want.keys()
+    for k in want:
+        assert have[k] == pytest.approx(want[k])
+
+
+def test_geometric_mean_without_positive_values(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", None), ("b", 4.0), ("b", 9.0)], "k string, v double")
+    found = {r["k"]: r["m"] for r in user_defined.geometric_mean(df, ["k"], "v", "m").collect()}
+    assert found["a"] is None and found["b"] == pytest.approx(6.0)
+
+
+def test_first_and_last_with_nulls(spark):
+    df = spark.createDataFrame(
+        [("a", 1, None), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, None), ("b", 1, None)],
+        "k string, at int, v string",
+    )
+    order = [F.col("at")]
+    found = df.groupBy("k").agg(
+        aggregates.first(F.col("v"), order).alias("f"),
+        aggregates.last(F.col("v"), order).alias("l"),
+        aggregates.first(F.col("v"), order, ignore_nulls=True).alias("fi"),
+        aggregates.last(F.col("v"), order, ignore_nulls=True).alias("li"),
+    )
+    assert {tuple(r) for r in found.collect()} == {
+        ("a", None, None, "x", "y"),
+        ("b", None, None, None, None),
+    }
+
+
+def test_reduce_script_merges_batches(spark, lopsided, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = rows(user_defined.reduce_script(lopsided, ["k"], "v"), "k", "total", "rows")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lopsided.groupBy("k").agg(F.sum("v").cast("double"), F.count("*"))
+    assert found == rows(want)
+
+
+def test_vowels_and_lines(spark):
+    df = spark.createDataFrame([("Aeiou xyz\nb",), ("",), (None,)], "text string")
+    counted = df.select(user_defined.vowel_count("text").alias("n")).collect()
+    assert [r["n"] for r in counted] == [5, 0, None]
+    spark.udtf.register("split_lines", user_defined.SplitLines)
+    df.createOrReplaceTempView("texts")
+    lines = spark.sql("SELECT line_no, line FROM texts, LATERAL split_lines(text)").collect()
+    assert sorted(map(tuple, lines)) == [(0, ""), (0, "Aeiou xyz"), (1, "b")]
