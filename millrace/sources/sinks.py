@@ -50,7 +50,7 @@ def insert_into(df: DataFrame, table: str, spec: PartitionSpec | None = None) ->
 
     Columns given a value in ``spec`` are taken from it rather than from ``df``.
     """
-    _laid_out(df, table, spec).write.insertInto(table, overwrite=False)
+    _insert("INTO", df, table, spec)
 
 
 def insert_overwrite(
@@ -58,34 +58,45 @@ def insert_overwrite(
     table: str,
     spec: PartitionSpec | None = None,
     if_not_exists: bool = False,
+    mode: str = "dynamic",
 ) -> None:
-    """``INSERT OVERWRITE TABLE table PARTITION (spec) [IF NOT EXISTS]``.
+    """``INSERT OVERWRITE TABLE table [PARTITION (spec) [IF NOT EXISTS]]``.
 
-    Only the partitions the new rows fall in are replaced; the others stay. With
-    ``if_not_exists`` (every partition column needs a value then) nothing is
-    written when the partition is already there.
+    Without a spec the whole table is replaced, and with a value for every column
+    that one partition. A spec with open columns replaces, in ``dynamic`` mode, the
+    partitions the new rows fall in, and in ``static`` mode (Spark's default) every
+    partition that agrees with the values given. ``if_not_exists`` needs a value
+    for every column and writes nothing when the partition is there.
     """
-    if if_not_exists:
-        if not spec or any(v is None for v in spec.values()):
-            raise ValueError("IF NOT EXISTS needs a value for every partition column")
-        if not df.sparkSession.table(table).filter(matches(spec)).isEmpty():
-            return
-    # insertInto takes the overwrite mode from the session, not from write options.
+    if if_not_exists and (not spec or any(v is None for v in spec.values())):
+        raise ValueError("IF NOT EXISTS needs a value for every partition column")
     conf, setting = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
     before = conf.get(setting)
-    conf.set(setting, "dynamic")
+    conf.set(setting, mode if spec else "static")
     try:
-        _laid_out(df, table, spec).write.insertInto(table, overwrite=True)
+        _insert("OVERWRITE", df, table, spec, "IF NOT EXISTS" if if_not_exists else "")
     finally:
         conf.set(setting, before)
 
 
-def _laid_out(df: DataFrame, table: str, spec: PartitionSpec | None) -> DataFrame:
-    fixed = {c: F.lit(v) for c, v in (spec or {}).items() if v is not None}
-    columns = df.sparkSession.table(table).schema
-    return df.withColumns(fixed).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns]
-    )
+def _insert(
+    verb: str, df: DataFrame, table: str, spec: PartitionSpec | None, condition: str = ""
+) -> None:
+    spark = df.sparkSession
+    spec = spec or {}
+    fixed = {c for c, v in spec.items() if v is not None}
+    columns = [f for f in spark.table(table).schema if f.name not in fixed]
+    rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
+    clause = ", ".join(f"`{c}`" + (f" = {_literal(v)}" if c in fixed else "") for c, v in spec.items())
+    clause = clause.replace("{", "{{").replace("}", "}}")  # not a placeholder
+    partition = f"PARTITION ({clause}) {condition}" if spec else ""
+    spark.sql(f"INSERT {verb} TABLE {table} {partition} SELECT * FROM {{rows}}", rows=rows)
+
+
+def _literal(value: Any) -> str:
+    """A partition value as a quoted SQL string, which Spark casts to the column."""
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
 
 
 def write_directory(

@@ -1,0 +1,90 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import sampling
+
+
+def test_percent_size_and_seed(spark):
+    df = spark.range(20_000)
+    n = sampling.percent(df, 10, seed=3).count()
+    assert abs(n - 2000) <= 4 * math.sqrt(20_000 * 0.1 * 0.9)
+    first = sampling.percent(df, 10, seed=3).agg(F.sum("id")).first()
+    assert first == sampling.percent(df, 10, seed=3).agg(F.sum("id")).first()
+
+
+@pytest.mark.parametrize("share,n", [(0, 0), (100, 50)])
+def test_percent_bounds(spark, share, n):
+    assert sampling.percent(spark.range(50), share, seed=1).count() == n
+
+
+@pytest.mark.parametrize("share", [-1, 100.5])
+def test_percent_refused(spark, share):
+    with pytest.raises(ValueError):
+        sampling.percent(spark.range(5), share)
+
+
+def test_rows(spark, rows):
+    df = spark.range(10)
+    assert rows(sampling.rows(df, 3, [F.col("id").desc()])) == [(7,), (8,), (9,)]
+    assert sampling.rows(df, 0, [F.col("id")]).count() == 0
+    with pytest.raises(ValueError):
+        sampling.rows(df, -1, [F.col("id")])
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_buckets_split_the_table(spark, kind):
+    df = spark.range(-50, 50).select(F.col("id").cast(kind).alias("v"))
+    parts = [sampling.bucket(df, x, 7, on="v") for x in range(1, 8)]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionAll(part)
+    assert union.count() == 100 and union.distinct().count() == 100
+
+
+def test_bucket_of_integers_is_by_value(spark, rows):
+    df = spark.createDataFrame([(-1,), (0,), (4,), (None,)], "v int")
+    assert rows(sampling.bucket(df, 5, 5, on="v")) == [(-1,), (4,)]
+
+
+def test_random_buckets_split_the_table(spark):
+    df = spark.range(1000)
+    counts = [sampling.bucket(df, x, 4, seed=5).count() for x in range(1, 5)]
+    assert sum(counts) == 1000 and min(counts) > 150
+
+
+@pytest.mark.parametrize("x,y", [(0, 3), (4, 3)])
+def test_bucket_refused(spark, x, y):
+    with pytest.raises(ValueError):
+        sampling.bucket(spark.range(5), x, y, on="id")
+
+
+def test_byte_sizes():
+    assert sampling.size_in_bytes("100M") == 104857600
+    assert sampling.size_in_bytes("3b") == 3 and sampling.size_in_bytes("2G") == 2 * 1024**3
+    for bad in ("", "M", "-1K", "5", "1.5M"):
+        with pytest.raises(ValueError):
+            sampling.size_in_bytes(bad)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 9, 10, 11, 499, 5000, 10**9])
+def test_first_bytes_is_the_longest_prefix(spark, budget):
+    # Sparse, uneven identifiers; one has a third of the bytes, one occurs twice.
+    sizes = {-7_000_000_000: 10, 0: 1, 3: 400, 4: 2, 1000: 7, 5_000_000: 5, 9_000_000_000: 9}
+    data = [(k, n) for k, n in sizes.items()] + [(4, 2)]
+    df = spark.createDataFrame(data, "id long, n long")
+    found = sorted(r["id"] for r in sampling.first_bytes(df, budget, F.col("n"), "id").collect())
+    want, spent = [], 0
+    for key in sorted(sizes):
+        group = [k for k, _ in data if k == key]
+        spent += sum(n for k, n in data if k == key)
+        if spent > budget:
+            break
+        want += group
+    assert found == want
+
+
+def test_first_bytes_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, n long")
+    assert sampling.first_bytes(empty, "1K", F.col("n"), "id").count() == 0
