@@ -69,7 +69,8 @@ def in_range(
     A join on inequalities alone compares every pair of rows. Both sides get the
     number of the ``width``-wide bucket they fall in, a range one row per bucket
     it touches, and Spark joins on equal buckets; the inequalities then decide.
-    Choose ``width`` near the typical length of a range.
+    Choose ``width`` near the typical length of a range. Few enough ranges are
+    broadcast and the points stay where they are.
     """
     bucketed = points.withColumn("__bucket", F.expr(f"floor(`{at}` / {width})"))
     covered = ranges.filter(F.col(low) < F.col(high)).withColumn(
@@ -77,7 +78,7 @@ def in_range(
         F.explode(F.expr(f"sequence(floor(`{low}` / {width}), floor((`{high}` - 1) / {width}))")),
     )
     return (
-        bucketed.join(covered, "__bucket")
+        bucketed.join(skew.broadcast_if_small(covered), "__bucket")
         .filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
         .drop("__bucket")
     )

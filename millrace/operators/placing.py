@@ -9,18 +9,24 @@ from pyspark.sql import Column, DataFrame
 from millrace.operators import skew
 
 
-def distribute(df: DataFrame, keys: Sequence[str], sizes: skew.GroupSizes | None = None) -> DataFrame:
+def distribute(
+    df: DataFrame,
+    keys: Sequence[str],
+    sizes: skew.GroupSizes | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
     """``DISTRIBUTE BY keys``: rows with equal keys go to the same partition.
 
     A group above the row limit cannot be held by one task; the rows of such
     groups alone are spread with a salt, as many ways as their size asks for.
     """
     sizes = sizes or skew.group_sizes(df, keys)
+    into = [] if partitions is None else [partitions]
     if not sizes.any_hot:
-        return df.repartition(*keys)
+        return df.repartition(*into, *keys)
     cold, hot = skew.split_hot(df, keys, sizes)
-    return cold.repartition(*keys).unionByName(
-        skew.salted(hot, sizes).repartition(*keys, skew.SALT).drop(skew.SALT)
+    return cold.repartition(*into, *keys).unionByName(
+        skew.salted(hot, sizes).repartition(*into, *keys, skew.SALT).drop(skew.SALT)
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators import skew
 
 
 def union_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -20,6 +23,48 @@ def except_(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.distinct().subtract(right.distinct())
 
 
+def intersect_all(left: DataFrame, right: DataFrame, limit: int = skew.TASK_ROWS) -> DataFrame:
+    """``INTERSECT ALL``: every row as often as both sides have it."""
+    return _repeat(left, _counted(left, right), F.least("__left", "__right"), limit)
+
+
+def except_all(left: DataFrame, right: DataFrame, limit: int = skew.TASK_ROWS) -> DataFrame:
+    """``EXCEPT ALL``: every row as often as ``left`` has it more than ``right``."""
+    return _repeat(left, _counted(left, right), F.col("__left") - F.col("__right"), limit)
+
+
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of both sides with how often each side has them."""
+    tagged = left.withColumn("__side", F.lit(1)).unionAll(
+        right.toDF(*left.columns).withColumn("__side", F.lit(0))
+    )
+    return tagged.groupBy(*left.columns).agg(
+        F.sum("__side").alias("__left"), F.sum(1 - F.col("__side")).alias("__right")
+    )
+
+
+def _repeat(left: DataFrame, counted: DataFrame, times: Column, limit: int) -> DataFrame:
+    """Each row ``times`` over.
+
+    Spark's own plan emits all copies of a row from one task. Here one task emits
+    ``limit`` of them at most; what goes beyond, for rows that have so many copies,
+    is dealt out to other tasks in portions.
+    """
+    wanted = counted.select(*left.columns, times.alias("__n")).filter(F.col("__n") > 0)
+    portion = F.least(F.lit(limit), F.col("__n") - F.col("__portion") * limit).cast("int")
+    first = wanted.withColumn("__portion", F.lit(0).cast("long"))
+    others = (
+        wanted.filter(F.col("__n") > limit)
+        .withColumn("__portion", F.explode(F.expr(f"sequence(1L, (__n - 1) div {limit})")))
+        .repartition(*left.columns, "__portion")
+    )
+    return (
+        first.unionAll(others)
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), portion)))
+        .select(*left.columns)
+    )
+
+
 class Chain:
     """A chain of set operations of equal precedence, applied left to right.
 
@@ -40,10 +85,10 @@ class Chain:
         return Chain(intersect(self.df, other))
 
     def intersect_all(self, other: DataFrame) -> Chain:
-        return Chain(self.df.intersectAll(other))
+        return Chain(intersect_all(self.df, other))
 
     def except_(self, other: DataFrame) -> Chain:
         return Chain(except_(self.df, other))
 
     def except_all(self, other: DataFrame) -> Chain:
-        return Chain(self.df.exceptAll(other))
+        return Chain(except_all(self.df, other))

@@ -74,8 +74,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> Data
 def split_hot(
     df: DataFrame, keys: Sequence[str], sizes: GroupSizes
 ) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two: rows of the groups within ``limit``, rows of the larger ones."""
-    hot = hot_keys(df, keys, sizes.limit)
+    """``df`` in two: rows of the groups within the limit, rows of the larger ones."""
+    hot = materialise(hot_keys(df, keys, sizes.limit), "hot-keys")
     small = sizes.hot <= BROADCAST_ROWS
     return match(df, hot, keys, "left_anti", small), match(df, hot, keys, "left_semi", small)
 

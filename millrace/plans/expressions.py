@@ -6,7 +6,7 @@ bad input it says so with a ``try_`` function.
 
 from pyspark.sql import functions as F
 
-from millrace.functions import user_defined
+from millrace.functions import casting, user_defined
 from millrace.plans.registry import query
 
 
@@ -112,7 +112,7 @@ def cast_types(t):
         "o_orderkey",
         F.col("o_orderkey").cast("string").alias("text"),
         F.col("o_totalprice").cast("bigint").alias("whole"),
-        F.substring(priority, 1, 2).try_cast("int").alias("not_a_number"),
+        casting.whole_number(F.substring(priority, 1, 2)).alias("not_a_number"),
         F.substring(priority, 1, 1).cast("tinyint").alias("priority"),
         F.col("o_custkey").cast("float").alias("single"),
         (F.col("o_custkey") % 2).cast("boolean").alias("odd"),
@@ -366,6 +366,16 @@ def udf_scalar(t):
     return t.documents.select("doc_id", user_defined.vowel_count("text").alias("vowels"))
 
 
+@query(
+    "udf_scalar_pandas",
+    """SELECT l_orderkey, l_linenumber,
+              round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charged FROM lineitem""",
+)
+def udf_scalar_pandas(t):
+    charged = user_defined.with_tax("l_extendedprice", "l_discount", "l_tax")
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(charged, 6).alias("charged"))
+
+
 @query(
     "udaf_grouped",
     """SELECT l_returnflag, l_linestatus, round(exp(avg(ln(l_quantity))), 6) AS typical

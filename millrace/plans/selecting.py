@@ -255,7 +255,7 @@ def intersect(t):
 @query("intersect_all", f"{_CUSTOMER} INTERSECT ALL {_SUPPLIER}")
 def intersect_all(t):
     customer, supplier, _ = _nations(t)
-    return customer.intersectAll(supplier)
+    return sets.intersect_all(customer, supplier)
 
 
 @query(
@@ -273,7 +273,7 @@ def except_(t):
 @query("except_all", f"{_CUSTOMER} EXCEPT ALL {_SUPPLIER}")
 def except_all(t):
     customer, supplier, _ = _nations(t)
-    return customer.exceptAll(supplier)
+    return sets.except_all(customer, supplier)
 
 
 @query(

@@ -110,25 +110,24 @@ def multi_insert(t):
 )
 def create_bucketed(t):
     left, right = fresh_name("orders_by_key"), fresh_name("lines_by_key")
-    # A task writes one file per bucket it meets; shuffled to buckets first, each
-    # bucket is a single sorted file.
+    buckets = sinks.bucket_count(t.lineitem.count())
     orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
     a = sinks.create_table(
-        orders.repartition(16, "o_orderkey"),
+        orders,
         left,
         fresh_path(t.spark, left),
         partition_by=["o_orderstatus"],
         bucket_by=["o_orderkey"],
-        buckets=16,
+        buckets=buckets,
         sort_by=["o_orderkey"],
     )
     b = sinks.create_table(
-        lines.repartition(16, "l_orderkey"),
+        lines,
         right,
         fresh_path(t.spark, right),
         bucket_by=["l_orderkey"],
-        buckets=16,
+        buckets=buckets,
         sort_by=["l_orderkey"],
     )
     return a.join(b.filter(F.col("l_quantity") > 40), a["o_orderkey"] == b["l_orderkey"]).select(

@@ -18,6 +18,10 @@ RUNTIME_CONF = {
     "spark.sql.parquet.mergeSchema": "false",
     "spark.sql.hive.metastorePartitionPruning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State of a stream lives on disk next to the executor, not on its heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

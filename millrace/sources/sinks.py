@@ -10,9 +10,22 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import placing
+
+ROWS_PER_BUCKET = 8_000_000
+
 PartitionSpec = Mapping[str, Any]  # column -> value, or None for "any value"
 
 
+def bucket_count(rows: int, least: int = 8) -> int:
+    """Buckets for a table of so many rows: a power of two, so that tables of
+    different sizes still have bucket counts that divide each other."""
+    buckets = least
+    while buckets * ROWS_PER_BUCKET < rows:
+        buckets *= 2
+    return buckets
+
+
 def create_table(
     df: DataFrame,
     name: str,
@@ -26,8 +39,11 @@ def create_table(
     """``CREATE TABLE … USING provider PARTITIONED BY … CLUSTERED BY … LOCATION path AS``.
 
     Returns the table. Two tables bucketed alike on a key join on it without a
-    shuffle.
+    shuffle. Rows are shuffled to their buckets first, so that a bucket is one
+    sorted file; only a bucket with a hot key is written by several tasks.
     """
+    if bucket_by:
+        df = placing.distribute(df, bucket_by, partitions=buckets)
     writer = df.write.format(provider).option("path", path).mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

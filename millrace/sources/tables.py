@@ -22,6 +22,11 @@ class Tables:
     def location(self, name: str) -> str:
         return f"{self.path}/{name}.parquet"
 
+    def register(self) -> None:
+        """Make every table a temporary view, for plain SQL text over them."""
+        for name in TABLE_NAMES:
+            self.view(name)
+
     def view(self, name: str, as_name: str | None = None) -> str:
         """Register the table for SQL text and return the view's name."""
         as_name = as_name or name

@@ -95,8 +95,9 @@ def test_set_operations_on_repeats_and_nulls(spark):
     assert bag(sets.union_distinct(a, b)) == Counter({1, 2, 3, 4, None})
     assert bag(sets.intersect(a, b)) == Counter({1, 3, None})
     assert bag(sets.except_(a, b)) == Counter({2})
-    assert bag(a.intersectAll(b)) == Counter(A) & Counter(B)
-    assert bag(a.exceptAll(b)) == Counter(A) - Counter(B)
+    for limit in (1000, 2, 1):
+        assert bag(sets.intersect_all(a, b, limit)) == Counter(A) & Counter(B)
+        assert bag(sets.except_all(a, b, limit)) == Counter(A) - Counter(B)
 
 
 def test_chain_goes_left_to_right(spark, rows):
