@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import skew
 
 
 def cross(left: DataFrame, right: DataFrame, rows: int = 1000) -> DataFrame:
-    """``left CROSS JOIN right`` for a right side of a few rows.
+    """``left CROSS JOIN right``, meant for a right side of a few rows.
 
-    The result has ``left`` times ``right`` rows, so a right side past ``rows`` is
-    refused rather than multiplied out.
+    Up to ``rows`` rows go to every task once and ``left`` stays in place. Beyond
+    that Spark pairs up partitions of both sides: exact, but as large as it sounds.
     """
-    if not skew.fits(right, rows):
-        raise ValueError(f"cross join needs a right side of at most {rows} rows")
-    return left.crossJoin(F.broadcast(right))
+    return left.crossJoin(skew.broadcast_if_small(right, rows))
 
 
-def full(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = skew.TASK_ROWS
+def outer(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    how: str = "full",
+    limit: int = skew.TASK_ROWS,
 ) -> DataFrame:
-    """``left FULL OUTER JOIN right USING (keys)``.
+    """``left LEFT / RIGHT / FULL JOIN right ON`` equal columns, all columns kept.
 
-    Spark splits skewed partitions of every join but the full outer one. When a
-    key is hot on either side the join is put together from an inner join (split
-    by AQE) and the unmatched rows of each side (anti joins on distinct keys).
+    ``on`` maps columns of ``left`` to columns of ``right``; names must differ. AQE
+    splits a skewed partition only on the preserved side of an outer join and, in
+    a full one, on neither. When a key is hot on such a side the join is put
+    together from an inner join, which AQE splits on both sides, and the rows
+    without a partner, found by anti joins on distinct keys.
     """
-    keys = list(keys)
-    hot = any(skew.group_sizes(side, keys, limit).any_hot for side in (left, right))
-    if not hot:
-        return left.join(right, keys, "full")
-    left_only = left.join(right.select(keys).distinct(), keys, "left_anti")
-    right_only = right.join(left.select(keys).distinct(), keys, "left_anti")
-    return (
-        left.join(right, keys, "inner")
-        .unionByName(left_only, allowMissingColumns=True)
-        .unionByName(right_only, allowMissingColumns=True)
+    pairs = list(on.items())
+    keys, partners = [a for a, _ in pairs], [b for _, b in pairs]
+    condition = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in pairs])
+    exposed = {"left": [(right, partners)], "right": [(left, keys)]}
+    exposed["full"] = exposed["left"] + exposed["right"]
+    if not any(skew.group_sizes(side, by, limit).any_hot for side, by in exposed[how]):
+        return left.join(right, condition, how)
+    result = left.join(right, condition, "inner")
+    if how in ("left", "full"):
+        alone = left.join(right.select(*partners).distinct(), condition, "left_anti")
+        result = result.unionByName(alone, allowMissingColumns=True)
+    if how in ("right", "full"):
+        alone = right.join(left.select(*keys).distinct(), condition, "left_anti")
+        result = result.unionByName(alone, allowMissingColumns=True)
+    return result
+
+
+def full_using(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], limit: int = skew.TASK_ROWS
+) -> DataFrame:
+    """``left FULL OUTER JOIN right USING (keys)``: one column per key."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    joined = outer(left, renamed, {k: f"__right_{k}" for k in keys}, "full", limit)
+    return joined.select(
+        *[F.coalesce(k, f"__right_{k}").alias(k) for k in keys],
+        *[c for c in joined.columns if c not in keys and not c.startswith("__right_")],
     )
 
 
@@ -77,8 +98,9 @@ def in_range(
         "__bucket",
         F.explode(F.expr(f"sequence(floor(`{low}` / {width}), floor((`{high}` - 1) / {width}))")),
     )
+    covered, small = skew.small_copy(covered)
     return (
-        bucketed.join(skew.broadcast_if_small(covered), "__bucket")
+        bucketed.join(F.broadcast(covered) if small else covered, "__bucket")
         .filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
         .drop("__bucket")
     )

@@ -99,3 +99,12 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its size allows, else leave the join to Spark."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def small_copy(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` and whether it is small, for a ``df`` that is costly to compute twice.
+
+    The check writes out the rows it reads, and a small ``df`` is that copy.
+    """
+    head = materialise(df.limit(rows + 1), "small")
+    return (head, True) if head.count() <= rows else (df, False)

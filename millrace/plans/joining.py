@@ -59,7 +59,7 @@ def join_theta_residual(t):
 )
 def join_left(t):
     big = t.orders.filter(F.col("o_totalprice") > 300000)
-    return t.customer.join(big, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return joins.outer(t.customer, big, {"c_custkey": "o_custkey"}, "left").select(
         "c_custkey", "o_orderkey"
     )
 
@@ -71,7 +71,7 @@ def join_left(t):
 )
 def join_right(t):
     bulk = t.lineitem.filter(F.col("l_quantity") > 48)
-    return bulk.join(t.part, F.col("l_partkey") == F.col("p_partkey"), "right").select(
+    return joins.outer(bulk, t.part, {"l_partkey": "p_partkey"}, "right").select(
         "l_linenumber", "p_partkey", "p_name"
     )
 
@@ -90,7 +90,7 @@ def join_full(t):
     done = t.orders.filter(F.col("o_orderstatus") == "F").select(
         F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey")
     )
-    return joins.full(rich, done, ["custkey"])
+    return joins.full_using(rich, done, ["custkey"])
 
 
 @query(

@@ -152,7 +152,9 @@ def case_when(t):
 )
 def subquery_in(t):
     big = t.orders.filter(F.col("o_totalprice") > 400000).select("o_custkey")
-    inside = t.customer.join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    inside = t.customer.join(
+        big.distinct(), F.col("c_custkey") == F.col("o_custkey"), "left_semi"
+    )
     outside = joins.not_in(t.customer, "c_custkey", big)
     return inside.select("c_custkey", F.lit("in").alias("side")).unionAll(
         outside.select("c_custkey", F.lit("not in").alias("side"))
@@ -167,11 +169,15 @@ def subquery_in(t):
                        AND l.l_returnflag = 'R')""",
 )
 def subquery_exists(t):
-    returned = t.lineitem.filter(F.col("l_returnflag") == "R")
-    matching = (returned["l_orderkey"] == t.orders["o_orderkey"]) & (
-        returned["l_shipdate"] > t.orders["o_orderdate"]
+    # Some line is later than the order exactly when the latest one is: one row per
+    # order is enough to ask.
+    latest = (
+        t.lineitem.filter(F.col("l_returnflag") == "R")
+        .groupBy("l_orderkey")
+        .agg(F.max("l_shipdate").alias("latest"))
     )
-    return t.orders.join(returned, matching, "left_semi").select("o_orderkey", "o_orderpriority")
+    matching = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("latest") > F.col("o_orderdate"))
+    return t.orders.join(latest, matching, "left_semi").select("o_orderkey", "o_orderpriority")
 
 
 @query(

@@ -44,15 +44,28 @@ def test_full_join_with_and_without_hot_keys(spark, rows, limit):
     )
     right = spark.createDataFrame([("k", 1), ("k", 2), (None, 3), ("r", 4)], "key string, b long")
     want = rows(left.join(right, "key", "full"))
-    assert rows(joins.full(left, right, ["key"], limit), "key", "a", "b") == want
+    assert rows(joins.full_using(left, right, ["key"], limit), "key", "a", "b") == want
     assert len(want) == 12 + 4
 
 
-def test_cross_is_bounded(spark):
+@pytest.mark.parametrize("limit", [1000, 3])
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_joins_with_and_without_hot_keys(spark, rows, how, limit):
+    left = spark.createDataFrame(
+        [("k", i) for i in range(6)] + [(None, 7), ("l", 8)], "lk string, a long"
+    )
+    right = spark.createDataFrame(
+        [("k", i) for i in range(5)] + [(None, 3), ("r", 4)], "rk string, b long"
+    )
+    want = rows(left.join(right, left["lk"] == right["rk"], how))
+    found = joins.outer(left, right, {"lk": "rk"}, how, limit)
+    assert rows(found, "lk", "a", "rk", "b") == want
+
+
+def test_cross(spark):
     left, right = spark.range(5).toDF("a"), spark.range(4).toDF("b")
-    assert joins.cross(left, right, 4).count() == 20
-    with pytest.raises(ValueError):
-        joins.cross(left, right, 3)
+    for bound in (4, 3):
+        assert joins.cross(left, right, bound).distinct().count() == 20
 
 
 def test_in_range_edges(spark, rows):
