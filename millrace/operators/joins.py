@@ -40,7 +40,10 @@ def outer(
     condition = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in pairs])
     exposed = {"left": [(right, partners)], "right": [(left, keys)]}
     exposed["full"] = exposed["left"] + exposed["right"]
-    if not any(skew.group_sizes(side, by, limit).any_hot for side, by in exposed[how]):
+    # Counting the sides together is one job, and no key can be hot in one of them
+    # without being hot in their sum.
+    joint = [side.select(*by).toDF(*keys) for side, by in exposed[how]]
+    if not skew.group_sizes(reduce(DataFrame.unionAll, joint), keys, limit).any_hot:
         return left.join(right, condition, how)
     result = left.join(right, condition, "inner")
     if how in ("left", "full"):
@@ -98,9 +101,8 @@ def in_range(
         "__bucket",
         F.explode(F.expr(f"sequence(floor(`{low}` / {width}), floor((`{high}` - 1) / {width}))")),
     )
-    covered, small = skew.small_copy(covered)
     return (
-        bucketed.join(F.broadcast(covered) if small else covered, "__bucket")
+        bucketed.join(skew.broadcast_if_small(covered), "__bucket")
         .filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
         .drop("__bucket")
     )

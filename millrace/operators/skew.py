@@ -8,14 +8,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.workdir import materialise
 
 # Rows of one group a single task is asked to sort or hold at most.
 TASK_ROWS = 4_000_000
-# Rows a table may have to be broadcast; anything larger is joined by shuffle.
+# Rows and bytes a table may have to be broadcast; what is larger is joined by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALT = "__salt"
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -91,20 +94,23 @@ def salted(hot: DataFrame, sizes: GroupSizes) -> DataFrame:
     return materialise(dealt, "salted")
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops reading one row past that."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when its size allows, else leave the join to Spark."""
-    return F.broadcast(df) if fits(df, rows) else df
+    ``take`` goes through the partitions until it has enough, so on a large table
+    this reads a few of them and gives up; only one number per row is fetched.
+    """
+    texts = [f.name for f in df.schema if not isinstance(f.dataType, _FIXED_WIDTH)]
+    fixed = F.lit(8 * (len(df.columns) - len(texts)))
+    width = fixed + F.octet_length(F.to_json(F.struct(*texts))) if texts else fixed
+    widths = [row[0] for row in df.select(width).take(rows + 1)]
+    return len(widths) <= rows and sum(widths) <= size
 
 
-def small_copy(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` and whether it is small, for a ``df`` that is costly to compute twice.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when its size allows, else leave the join to Spark.
 
-    The check writes out the rows it reads, and a small ``df`` is that copy.
+    ``df`` is computed for the check and again for the join: where that is costly,
+    pass a written table.
     """
-    head = materialise(df.limit(rows + 1), "small")
-    return (head, True) if head.count() <= rows else (df, False)
+    return F.broadcast(df) if fits(df, rows) else df

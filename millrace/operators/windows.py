@@ -67,8 +67,8 @@ def _stitch(placed: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFr
     ``totals`` has one row per (group, piece). Pieces are consecutive ranges, so
     that is at most hot groups + pieces rows, checked before the broadcast.
     """
-    totals, small = skew.small_copy(totals)
-    return skew.match(placed, totals, [*keys, _PIECE], "left", small)
+    totals = materialise(totals, "piece-totals")
+    return skew.match(placed, totals, [*keys, _PIECE], "left", skew.fits(totals))
 
 
 def number_rows(

@@ -6,10 +6,35 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLE_NAMES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Declared rather than inferred: a read then starts no job of its own.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+        " l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 class Tables:
@@ -24,7 +49,7 @@ class Tables:
 
     def register(self) -> None:
         """Make every table a temporary view, for plain SQL text over them."""
-        for name in TABLE_NAMES:
+        for name in SCHEMAS:
             self.view(name)
 
     def view(self, name: str, as_name: str | None = None) -> str:
@@ -36,12 +61,12 @@ class Tables:
 
 def _reader(name: str) -> cached_property:
     def read(self: Tables) -> DataFrame:
-        return self.spark.read.parquet(self.location(name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self.location(name))
 
     return cached_property(read)
 
 
-for _name in TABLE_NAMES:
+for _name in SCHEMAS:
     _prop = _reader(_name)
     _prop.__set_name__(Tables, _name)
     setattr(Tables, _name, _prop)

@@ -39,6 +39,8 @@ def test_salted_spreads_copies(lopsided):
 
 def test_broadcast_needs_a_small_table(spark):
     small, large = spark.range(10), spark.range(11)
+    wide = spark.range(10).withColumn("text", F.repeat(F.lit("x"), F.lit(1000)))
+    assert skew.fits(wide, 10) and not skew.fits(wide, 10, size=5000)
     assert skew.fits(small, 10) and not skew.fits(large, 10)
     plan = skew.broadcast_if_small(large, 10)
     assert plan is large
