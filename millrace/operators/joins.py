@@ -76,8 +76,8 @@ def not_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """
     (name,) = values.columns
     distinct = values.select(F.col(name).alias("__value")).distinct()
-    facts = distinct.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("__value").isNull()).alias("nulls")
+    facts = values.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(name).isNull()).alias("nulls")
     )
     undecided = facts.select(F.when(F.col("n") == 0, "all").when(F.col("nulls") > 0, "none"))
     kept = left.join(distinct, left[column] == F.col("__value"), "left_anti")

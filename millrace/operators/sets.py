@@ -25,11 +25,15 @@ def except_(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def intersect_all(left: DataFrame, right: DataFrame, limit: int = skew.TASK_ROWS) -> DataFrame:
     """``INTERSECT ALL``: every row as often as both sides have it."""
+    if right.count() <= limit:
+        return left.intersectAll(right)
     return _repeat(left, _counted(left, right), F.least("__left", "__right"), limit)
 
 
 def except_all(left: DataFrame, right: DataFrame, limit: int = skew.TASK_ROWS) -> DataFrame:
     """``EXCEPT ALL``: every row as often as ``left`` has it more than ``right``."""
+    if left.count() <= limit:
+        return left.exceptAll(right)
     return _repeat(left, _counted(left, right), F.col("__left") - F.col("__right"), limit)
 
 
@@ -46,8 +50,8 @@ def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
 def _repeat(left: DataFrame, counted: DataFrame, times: Column, limit: int) -> DataFrame:
     """Each row ``times`` over.
 
-    Spark's own plan emits all copies of a row from one task. Here one task emits
-    ``limit`` of them at most; what goes beyond, for rows that have so many copies,
+    Spark's own plan emits all copies of a row from one task, which serves while a
+    whole side is within ``limit``. Here one task emits ``limit`` of them at most; what goes beyond, for rows that have so many copies,
     is dealt out to other tasks in portions.
     """
     wanted = counted.select(*left.columns, times.alias("__n")).filter(F.col("__n") > 0)

@@ -26,7 +26,7 @@ class GroupSizes:
     """Sizes of the groups of some keys: all numbers, nothing per group."""
 
     rows: int
-    largest: int
+    largest: int  # at most this; exact when there are more rows than the limit
     hot: int  # groups above the limit
     limit: int = TASK_ROWS
 
@@ -50,7 +50,14 @@ def match(
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> GroupSizes:
-    """Measure the groups with one map-side combined count over the key columns."""
+    """Measure the groups with one map-side combined count over the key columns.
+
+    A table within the limit has no group above it; its row count, which a plain
+    scan takes from the file footers, is the whole measurement.
+    """
+    total = df.count()
+    if total <= limit:
+        return GroupSizes(total, total, 0, limit)
     row = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))

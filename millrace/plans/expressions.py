@@ -216,6 +216,27 @@ def subscript(t):
     )
 
 
+@query(
+    "function_call",
+    """SELECT event_id, concat_ws('-', upper(event_type), CAST(year(ts) AS VARCHAR),
+                lpad(CAST(abs(user_id - 75) AS VARCHAR), 3, '0')) AS code,
+              coalesce(nullif(event_type, 'error'), 'none') AS kind,
+              greatest(user_id % 7, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5) AS top,
+              CAST(len(list_distinct([user_id % 2, user_id % 3, 1])) AS INTEGER) AS kinds
+       FROM events""",
+)
+def function_call(t):
+    user = F.col("user_id")
+    number = F.lpad(F.abs(user - 75).cast("string"), 3, "0")
+    return t.events.select(
+        "event_id",
+        F.concat_ws("-", F.upper("event_type"), F.year("ts"), number).alias("code"),
+        F.coalesce(F.nullif("event_type", F.lit("error")), F.lit("none")).alias("kind"),
+        F.greatest(user % 7, F.get_json_object("props", "$.k").cast("bigint") % 5).alias("top"),
+        F.size(F.array_distinct(F.array(user % 2, user % 3, F.lit(1).cast("long")))).alias("kinds"),
+    )
+
+
 @query(
     "func_string",
     """SELECT p_partkey, upper(p_name) AS up, CAST(length(p_name) AS INTEGER) AS len,
