@@ -28,14 +28,13 @@ def rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 def bucket(df: DataFrame, x: int, y: int, on: str | None = None, seed: int | None = None) -> DataFrame:
     """``TABLESAMPLE (BUCKET x OUT OF y [ON column])``.
 
-    Integer columns are bucketed by value, others by hash. Without a column the
-    buckets are random and bucket x is the x-th of y equal slices of them.
+    Integer columns are bucketed by value, others by hash. Without a column there
+    are no buckets: Spark has always read that form as a random ``x / y`` of the rows.
     """
     if not 1 <= x <= y:
         raise ValueError("need 1 <= x <= y")
     if on is None:
-        slices = df.randomSplit([1.0] * y, seed)
-        return slices[x - 1]
+        return df.sample(x / y, seed)
     integer = isinstance(df.schema[on].dataType, _INTEGERS)
     number = F.col(on) if integer else F.hash(on)
     return df.filter(F.pmod(number, F.lit(y)) == x - 1)

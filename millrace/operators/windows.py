@@ -87,14 +87,19 @@ def number_rows(
     if not sizes.any_hot:
         return plain(df)
     cold, hot = skew.split_hot(df, keys, sizes)
+    return plain(cold).unionByName(_number_hot(hot, keys, order, name, sizes))
+
+
+def _number_hot(
+    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sizes: GroupSizes
+) -> DataFrame:
     placed = _cut(hot, keys, order, sizes)
     totals = placed.groupBy(*keys, _PIECE).agg(
         F.count(F.lit(1)).alias("__n"), F.min(_SEQ).alias("__first")
     )
-    numbered = _stitch(placed, _before(totals, keys, {"__ahead": "__n"}), keys).withColumn(
-        name, F.col(_SEQ) - F.col("__first") + 1 + F.coalesce("__ahead", F.lit(0))
-    )
-    return plain(cold).unionByName(numbered.select(*df.columns, name))
+    position = F.col(_SEQ) - F.col("__first") + 1 + F.coalesce("__ahead", F.lit(0))
+    stitched = _stitch(placed, _before(totals, keys, {"__ahead": "__n"}), keys)
+    return stitched.select(*hot.columns, position.alias(name))
 
 
 def running(
@@ -135,6 +140,22 @@ def running(
     return plain.unionByName(summed)
 
 
+def _sorted(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
+    return [
+        F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_first() for c in order
+    ]
+
+
+def _value_ranks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sorting: Sequence[Column], limit: int
+) -> DataFrame:
+    """Per distinct order value of a group: rows up to it, before it, distinct ones."""
+    values = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__ties"))
+    steps = {"__upto": F.col("__ties"), "__dense": F.lit(1).cast("long")}
+    ranked = running(values, keys, sorting, steps, skew.group_sizes(values, keys, limit))
+    return ranked.withColumn("__below", F.col("__upto") - F.col("__ties")).drop("__ties")
+
+
 def rank_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -142,15 +163,16 @@ def rank_rows(
     rank: str = "rank",
     dense_rank: str = "dense_rank",
     sizes: GroupSizes | None = None,
+    descending: Sequence[str] = (),
 ) -> DataFrame:
-    """``rank()`` and ``dense_rank()`` over ascending ``order`` columns.
+    """``rank()`` and ``dense_rank()`` over ``order``, ascending unless listed.
 
     Ranks depend on the distinct order values only. With a hot group the rows are
     therefore first counted per value, so even one value holding most rows is a
     single row by the time anything is sorted; the ranks are joined back.
     """
-    columns = [F.col(c).asc_nulls_first() for c in order]
-    over = _window(keys, columns)
+    sorting = _sorted(order, descending)
+    over = _window(keys, sorting)
     sizes = sizes or skew.group_sizes(df, keys)
     if not sizes.any_hot:
         return df.withColumns(
@@ -159,12 +181,37 @@ def rank_rows(
                 dense_rank: F.dense_rank().over(over).cast("long"),
             }
         )
-    values = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__ties"))
-    steps = {"__upto": F.col("__ties"), dense_rank: F.lit(1).cast("long")}
-    value_sizes = skew.group_sizes(values, keys, sizes.limit)
-    ranked = running(values, keys, columns, steps, value_sizes).withColumn(rank, F.col("__upto") - F.col("__ties") + 1)
-    return skew.match(df, ranked.drop("__ties", "__upto"), [*keys, *order]).select(
-        *df.columns, rank, dense_rank
+    ranked = _value_ranks(df, keys, order, sorting, sizes.limit)
+    return skew.match(df, ranked, [*keys, *order]).select(
+        *df.columns, (F.col("__below") + 1).alias(rank), F.col("__dense").alias(dense_rank)
+    )
+
+
+def share_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    percent_rank: str = "percent_rank",
+    cume_dist: str = "cume_dist",
+    sizes: GroupSizes | None = None,
+    descending: Sequence[str] = (),
+) -> DataFrame:
+    """``percent_rank()`` and ``cume_dist()``, hot groups as in ``rank_rows``."""
+    sorting = _sorted(order, descending)
+    over = _window(keys, sorting)
+    sizes = sizes or skew.group_sizes(df, keys)
+    if not sizes.any_hot:
+        return df.withColumns(
+            {percent_rank: F.percent_rank().over(over), cume_dist: F.cume_dist().over(over)}
+        )
+    ranked = _value_ranks(df, keys, order, sorting, sizes.limit)
+    group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    ranked = skew.match(ranked, group, keys)
+    others = F.col("__size") - 1
+    return skew.match(df, ranked, [*keys, *order]).select(
+        *df.columns,
+        F.when(others == 0, 0.0).otherwise(F.col("__below") / others).alias(percent_rank),
+        (F.col("__upto") / F.col("__size")).alias(cume_dist),
     )
 
 
@@ -189,7 +236,7 @@ def rows_frame(
         return df.withColumns(dict(columns(_window(keys, order))))
     cold, hot = skew.split_hot(df, keys, sizes)
     block = max(sizes.limit, before, after, 1)
-    numbered = number_rows(hot, keys, order, "__pos", sizes)
+    numbered = _number_hot(hot, keys, order, "__pos", sizes)
     at, last = F.expr(f"(__pos - 1) div {block}"), F.expr(f"(__pos - 1) % {block}")
     homes = F.array_compact(
         F.array(

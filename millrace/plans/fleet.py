@@ -127,7 +127,7 @@ def conf_overlay(t):
         ),
         F.array((user % 5).cast("string"), F.lit("2g"), F.lit("true")),
     )
-    engine = conf.overlay(conf.constant_map(_BASE_CONF), conf.constant_map(_ENGINE_CONF))
+    engine = conf.constant_map({**_BASE_CONF, **_ENGINE_CONF})
     return t.events.select("event_id", F.explode(conf.overlay(engine, extra)).alias("key", "value"))
 
 

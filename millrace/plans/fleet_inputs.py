@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.fleet import naming
 
 AS_OF = "2024-02-01 12:00:00"
-DOMAIN = "mydomain.io"
+DOMAIN = "example.org"
 
 APPS_SQL = """apps AS (
   SELECT 'spark-jobs' AS namespace, 'spark-sql-' || user_id AS name, user_id,

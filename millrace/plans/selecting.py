@@ -22,10 +22,10 @@ def project_alias(t):
     )
 
 
-@query("project_star", "SELECT n.*, r_name FROM nation n JOIN region ON n_regionkey = r_regionkey")
+@query("project_star", "SELECT s.*, n_name FROM supplier s JOIN nation ON s_nationkey = n_nationkey")
 def project_star(t):
-    n = t.nation.alias("n")
-    return n.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n.*", "r_name")
+    s = t.supplier.alias("s")
+    return s.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s.*", "n_name")
 
 
 @query("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")

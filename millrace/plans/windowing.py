@@ -28,6 +28,18 @@ def window_ranking(t):
     return windows.rank_rows(numbered, by, ["event_type"], sizes=sizes).drop("ts", "event_type")
 
 
+@query(
+    "window_shares",
+    """SELECT o_orderkey, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)""",
+)
+def window_shares(t):
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return windows.share_rows(
+        orders, ["o_custkey"], ["o_totalprice"], descending=["o_totalprice"]
+    ).select("o_orderkey", "percent_rank", "cume_dist")
+
+
 @query(
     "window_analytic",
     """SELECT event_id, lag(event_type) OVER w AS previous, lead(event_id, 2) OVER w AS after_next,

@@ -24,11 +24,28 @@ RUNTIME_CONF = {
     ),
 }
 
+SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session someone else has built."""
+
+def tune(spark: SparkSession, shuffle_bytes: int = 0) -> SparkSession:
+    """Apply the runtime settings to a session someone else has built.
+
+    On a cluster, shuffles start with enough partitions for all cores and for
+    ``shuffle_bytes``, the size of the largest shuffle expected; AQE merges those
+    that turn out small but splits none except in skewed joins.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        partitions = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            4 * context.defaultParallelism,
+            shuffle_bytes // SHUFFLE_PARTITION_BYTES,
+        )
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        spark.conf.set(initial, str(min(partitions, MAX_SHUFFLE_PARTITIONS)))
     return spark
 
 

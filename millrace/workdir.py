@@ -1,7 +1,8 @@
 """Where jobs put tables they must materialise: sinks, snapshots, cut lineage.
 
-On a cluster this is the shared folder named by ``spark.checkpoint.dir``. Only a
-local session without that setting gets a temporary folder of its own.
+On a cluster this is a folder per application below the shared one named by
+``spark.checkpoint.dir``; it can go when the application has ended. Only a local
+session without that setting gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ _local_roots: dict[str, str] = {}  # application id -> folder, local sessions on
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None)
     if root:
-        return root.rstrip("/")
+        return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
     app = spark.sparkContext.applicationId

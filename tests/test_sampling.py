@@ -48,10 +48,16 @@ def test_bucket_of_integers_is_by_value(spark, rows):
     assert rows(sampling.bucket(df, 5, 5, on="v")) == [(-1,), (4,)]
 
 
-def test_random_buckets_split_the_table(spark):
-    df = spark.range(1000)
-    counts = [sampling.bucket(df, x, 4, seed=5).count() for x in range(1, 5)]
-    assert sum(counts) == 1000 and min(counts) > 150
+@pytest.mark.parametrize("x", [1, 3, 10])
+def test_bucket_without_a_column_is_a_share(spark, x):
+    n = sampling.bucket(spark.range(20_000), x, 10, seed=5).count()
+    assert abs(n - 2000 * x) <= 4 * math.sqrt(20_000 * 0.1 * x * (1 - 0.1 * x))
+
+
+def test_bucket_without_a_column_is_what_sql_text_gives(spark):
+    spark.range(20_000).createOrReplaceTempView("numbers")
+    n = spark.sql("SELECT * FROM numbers TABLESAMPLE (BUCKET 3 OUT OF 10)").count()
+    assert abs(n - 6000) <= 5 * math.sqrt(20_000 * 0.3 * 0.7)
 
 
 @pytest.mark.parametrize("x,y", [(0, 3), (4, 3)])

@@ -33,7 +33,8 @@ def test_shared_root_is_the_configured_folder(spark, monkeypatch):
         conf = Conf()
         sparkContext = spark.sparkContext
 
-    assert workdir.shared_root(Session()) == "/shared/folder"
+    own = f"/shared/folder/millrace-{spark.sparkContext.applicationId}"
+    assert workdir.shared_root(Session()) == own
 
 
 def test_shared_root_is_required_off_local(spark):

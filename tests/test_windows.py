@@ -82,6 +82,23 @@ def test_rank_rows(table, hot):
     check(result, con, f"SELECT id, rank() {over}, dense_rank() {over} FROM t", ["rank", "dense_rank"])
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_rank_rows_descending(table, hot):
+    df, con = table
+    result = windows.rank_rows(df, ["key"], ["pos", "v"], sizes=sizes(df, hot), descending=["pos"])
+    over = "OVER (PARTITION BY key ORDER BY pos DESC NULLS LAST, v NULLS FIRST)"
+    check(result, con, f"SELECT id, rank() {over}, dense_rank() {over} FROM t", ["rank", "dense_rank"])
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_share_rows(table, hot):
+    df, con = table
+    result = windows.share_rows(df, ["key"], ["pos"], sizes=sizes(df, hot))
+    over = "OVER (PARTITION BY key ORDER BY pos NULLS FIRST)"
+    sql = f"SELECT id, percent_rank() {over}, cume_dist() {over} FROM t"
+    check(result, con, sql, ["percent_rank", "cume_dist"])
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_running(table, hot):
     df, con = table
