@@ -14,6 +14,7 @@ has. ``order`` must be a total order within a group wherever the function needs
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,29 +257,57 @@ def rows_frame(
     return cold.withColumns(dict(columns(_window(keys, order)))).unionByName(framed)
 
 
+@dataclass(frozen=True)
+class RangeFrame:
+    """``function(column) OVER (… RANGE BETWEEN before PRECEDING AND after FOLLOWING)``.
+
+    ``function`` is sum, count, min or max; averages follow from sum and count.
+    """
+
+    function: str
+    column: Column
+    before: int
+    after: int
+
+    def partial(self) -> Column:
+        return _AGGREGATES[self.function](self.column)
+
+    def merged(self, partial: Column, over: WindowSpec) -> Column:
+        merge = F.sum if self.function == "count" else _AGGREGATES[self.function]
+        return merge(partial).over(over.rangeBetween(-self.before, self.after))
+
+
+_AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
 def range_frame(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    before: int,
-    after: int,
-    columns: Callable[[WindowSpec], Mapping[str, Column]],
+    frames: Mapping[str, RangeFrame],
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Window columns over RANGE frames reaching ``before`` back and ``after`` ahead.
-
-    ``order`` is an integer column (epoch seconds, day numbers, ...) and the only
-    sort key. ``columns`` gets that window; its ``rangeBetween`` frames must stay
-    inside the stated reach. Hot groups are cut into value buckets as wide as the
-    reach, and every bucket borrows its neighbours' rows within reach: a task then
-    sorts no more than a few frames' worth of rows.
+    """Aggregates over RANGE frames along ``order``, an integer column.
+
+    Rows with one order value share their frames. In hot groups rows are therefore
+    aggregated per value first; the values are cut into buckets as wide as the
+    widest reach, and each bucket borrows the values its neighbours have within
+    reach. A task then sorts three reaches of distinct values at most, however many
+    rows have them, so measure ``order`` in units that keep the reach to millions
+    (seconds rather than microseconds for a day). The frames are joined back.
     """
     over = Window.partitionBy(*keys).orderBy(order)
+    plain = {
+        out: f.partial().over(over.rangeBetween(-f.before, f.after)) for out, f in frames.items()
+    }
     sizes = sizes or skew.group_sizes(df, keys)
     if not sizes.any_hot:
-        return df.withColumns(dict(columns(over)))
+        return df.withColumns(plain)
     cold, hot = skew.split_hot(df, keys, sizes)
+    before = max(f.before for f in frames.values())
+    after = max(f.after for f in frames.values())
     width = max(before, after, 1)
+    values = hot.groupBy(*keys, order).agg(*[f.partial().alias(out) for out, f in frames.items()])
     offset = F.pmod(F.col(order), F.lit(width))
     bucket = F.expr(f"(`{order}` - pmod(`{order}`, {width})) div {width}")
     homes = F.when(F.col(order).isNull(), F.array(F.lit(None).cast("long"))).otherwise(
@@ -290,14 +319,20 @@ def range_frame(
             )
         )
     )
-    spread = hot.withColumn("__home", bucket).withColumn("__bucket", F.explode(homes))
-    out = dict(columns(Window.partitionBy(*keys, "__bucket").orderBy(order)))
+    spread = values.withColumn("__home", bucket).withColumn("__bucket", F.explode(homes))
+    local = Window.partitionBy(*keys, "__bucket").orderBy(order)
     framed = (
-        spread.withColumns(out)
+        spread.select(
+            *keys,
+            order,
+            "__home",
+            "__bucket",
+            *[f.merged(F.col(out), local).alias(out) for out, f in frames.items()],
+        )
         .filter(F.col("__bucket").eqNullSafe(F.col("__home")))
-        .select(*df.columns, *out)
+        .drop("__home", "__bucket")
     )
-    return cold.withColumns(dict(columns(over))).unionByName(framed)
+    return cold.withColumns(plain).unionByName(skew.match(hot, framed, [*keys, order]))
 
 
 def tile_rows(

@@ -100,16 +100,14 @@ def window_rows_frame(t):
        FROM events""",
 )
 def window_range_frame(t):
-    def frames(w):
-        return {
-            "last_day": F.round(F.sum("value").over(w.rangeBetween(-86400, Window.currentRow)), 2),
-            "within_hour": F.count("*").over(w.rangeBetween(-3600, 3600)),
-        }
-
     seconds = F.unix_seconds(F.col("ts").cast("timestamp_ltz")).alias("second")
     events = t.events.select("event_id", "user_id", "value", seconds)
-    return windows.range_frame(events, ["user_id"], "second", 86400, 3600, frames).select(
-        "event_id", "last_day", "within_hour"
+    frames = {
+        "last_day": windows.RangeFrame("sum", F.col("value"), 86400, 0),
+        "within_hour": windows.RangeFrame("count", F.lit(1), 3600, 3600),
+    }
+    return windows.range_frame(events, ["user_id"], "second", frames).select(
+        "event_id", F.round("last_day", 2).alias("last_day"), "within_hour"
     )
 
 

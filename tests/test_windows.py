@@ -137,19 +137,23 @@ def test_rows_frame(table, hot, reach):
 @pytest.mark.parametrize("before,after", [(3, 0), (0, 2), (7, 4), (100, 100), (0, 0)])
 def test_range_frame(table, hot, before, after):
     df, con = table
+    frames = {
+        "near": windows.RangeFrame("sum", F.col("id"), before, after),
+        "n": windows.RangeFrame("count", F.col("v"), before, after),
+        "low": windows.RangeFrame("min", F.col("v"), before, 0),
+        "high": windows.RangeFrame("max", F.col("v"), 0, after),
+    }
+    shifted = df.withColumn("pos", F.col("pos") - 15)  # values on both sides of zero
+    result = windows.range_frame(shifted, ["key"], "pos", frames, sizes(df, hot))
 
-    def frames(w):
-        return {
-            "near": F.sum("id").over(w.rangeBetween(-before, after)),
-            "n": F.count("*").over(w.rangeBetween(-before, after)),
-        }
+    def over(b, a):
+        return f"""OVER (PARTITION BY key ORDER BY pos NULLS FIRST
+                   RANGE BETWEEN {b} PRECEDING AND {a} FOLLOWING)"""
 
-    shifted = df.withColumn("pos", F.col("pos") - 15)  # values on both sides of zero
-    result = windows.range_frame(shifted, ["key"], "pos", before, after, frames, sizes(df, hot))
-    over = f"""OVER (PARTITION BY key ORDER BY pos NULLS FIRST
-               RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING)"""
-    sql = f"SELECT id, (sum(id) {over})::BIGINT, count(*) {over} FROM t"
-    have = {r["id"]: tuple(r) for r in result.select("id", "near", "n").collect()}
+    sql = f"""SELECT id, (sum(id) {over(before, after)})::BIGINT, count(v) {over(before, after)},
+              min(v) {over(before, 0)}, max(v) {over(0, after)} FROM t"""
+    columns = ["id", "near", "n", "low", "high"]
+    have = {r["id"]: tuple(r) for r in result.select(*columns).collect()}
     assert have == {r[0]: r for r in con.sql(sql).fetchall()}
     assert result.count() == 901
 
