@@ -51,8 +51,9 @@ def _repeat(left: DataFrame, counted: DataFrame, times: Column, limit: int) -> D
     """Each row ``times`` over.
 
     Spark's own plan emits all copies of a row from one task, which serves while a
-    whole side is within ``limit``. Here one task emits ``limit`` of them at most; what goes beyond, for rows that have so many copies,
-    is dealt out to other tasks in portions.
+    whole side is within ``limit``. Here one task emits ``limit`` of them at most;
+    what goes beyond, for rows that have so many copies, is dealt out to other tasks
+    in portions.
     """
     wanted = counted.select(*left.columns, times.alias("__n")).filter(F.col("__n") > 0)
     portion = F.least(F.lit(limit), F.col("__n") - F.col("__portion") * limit).cast("int")

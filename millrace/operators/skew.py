@@ -86,7 +86,7 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows of the groups within the limit, rows of the larger ones."""
     hot = materialise(hot_keys(df, keys, sizes.limit), "hot-keys")
-    small = sizes.hot <= BROADCAST_ROWS
+    small = fits(hot)
     return match(df, hot, keys, "left_anti", small), match(df, hot, keys, "left_semi", small)
 
 

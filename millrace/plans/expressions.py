@@ -108,13 +108,12 @@ def str_trim(t):
 )
 def cast_types(t):
     priority = F.col("o_orderpriority")
+    first_one_or_two = F.substring(priority, F.lit(1), (F.col("o_custkey") % 2 + 1).cast("int"))
     return t.orders.select(
         "o_orderkey",
         F.col("o_orderkey").cast("string").alias("text"),
         F.col("o_totalprice").cast("bigint").alias("whole"),
-        casting.whole_number(F.substring(priority, F.lit(1), (F.col("o_custkey") % 2 + 1).cast("int"))).alias(
-            "sometimes_a_number"
-        ),
+        casting.whole_number(first_one_or_two).alias("sometimes_a_number"),
         F.substring(priority, 1, 1).cast("tinyint").alias("priority"),
         F.col("o_custkey").cast("float").alias("single"),
         (F.col("o_custkey") % 2).cast("boolean").alias("odd"),
@@ -187,7 +186,8 @@ def date_interval(t):
 )
 def struct_ops(t):
     place = F.struct(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
-    shaped = t.customer.select("c_custkey", F.struct(F.col("c_name").alias("name"), place.alias("place")).alias("s"))
+    both = F.struct(F.col("c_name").alias("name"), place.alias("place"))
+    shaped = t.customer.select("c_custkey", both.alias("s"))
     pair = F.struct("c_custkey", "s.place.nation")
     return shaped.filter(
         pair != F.struct(F.lit(1).cast("long"), F.lit(1))

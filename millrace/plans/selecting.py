@@ -345,7 +345,8 @@ def lateral_view(t):
     "lateral_view_outer",
     """SELECT c.c_custkey, u.k AS nation_letter
        FROM customer c LEFT JOIN (
-            SELECT c_custkey, unnest(CASE WHEN c_acctbal < 0 THEN [] ELSE string_split(c_mktsegment, 'I') END) AS k
+            SELECT c_custkey, unnest(CASE WHEN c_acctbal < 0 THEN []
+                                     ELSE string_split(c_mktsegment, 'I') END) AS k
             FROM customer) u ON c.c_custkey = u.c_custkey""",
 )
 def lateral_view_outer(t):

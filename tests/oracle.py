@@ -49,7 +49,7 @@ def differences(df, sql: str, con: duckdb.DuckDBPyConnection) -> list[str]:
     have = _bag(df.collect(), [df.columns.index(n) for n in names])
     want = _bag(relation.fetchall(), [relation.columns.index(n) for n in names])
     if have != want:
-        found.append(f"rows {sum(have.values())} != {sum(want.values())}" if sum(have.values()) != sum(want.values()) else "values")
+        found.append(f"{have.total()} rows, {want.total()} expected")
         found.append(f"only Spark: {list((have - want).items())[:3]}")
         found.append(f"only oracle: {list((want - have).items())[:3]}")
     return found
