@@ -28,6 +28,7 @@ class GroupSizes:
     rows: int
     largest: int  # at most this; exact when there are more rows than the limit
     hot: int  # groups above the limit
+    hot_rows: int  # rows in them
     limit: int = TASK_ROWS
 
     @property
@@ -57,7 +58,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> G
     """
     total = df.count()
     if total <= limit:
-        return GroupSizes(total, total, 0, limit)
+        return GroupSizes(total, total, 0, 0, limit)
     row = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -65,10 +66,11 @@ def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> G
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
             F.count_if(F.col("n") > limit).alias("hot"),
+            F.coalesce(F.sum(F.when(F.col("n") > limit, F.col("n"))), F.lit(0)).alias("hot_rows"),
         )
         .first()
     )
-    return GroupSizes(row["rows"], row["largest"], row["hot"], limit)
+    return GroupSizes(*row, limit)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:

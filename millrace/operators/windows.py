@@ -39,7 +39,7 @@ def _cut(
     The placement is written out once: the range bounds are sampled, and totals
     and rows have to see the very same pieces.
     """
-    pieces = max(2, -(-2 * sizes.rows // sizes.limit))
+    pieces = max(2, -(-2 * sizes.hot_rows // sizes.limit))
     placed = (
         hot.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
         .sortWithinPartitions(*[F.col(k) for k in keys], *order)

@@ -183,6 +183,27 @@ def join_merge_hint(t):
     )
 
 
+@query(
+    "join_shuffle_hash_hint",
+    """SELECT s_nationkey, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+       GROUP BY s_nationkey""",
+)
+def join_shuffle_hash_hint(t):
+    # Suppliers are hashed partition by partition, so the lines need no sort.
+    suppliers = t.supplier.hint("shuffle_hash")
+    return (
+        t.lineitem.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("s_nationkey")
+        .agg(F.count("*").alias("lines"))
+    )
+
+
+@query("hint_rebalance", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders")
+def hint_rebalance(t):
+    # Like DISTRIBUTE BY, but partitions of one size come first: AQE splits large ones.
+    return t.orders.hint("rebalance", "o_custkey").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
 @query(
     "top_unshipped_orders",
     """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,

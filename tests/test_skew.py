@@ -13,9 +13,9 @@ def lopsided(spark):
 
 def test_group_sizes(lopsided):
     found = skew.group_sizes(lopsided, ["k"], 50)
-    assert (found.rows, found.largest, found.hot) == (400, 200, 2)
+    assert (found.rows, found.largest, found.hot, found.hot_rows) == (400, 200, 2, 300)
     assert not skew.group_sizes(lopsided, ["k"], 200).any_hot
-    assert skew.group_sizes(lopsided, ["k"], 400) == skew.GroupSizes(400, 400, 0, 400)
+    assert skew.group_sizes(lopsided, ["k"], 400) == skew.GroupSizes(400, 400, 0, 0, 400)
 
 
 def test_group_sizes_of_nothing(spark):

@@ -56,6 +56,10 @@ STATEMENTS = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
     "join_merge_hint": """SELECT /*+ MERGE(lineitem) */ o_orderpriority, count(*) AS lines
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority""",
+    "join_shuffle_hash_hint": """SELECT /*+ SHUFFLE_HASH(supplier) */ s_nationkey, count(*) AS lines
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey""",
+    "hint_rebalance": """SELECT /*+ REBALANCE(o_custkey) */ o_custkey, o_orderkey, o_orderstatus
+        FROM orders""",
     "join_full": """SELECT custkey, balance, orderkey FROM
         (SELECT c_custkey AS custkey, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000)
         FULL OUTER JOIN (SELECT o_custkey AS custkey, o_orderkey AS orderkey FROM orders
