@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import token_files
+from millrace.llm import decontamination, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -28,3 +28,15 @@ def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
 def op1_token_files(t: Tables) -> DataFrame:
     """Every document's place, length and checksum in the bit-packed shard files."""
     return token_files.document_index(token_files.write_tokens(t.documents))
+
+
+@_query
+def op8_decontamination(t: Tables) -> DataFrame:
+    """Documents that hold copies of benchmark items, with the items and alignment scores."""
+    return decontamination.matches(t.documents, t.benchmark)
+
+
+@_query
+def op9_simhash_near_dedup(t: Tables) -> DataFrame:
+    """Every document's SimHash fingerprint and component of near copies."""
+    return simhash.near_duplicates(t.documents, shingle=3, radius=3)
