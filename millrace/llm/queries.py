@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, simhash, token_files
+from millrace.llm import decontamination, mixing, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -40,3 +41,10 @@ def op8_decontamination(t: Tables) -> DataFrame:
 def op9_simhash_near_dedup(t: Tables) -> DataFrame:
     """Every document's SimHash fingerprint and component of near copies."""
     return simhash.near_duplicates(t.documents, shingle=3, radius=3)
+
+
+@_query
+def op5_mixing(t: Tables) -> DataFrame:
+    """How many words of every document a mix of the sources takes."""
+    mixed = mixing.mix(t.documents, F.array("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
