@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, mixing, simhash, token_files
+from millrace.llm import decontamination, mixing, quality, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -48,3 +48,9 @@ def op5_mixing(t: Tables) -> DataFrame:
     """How many words of every document a mix of the sources takes."""
     mixed = mixing.mix(t.documents, F.array("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op4_quality(t: Tables) -> DataFrame:
+    """Every document's quality score and decision."""
+    return quality.score(t.documents, t.labels)
