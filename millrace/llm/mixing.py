@@ -107,11 +107,11 @@ def mix(
     copies: int = COPIES,
     seed: int = SEED,
 ) -> DataFrame:
-    """``doc_id, pattern, size, source_size, target, taken`` of every row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id, pattern, size, source_size, target, copies, taken`` of every row of ``docs`` (``doc_id``, ``text``).
 
     ``sources`` is the array of sources of a row. ``quotas`` makes the words wanted of each source
     from the sources' sizes. ``taken`` is a whole number of copies, ``copies`` at most, times ``size``.
-    ``source_size`` and ``target`` are sums over the sources of the row's pattern.
+    ``copies`` is that number, and ``source_size`` and ``target`` are sums over the sources of the row's pattern.
     """
     spark = docs.sparkSession
     sized = written(with_size(docs.withColumn("sources", F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))))), "sizes")
@@ -136,7 +136,7 @@ def mix(
         "pattern array<string>, source_size bigint, target double",
     )
     rows = sized.join(F.broadcast(amounts), "pattern").withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
-    return (
-        _extra(rows).join(F.broadcast(facts), "pattern")
-        .select("doc_id", "pattern", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
-    )
+    copied = _extra(rows).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    return copied.join(F.broadcast(facts), "pattern").select(
+        "doc_id", "pattern", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    )

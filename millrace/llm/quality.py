@@ -35,7 +35,7 @@ BUCKETS, DIMENSIONS, REACH, BLOCK = 1 << 15, 32, 2, 512
 TRAIN_ROWS, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 11
 KEEP_FROM = 0.3
 
-_CAPITALS, _AGAIN = (np.uint64(x << 49) for x in (3, 5))  # buckets 3 << 0 and 5 << 0 of the leading bits
+_CAPITALS, _AGAIN = (np.uint64(x << 49) for x in (3, 5))  # buckets 3 and 5
 _KIND = np.where(words.WORD_BYTES, 1, np.where(words.INK_BYTES, 2, 0)).astype(np.int8)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _SMALL = np.array([97 <= b <= 122 for b in range(256)])
@@ -222,11 +222,15 @@ def train(docs: DataFrame, labels: DataFrame, vectors, train_rows: int = TRAIN_R
     return fit(x, found["y"].to_numpy())
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, train_rows: int):
+    context = docs.sparkSession.sparkContext
+    vectors = context.broadcast(word_vectors(docs))  # a table of fixed size
+    return vectors, context.broadcast(train(docs, labels, vectors, train_rows))
+
+
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id``, ``text``)."""
-    context = docs.sparkSession.sparkContext
-    vectors = context.broadcast(word_vectors(docs))
-    model = context.broadcast(train(docs, labels, vectors, train_rows))
+    vectors, model = _fitted(docs, labels, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,3 +243,15 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``KEEP_FROM`` or more."""
+    vectors, model = _fitted(docs, labels, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.value.scores(pooled(batch.column("text"), vectors.value))
+            yield batch.filter(pa.array(scores >= KEEP_FROM))
+
+    return docs.mapInArrow(run, docs.schema)

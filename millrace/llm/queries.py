@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import decontamination, mixing, quality, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
@@ -24,6 +25,10 @@ def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     QUERIES[plan.__name__] = run
     return plan
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 
 @_query
 def op1_token_files(t: Tables) -> DataFrame:
