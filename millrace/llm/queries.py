@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, mixing, quality, simhash, token_files
+from millrace.llm import decontamination, mixing, neighbours, quality, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -59,3 +59,9 @@ def op5_mixing(t: Tables) -> DataFrame:
 def op4_quality(t: Tables) -> DataFrame:
     """Every document's quality score and decision."""
     return quality.score(t.documents, t.labels)
+
+
+@_query
+def op6_neighbours(t: Tables) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return neighbours.search(neighbours.build_index(t.embeddings), F.expr("vec_id % 50 = 0"))
