@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, mixing, neighbours, quality, simhash, token_files
+from millrace.llm import decontamination, licenses, mixing, neighbours, quality, simhash, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -65,3 +65,9 @@ def op4_quality(t: Tables) -> DataFrame:
 def op6_neighbours(t: Tables) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     return neighbours.search(neighbours.build_index(t.embeddings), F.expr("vec_id % 50 = 0"))
+
+
+@_query
+def op10_licenses(t: Tables) -> DataFrame:
+    """Licence phrases, labels and strictness of every document."""
+    return licenses.digest(licenses.licences(t.documents))
