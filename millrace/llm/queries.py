@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, licenses, mixing, neighbours, quality, simhash, token_files
+from millrace.llm import decontamination, licenses, mixing, neighbours, quality, simhash, token_counts, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -71,3 +71,9 @@ def op6_neighbours(t: Tables) -> DataFrame:
 def op10_licenses(t: Tables) -> DataFrame:
     """Licence phrases, labels and strictness of every document."""
     return licenses.digest(licenses.licences(t.documents))
+
+
+@_query
+def op3_token_counts(t: Tables) -> DataFrame:
+    """Tokens of every field of every document, by section."""
+    return token_counts.token_counts(t.documents)
