@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words
 from millrace.llm.frames import flat_texts, slices
+from millrace.llm.sums import summed
 
-BUCKETS, DIMENSIONS, REACH, BLOCK = 1 << 15, 32, 2, 512
+BUCKETS, DIMENSIONS, REACH = 1 << 15, 32, 2
 TRAIN_ROWS, HIDDEN, EPOCHS, SEED = 20_000, 32, 40, 11
 KEEP_FROM = 0.3
 
@@ -76,10 +77,11 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return plus, (plus + rng.integers(1, DIMENSIONS, BUCKETS)) % DIMENSIONS
 
 
-def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The normalised word vector of every bucket, from all texts: a table of fixed size."""
     plus, minus = _index_vectors()
-    table = np.zeros(BUCKETS * DIMENSIONS, np.int64)
-    for batch in batches:
+
+    def add(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, counts, bucket in units(batch.column("text")):
             text = np.repeat(np.arange(len(counts)), counts)
             for step in range(1, REACH + 1):
@@ -88,31 +90,9 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for at, other in ((a, b), (b, a)):
                     np.add.at(table, at * DIMENSIONS + plus[other], 1)
                     np.add.at(table, at * DIMENSIONS + minus[other], -1)
-    blocks = table.reshape(-1, BLOCK * DIMENSIONS)
-    some = np.flatnonzero(blocks.any(axis=1))
-    yield pa.record_batch({
-        "block": pa.array(some.astype(np.int32)),
-        "sums": pa.array([blocks[k].astype("<i8").tobytes() for k in some], pa.binary()),
-    })
-
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            sums[block] = sums.get(block, 0) + np.frombuffer(data, "<i8")
-    for block, total in sums.items():
-        yield pa.record_batch({"block": pa.array([block], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The normalised word vector of every bucket, from all texts: a table of fixed size."""
-    kinds = "block int, sums binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_context_sums, kinds)
-    table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMENSIONS))
-    for row in parts.repartition("block").mapInArrow(_add_blocks, kinds).collect():  # at most a row a block
-        table[row.block] = np.frombuffer(row.sums, "<i8")
-    table = table.reshape(BUCKETS, DIMENSIONS)
+    table = summed(docs.select(F.col("text").cast("string")), BUCKETS * DIMENSIONS, add)
+    table = table.reshape(BUCKETS, DIMENSIONS).astype(np.float64)
     norms = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(norms > 0, norms, 1)).astype(np.float32)
 

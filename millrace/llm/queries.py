@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, licenses, mixing, neighbours, quality, simhash, token_counts, token_files
+from millrace.llm import decontamination, licenses, mixing, neighbours, quality, secret_scan, simhash, token_counts, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -77,3 +77,9 @@ def op10_licenses(t: Tables) -> DataFrame:
 def op3_token_counts(t: Tables) -> DataFrame:
     """Tokens of every field of every document, by section."""
     return token_counts.token_counts(t.documents)
+
+
+@_query
+def op7_secrets(t: Tables) -> DataFrame:
+    """Secrets in all documents, without the findings a forest takes for false."""
+    return secret_scan.secrets(t.documents)
