@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, licenses, mixing, neighbours, quality, secret_scan, simhash, token_counts, token_files
+from millrace.llm import decontamination, licenses, mixing, neighbours, pii, quality, secret_scan, simhash, token_counts, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -83,3 +83,9 @@ def op3_token_counts(t: Tables) -> DataFrame:
 def op7_secrets(t: Tables) -> DataFrame:
     """Secrets in all documents, without the findings a forest takes for false."""
     return secret_scan.secrets(t.documents)
+
+
+@_query
+def op2_personal_data(t: Tables) -> DataFrame:
+    """Personal data in every document: base spans and those the tagger adds."""
+    return pii.digest(pii.personal_data(t.documents))
