@@ -36,19 +36,28 @@ MATCH, OTHER = 2, -1
 
 
 
+def _numbered() -> int:
+    """The first of this task's numbers; no other task of the same job has one of them."""
+    return TaskContext.get().partitionId() << 33
+
+
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = _numbered()
     for batch in batches:
         for w in words.scan(batch.column("text")):
             yield pa.record_batch({
+                "item": pa.array(number + np.arange(len(w.counts))),
                 "item_id": batch.column("item_id").slice(w.first, len(w.counts)),
                 "words": list_column(w.hashes.view(np.int64), w.counts, pa.int64()),
             })
+            number += len(w.counts)
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """``item_id, words``: the hashed words of each test item that has any."""
+    """``item, item_id, words``: a number for each test item that has words, its id and its hashed words."""
     narrow = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(_item_words, "item_id bigint, words array<bigint>").filter("size(words) > 0")
+    found = narrow.mapInArrow(_item_words, "item bigint, item_id bigint, words array<bigint>")
+    return written(found.filter("size(words) > 0"), "items")
 
 
 def _grams(n: int):
@@ -58,7 +67,7 @@ def _grams(n: int):
                 own = batch.column("words")[row].values.to_numpy().view(np.uint64)
                 grams = words.runs(own, min(n, len(own)))
                 yield pa.record_batch({
-                    "item_id": pa.array([batch.column("item_id")[row].as_py()] * len(grams), pa.int64()),
+                    "item": pa.array([batch.column("item")[row].as_py()] * len(grams), pa.int64()),
                     "at": pa.array(np.arange(len(grams), dtype=np.int32)),
                     "size": pa.array(np.full(len(grams), min(n, len(own)), np.int32)),
                     "gram": pa.array(grams.view(np.int64)),
@@ -92,7 +101,7 @@ def _places(bitmap, sizes: list[int], reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bitmap.value).view(bool)
-        segment = TaskContext.get().partitionId() << 33  # no two segments share a number
+        segment = _numbered()
         for batch in batches:
             ids = batch.column("doc_id")
             for w in words.scan(batch.column("text")):
@@ -151,7 +160,7 @@ def align(segment: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores, ends, known = [], [], {}
-        segments, items = batch.column("words"), batch.column("item")
+        segments, items = batch.column("words"), batch.column("item_words")
         for row in range(batch.num_rows):
             segment, item = segments[row].values.to_numpy(), items[row].values.to_numpy()
             key = (segment.tobytes(), item.tobytes())  # copies of a passage are aligned once a batch
@@ -168,20 +177,20 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seeds(grams: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """``gram, item_id``: the rarest gram of every ``window`` grams in a row of an item, ties to the first.
+    """``gram, item``: the rarest gram of every ``window`` grams in a row of an item, ties to the first.
 
     ``counts`` has how often each gram stands in the corpus; one that never does can seed nothing.
     """
     counted = grams.join(counts, "gram", "left").select(
-        "item_id", "at", "gram", F.coalesce("n", F.lit(0)).alias("n")
+        "item", "at", "gram", F.coalesce("n", F.lit(0)).alias("n")
     )
     # A gram takes part in the windows that begin up to window - 1 grams before it.
     begins = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - window + 1), F.col("at"))).alias("begin")
-    longest = grams.groupBy("item_id").agg(F.max("at").alias("end"))
-    spread = counted.select("*", begins).join(longest, "item_id")
+    longest = grams.groupBy("item").agg(F.max("at").alias("end"))
+    spread = counted.select("*", begins).join(longest, "item")
     spread = spread.filter(F.col("begin") <= F.greatest(F.lit(0), F.col("end") - window + 1))
-    chosen = spread.groupBy("item_id", "begin").agg(F.min_by("gram", F.struct("n", "at")).alias("gram"))
-    return chosen.select("gram", "item_id").distinct()
+    chosen = spread.groupBy("item", "begin").agg(F.min_by("gram", F.struct("n", "at")).alias("gram"))
+    return chosen.select("gram", "item").distinct()
 
 
 def matches(
@@ -190,8 +199,8 @@ def matches(
     """``doc_id, item_id, score, ends``: documents (``doc_id``, ``text``) that hold a copy of an item
     (``item_id``, ``text``), the best score, and the word after the best alignment."""
     spark = docs.sparkSession
-    own = written(item_words(items), "items")
-    grams = written(own.mapInArrow(_grams(n), "item_id bigint, at int, size int, gram bigint"), "grams")
+    own = item_words(items)
+    grams = written(own.mapInArrow(_grams(n), "item bigint, at int, size int, gram bigint"), "grams")
     longest = own.agg(F.max(F.size("words"))).first()[0] or 1
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect()) or [n]  # at most n numbers
     bitmap = spark.sparkContext.broadcast(gram_bitmap(grams))
@@ -200,10 +209,10 @@ def matches(
 
     found = segments.select("segment", F.explode("grams").alias("gram"))
     counts = found.groupBy("gram").agg(F.count("*").alias("n"))
-    pairs = found.join(seeds(grams, counts, window), "gram").select("segment", "item_id").distinct()
+    pairs = found.join(seeds(grams, counts, window), "gram").select("segment", "item").distinct()
     joined = pairs.join(segments.select("doc_id", "segment", "starts", "words"), "segment")
-    joined = joined.join(own.select("item_id", F.col("words").alias("item")), "item_id")
-    scored = joined.select("doc_id", "item_id", "starts", "words", "item").mapInArrow(
+    joined = joined.join(own.select("item", "item_id", F.col("words").alias("item_words")), "item")
+    scored = joined.select("doc_id", "item_id", "starts", "words", "item_words").mapInArrow(
         _align, "doc_id bigint, item_id bigint, score double, ends bigint"
     )
     best = F.max(F.struct("score", "ends")).alias("best")
