@@ -19,10 +19,10 @@ from millrace.llm.frames import fresh, prepared, written
 from millrace.sources.tables import Tables
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the place of each row among those of its ``doc_id``, in order of their other columns."""
-    rest = [c for c in docs.columns if c not in ("doc_id", name)]
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in rest if c != "text"])
+def _numbered(docs: DataFrame, name: str, *first: str) -> DataFrame:
+    """``docs`` with the place of each row among those of its ``doc_id``, in order of ``first``, text and the rest."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", *first)]
+    order = Window.partitionBy("doc_id").orderBy(*first, "text", *rest)
     return docs.withColumn(name, F.row_number().over(order))
 
 
@@ -50,13 +50,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     prepared(spark)
-    names = [fresh(n) for n in ("copies", "place")]
+    size, place, taken = (fresh(n) for n in ("size", "place", "taken"))
     mixed = mixing.mix(docs, F.array("source"))
-    taken = mixed.groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), False).alias(names[0]))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    rows = _numbered(rows.select(*docs.columns, names[0]), names[1])
-    copies = F.get(names[0], F.col(names[1]) - 1)
-    return rows.withColumn(names[0], F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    # The rows of one id and size are interchangeable, so both sides are lined up by size.
+    lists = mixed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias(taken))
+    rows = _numbered(mixing.with_size(docs, size), place, size)
+    rows = rows.join(lists, rows["doc_id"].eqNullSafe(lists["doc_id"])).drop(lists["doc_id"])
+    copies = F.get(taken, F.col(place) - 1)["copies"]
+    return rows.withColumn(taken, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ seeded order until the amount is met, to within half the document at the cut.
 
 The order is that of a hash. The cut is found in steps of 16 bits of it: sizes are summed by
 their next 16 bits, the slice that holds the cut is worked out, and only its rows go on to the next
-step, so no task ever sorts the documents of a pattern. Only the patterns' and sources' sums come to
-the driver: they grow with the number of patterns, and not with that of documents.
+step, so no task ever sorts the documents of a pattern. Only the patterns' and sources' sums and
+cuts come to the driver: they grow with the number of patterns, and not with that of documents.
 
 Null texts have size zero; a null source is a source of its own, the last. A document of size
 zero is taken zero words. Repeated rows are documents of their own; equal ones are interchangeable,
@@ -35,8 +35,8 @@ SHARE, COPIES, SEED = 1.5, 2, 7
 _STEPS = (48, 32)  # lowest bit of each step's 16 bits of the hash
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """``doc_id, sources, size``: the number of words (runs of anything but ASCII white space) of each text."""
+def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
+    """``docs`` and the number of words (runs of anything but ASCII white space) of each ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,11 +45,9 @@ def with_size(docs: DataFrame) -> DataFrame:
                 words.spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words.INK_BYTES)[2]
                 for a, b in slices(offsets, words.SLICE_BYTES)
             ]
-            sizes = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "sources": batch.column("sources"), "size": sizes})
+            yield batch.append_column(name, pa.array(np.concatenate(counts) if counts else [], pa.int64()))
 
-    narrow = docs.select(F.col("doc_id").cast("bigint"), "sources", F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id bigint, sources array<string>, size bigint")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def capped_targets(sizes: dict, share: float = SHARE, cap: int = COPIES) -> dict:
@@ -114,8 +112,9 @@ def mix(
     ``copies`` is that number, and ``source_size`` and ``target`` are sums over the sources of the row's pattern.
     """
     spark = docs.sparkSession
-    sized = written(with_size(docs.withColumn("sources", F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))))), "sizes")
-    sized = sized.withColumnRenamed("sources", "pattern")
+    pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    narrow = docs.select(F.col("doc_id").cast("bigint"), pattern.alias("pattern"), F.col("text").cast("string"))
+    sized = written(with_size(narrow).drop("text"), "sizes")
     capacity = {
         tuple(r["pattern"]): r["total"]
         for r in sized.groupBy("pattern").agg(F.sum("size").alias("total")).orderBy("pattern").collect()
@@ -136,7 +135,8 @@ def mix(
         "pattern array<string>, source_size bigint, target double",
     )
     rows = sized.join(F.broadcast(amounts), "pattern").withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
-    copied = _extra(rows).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    # Documents of size zero cost nothing and may stand before a cut at zero; they too keep to the limit.
+    copied = _extra(rows).withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(copies)).cast("int"))
     return copied.join(F.broadcast(facts), "pattern").select(
         "doc_id", "pattern", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
