@@ -38,7 +38,7 @@ def _best_split(x: np.ndarray, y: np.ndarray, features: np.ndarray, leaf: int):
             impurity = np.where(usable, a * (left - a) / left + b * (n - left - b) / (n - left), np.inf)
             k = int(impurity.argmin())
             if impurity[k] < best[0]:
-                best = (impurity[k], int(f), float((values[k] + values[k + 1]) / 2))
+                best = (impurity[k], int(f), float(values[k]))
     return best[1], best[2]
 
 
