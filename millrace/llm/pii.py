@@ -326,7 +326,8 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts of base spans by kind, a checksum of them, and all spans as a string."""
     base = F.filter("spans", lambda s: s["base"])
     said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", said), ",").alias("spans"),
