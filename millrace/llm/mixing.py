@@ -6,8 +6,8 @@ pattern's later copies costing more than its earlier ones. Every document of a p
 the whole number of times the routed amount allows, and for what is left over documents come in a
 seeded order until the amount is met, to within half the document at the cut.
 
-The order is that of a hash. The cut is found in steps of 16 bits of it: sizes are summed by
-their next 16 bits, the slice that holds the cut is worked out, and only its rows go on to the next
+The order is that of a hash. The cut is found in steps of 8 bits of it: sizes are summed by
+their next 8 bits, the slice that holds the cut is worked out, and only its rows go on to the next
 step, so no task ever sorts the documents of a pattern. Only the patterns' and sources' sums and
 cuts come to the driver: they grow with the number of patterns, and not with that of documents.
 
@@ -32,7 +32,7 @@ from millrace.llm.frames import flat_texts, slices, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, COPIES, SEED = 1.5, 2, 7
-_STEPS = (48, 32)  # lowest bit of each step's 16 bits of the hash
+_STEPS = (56, 48, 40, 32)  # lowest bit of each step's 8 bits of the hash
 
 
 def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
@@ -77,14 +77,15 @@ def _extra(rows: DataFrame) -> DataFrame:
     """``rows`` (with ``over``, words to add by extra copies of the pattern, and ``h``) and their ``extra`` copy."""
     decided = []
     for low in _STEPS:
-        rows = rows.withColumn("slice", F.shiftrightunsigned("h", low).bitwiseAND(0xFFFF))
+        rows = rows.withColumn("slice", F.shiftrightunsigned("h", low).bitwiseAND(0xFF))
         sums = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("in_slice"), F.first("over").alias("over"))
-        order = Window.partitionBy("pattern").orderBy("slice")  # at most 65536 rows
+        order = Window.partitionBy("pattern").orderBy("slice")  # at most 256 rows
         sums = sums.select("pattern", "slice", "over", (F.sum("in_slice").over(order) - F.col("in_slice")).alias("before"), "in_slice")
         cut = sums.filter("before <= over AND before + in_slice > over").select(
             "pattern", F.col("slice").alias("cut"), (F.col("over") - F.col("before")).alias("remains")
         )
-        rows = rows.join(F.broadcast(cut), "pattern", "left")  # at most a row a pattern
+        cut = rows.sparkSession.createDataFrame(cut.collect(), cut.schema)  # at most a row a pattern
+        rows = rows.join(F.broadcast(cut), "pattern", "left")
         decided.append(rows.filter("cut IS NULL OR slice <> cut").withColumn("extra", F.expr("int(cut IS NULL OR slice < cut)")))
         rows = rows.filter("slice = cut").withColumn("over", F.col("remains")).drop("slice", "cut", "remains")
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
