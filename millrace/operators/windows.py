@@ -13,7 +13,7 @@ has. ``order`` must be a total order within a group wherever the function needs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,8 +114,9 @@ def running(
     frame = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     sizes = sizes or skew.group_sizes(df, keys)
+    whole = df.withColumns({out: F.sum(c).over(frame) for out, c in sums.items()})
     if not sizes.any_hot:
-        return df.withColumns({out: F.sum(c).over(frame) for out, c in sums.items()})
+        return whole
     cold, hot = skew.split_hot(df, keys, sizes)
     names = {out: f"__in_{out}" for out in sums}
     hot = hot.withColumns({names[out]: c for out, c in sums.items()})
@@ -135,7 +136,7 @@ def running(
         )
 
     summed = _stitch(placed, ahead, keys).select(
-        *df.columns, *[total(out).alias(out) for out in sums]
+        *df.columns, *[total(out).cast(whole.schema[out].dataType).alias(out) for out in sums]
     )
     plain = cold.withColumns({out: F.sum(c).over(frame) for out, c in sums.items()})
     return plain.unionByName(summed)
@@ -216,25 +217,72 @@ def share_rows(
     )
 
 
+def _reach(before: int, after: int) -> None:
+    if before < 0 or after < 0:
+        raise ValueError("a frame reaches zero rows or more to either side")
+
+
+@dataclass(frozen=True)
+class RowsFrame:
+    """``function(column) OVER (… ROWS BETWEEN before PRECEDING AND after FOLLOWING)``.
+
+    ``function`` is sum, count, min, max or avg.
+    """
+
+    function: str
+    column: Column
+    before: int
+    after: int
+
+    def __post_init__(self):
+        _reach(self.before, self.after)
+
+    def over(self, window: WindowSpec) -> Column:
+        aggregate = {**_AGGREGATES, "avg": F.avg}[self.function]
+        return aggregate(self.column).over(window.rowsBetween(-self.before, self.after))
+
+
+@dataclass(frozen=True)
+class Neighbour:
+    """``lag(column, back, default)``, or ``lead`` when ``back`` is negative."""
+
+    column: Column
+    back: int = 1
+    default: object = None
+
+    @property
+    def before(self) -> int:
+        return max(self.back, 0)
+
+    @property
+    def after(self) -> int:
+        return max(-self.back, 0)
+
+    def over(self, window: WindowSpec) -> Column:
+        return F.lag(self.column, self.back, self.default).over(window)
+
+
 def rows_frame(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    before: int,
-    after: int,
-    columns: Callable[[WindowSpec], Mapping[str, Column]],
+    frames: Mapping[str, RowsFrame | Neighbour],
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Window columns that look at most ``before`` rows back and ``after`` ahead.
+    """Columns over ROWS frames and neighbouring rows, each of a declared reach.
 
-    ``columns`` gets the ordered window and returns the output columns: lag, lead
-    and ``rowsBetween`` frames inside the stated reach. Hot groups are numbered,
-    cut into blocks of equal length, and each block borrows the few rows its
-    neighbours' edges have within reach.
+    Hot groups are numbered, cut into blocks of equal length, and each block borrows
+    the rows its neighbours' edges have within the widest reach.
     """
+    before = max((f.before for f in frames.values()), default=0)
+    after = max((f.after for f in frames.values()), default=0)
+
+    def columns(window: WindowSpec) -> dict[str, Column]:
+        return {out: f.over(window) for out, f in frames.items()}
+
     sizes = sizes or skew.group_sizes(df, keys)
     if not sizes.any_hot:
-        return df.withColumns(dict(columns(_window(keys, order))))
+        return df.withColumns(columns(_window(keys, order)))
     cold, hot = skew.split_hot(df, keys, sizes)
     block = max(sizes.limit, before, after, 1)
     numbered = _number_hot(hot, keys, order, "__pos", sizes)
@@ -248,13 +296,13 @@ def rows_frame(
     )
     spread = numbered.withColumn("__home", at).withColumn("__block", F.explode(homes))
     local = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    out = dict(columns(local))
+    out = columns(local)
     framed = (
         spread.withColumns(out)
         .filter(F.col("__block") == F.col("__home"))
         .select(*df.columns, *out)
     )
-    return cold.withColumns(dict(columns(_window(keys, order)))).unionByName(framed)
+    return cold.withColumns(columns(_window(keys, order))).unionByName(framed)
 
 
 @dataclass(frozen=True)
@@ -269,6 +317,9 @@ class RangeFrame:
     before: int
     after: int
 
+    def __post_init__(self):
+        _reach(self.before, self.after)
+
     def partial(self) -> Column:
         return _AGGREGATES[self.function](self.column)
 
@@ -301,8 +352,9 @@ def range_frame(
         out: f.partial().over(over.rangeBetween(-f.before, f.after)) for out, f in frames.items()
     }
     sizes = sizes or skew.group_sizes(df, keys)
+    whole = df.withColumns(plain)
     if not sizes.any_hot:
-        return df.withColumns(plain)
+        return whole
     cold, hot = skew.split_hot(df, keys, sizes)
     before = max(f.before for f in frames.values())
     after = max(f.after for f in frames.values())
@@ -327,7 +379,7 @@ def range_frame(
             order,
             "__home",
             "__bucket",
-            *[f.merged(F.col(out), local).alias(out) for out, f in frames.items()],
+            *[f.merged(F.col(out), local).cast(whole.schema[out].dataType).alias(out) for out, f in frames.items()],
         )
         .filter(F.col("__bucket").eqNullSafe(F.col("__home")))
         .drop("__home", "__bucket")

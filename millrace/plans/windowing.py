@@ -1,6 +1,5 @@
 """Window functions."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import skew, windows
@@ -50,16 +49,15 @@ def window_shares(t):
        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def window_analytic(t):
-    def near(w):
-        return {
-            "previous": F.lag("event_type").over(w),
-            "after_next": F.lead("event_id", 2).over(w),
-            "change": F.round(F.col("value") - F.lag("value", 1, 0.0).over(w), 2),
-        }
-
+    near = {
+        "previous": windows.Neighbour(F.col("event_type")),
+        "after_next": windows.Neighbour(F.col("event_id"), -2),
+        "value_before": windows.Neighbour(F.col("value"), 1, 0.0),
+    }
     by = ["user_id"]
     sizes = skew.group_sizes(t.events, by)
-    near_by = windows.rows_frame(t.events, by, _by_time(), 1, 2, near, sizes)
+    near_by = windows.rows_frame(t.events, by, _by_time(), near, sizes)
+    near_by = near_by.withColumn("change", F.round(F.col("value") - F.col("value_before"), 2))
     return windows.ends(
         near_by, by, ["ts", "event_id"], "event_type", "first_type", "last_type", sizes
     ).select("event_id", "previous", "after_next", "change", "first_type", "last_type")
@@ -76,18 +74,16 @@ def window_analytic(t):
        FROM events""",
 )
 def window_rows_frame(t):
-    def frames(w):
-        return {
-            "nearby": F.round(F.sum("value").over(w.rowsBetween(-2, 1)), 2),
-            "seen": F.count("*").over(w.rowsBetween(-3, Window.currentRow)),
-        }
-
+    frames = {
+        "nearby": windows.RowsFrame("sum", F.col("value"), 2, 1),
+        "seen": windows.RowsFrame("count", F.lit(1), 3, 0),
+    }
     events = t.events.select("event_id", "user_id", "ts", "value")
     by = ["user_id"]
     sizes = skew.group_sizes(events, by)
-    framed = windows.rows_frame(events, by, _by_time(), 3, 1, frames, sizes)
+    framed = windows.rows_frame(events, by, _by_time(), frames, sizes)
     summed = windows.running(framed, by, _by_time(), {"running": F.col("value")}, sizes)
-    return summed.select("event_id", "nearby", "seen", F.round("running", 2).alias("running"))
+    return summed.select("event_id", F.round("nearby", 2).alias("nearby"), "seen", F.round("running", 2).alias("running"))
 
 
 @query(
@@ -124,15 +120,8 @@ def window_named(t):
     price = F.col("o_totalprice")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     sizes = skew.group_sizes(orders, keys)
-    step = windows.rows_frame(
-        orders,
-        keys,
-        order,
-        1,
-        0,
-        lambda w: {"change": price - F.coalesce(F.lag(price, 1).over(w), price)},
-        sizes,
-    )
+    step = windows.rows_frame(orders, keys, order, {"last_price": windows.Neighbour(price)}, sizes)
+    step = step.withColumn("change", price - F.coalesce("last_price", price))
     numbered = windows.number_rows(step, keys, order, "nth", sizes)
     return windows.group_totals(numbered, keys, {"orders": F.count("*")}, sizes).select(
         "o_orderkey", "nth", "orders", "change"

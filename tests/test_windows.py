@@ -116,14 +116,12 @@ def test_running(table, hot):
 def test_rows_frame(table, hot, reach):
     df, con = table
 
-    def frames(w):
-        return {
-            "before": F.lag("id", reach).over(w),
-            "after": F.lead("id", reach).over(w),
-            "near": F.sum("id").over(w.rowsBetween(-reach, reach)),
-        }
-
-    result = windows.rows_frame(df, ["key"], order(), reach, reach, frames, sizes(df, hot))
+    frames = {
+        "before": windows.Neighbour(F.col("id"), reach),
+        "after": windows.Neighbour(F.col("id"), -reach),
+        "near": windows.RowsFrame("sum", F.col("id"), reach, reach),
+    }
+    result = windows.rows_frame(df, ["key"], order(), frames, sizes(df, hot))
     w = f"(PARTITION BY key {SQL_ORDER} ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
     plain = f"(PARTITION BY key {SQL_ORDER})"
     sql = f"""SELECT id, lag(id, {reach}) OVER {plain}, lead(id, {reach}) OVER {plain},
@@ -185,3 +183,30 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "id long, key string, pos long, v long")
     assert windows.number_rows(empty, ["key"], order()).count() == 0
     assert windows.running(empty, ["key"], order(), {"s": F.col("v")}).count() == 0
+
+
+def test_types_do_not_depend_on_the_size(table):
+    df, _ = table
+    df = df.withColumn("price", F.col("v").cast("decimal(12,2)"))
+    frames = {"p": windows.RangeFrame("sum", F.col("price"), 3, 1), "n": windows.RangeFrame("count", F.col("v"), 1, 1)}
+    rows = {"p": windows.RowsFrame("sum", F.col("price"), 2, 1), "a": windows.RowsFrame("avg", F.col("price"), 5, 0)}
+    results = []
+    for hot in (False, True):
+        found = sizes(df, hot)
+        results.append([
+            windows.running(df, ["key"], order(), {"s": F.col("price"), "w": F.col("v")}, found),
+            windows.range_frame(df, ["key"], "pos", frames, found),
+            windows.rows_frame(df, ["key"], order(), rows, found),
+            windows.rank_rows(df, ["key"], ["pos"], sizes=found),
+            windows.tile_rows(df, ["key"], order(), 4, sizes=found),
+        ])
+    for plain, split in zip(*results, strict=True):
+        assert sorted(plain.dtypes) == sorted(split.dtypes)
+        columns = sorted(plain.columns)
+        assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, split.select(columns).collect()))
+
+
+def test_negative_reaches_are_refused():
+    for kind in (windows.RowsFrame, windows.RangeFrame):
+        with pytest.raises(ValueError):
+            kind("sum", F.col("v"), -1, 2)
