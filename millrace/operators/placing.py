@@ -9,16 +9,22 @@ from pyspark.sql import Column, DataFrame
 from millrace.operators import skew
 
 
-def distribute(
+def distribute(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``DISTRIBUTE BY keys``: rows with equal keys go to the same partition, whatever the size of a group."""
+    into = [] if partitions is None else [partitions]
+    return df.repartition(*into, *keys)
+
+
+def spread(
     df: DataFrame,
     keys: Sequence[str],
     sizes: skew.GroupSizes | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``DISTRIBUTE BY keys``: rows with equal keys go to the same partition.
+    """Like ``distribute``, but for groups above the row limit, which no task need hold whole.
 
-    A group above the row limit cannot be held by one task; the rows of such
-    groups alone are spread with a salt, as many ways as their size asks for.
+    The rows of such groups alone are spread with a salt, as many ways as their size
+    asks for. For callers that place rows to balance work, such as writers.
     """
     sizes = sizes or skew.group_sizes(df, keys)
     into = [] if partitions is None else [partitions]
@@ -35,6 +41,6 @@ def sort_within(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.sortWithinPartitions(*order)
 
 
-def cluster(df: DataFrame, keys: Sequence[str], sizes: skew.GroupSizes | None = None) -> DataFrame:
+def cluster(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``CLUSTER BY keys``: distribute and sort by the same columns."""
-    return distribute(df, keys, sizes).sortWithinPartitions(*keys)
+    return distribute(df, keys).sortWithinPartitions(*keys)

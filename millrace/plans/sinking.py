@@ -65,7 +65,7 @@ def insert_overwrite_dir(t):
 )
 def delimited_text_sink(t):
     path = fresh_path(t.spark, "delimited")
-    fmt = delimited.RowFormat(fields="|", items=",", keys=":", lines="\x1e")
+    fmt = delimited.RowFormat(fields="|", items=",", keys=":")
     nested = t.documents.select(
         "doc_id",
         "text",
@@ -106,7 +106,7 @@ def multi_insert(t):
 @query(
     "create_bucketed",
     """SELECT o_orderkey, o_totalprice, l_linenumber, l_quantity FROM orders JOIN lineitem
-       ON o_orderkey = l_orderkey WHERE l_quantity > 40""",
+       ON o_orderkey = l_orderkey""",
 )
 def create_bucketed(t):
     left, right = fresh_name("orders_by_key"), fresh_name("lines_by_key")
@@ -130,7 +130,7 @@ def create_bucketed(t):
         buckets=buckets,
         sort_by=["l_orderkey"],
     )
-    return a.join(b.filter(F.col("l_quantity") > 40), a["o_orderkey"] == b["l_orderkey"]).select(
+    return a.join(b, a["o_orderkey"] == b["l_orderkey"]).select(
         "o_orderkey", "o_totalprice", "l_linenumber", "l_quantity"
     )
 
@@ -138,13 +138,14 @@ def create_bucketed(t):
 @query(
     "make_snapshot",
     """SELECT l_returnflag, l_linestatus, count(*) AS rows,
-              CAST(sum(CAST('0x' || substr(md5('v' || l_orderkey || '|v' || l_linenumber), 1, 8) AS BIGINT))
-                   AS BIGINT) AS checksum
+              CAST(sum(CAST('0x' || substr(md5('v' || length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey
+                     || 'v' || length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber), 1, 8) AS BIGINT))
+                   AS VARCHAR) AS checksum
        FROM lineitem WHERE (l_returnflag = 'A' AND l_linestatus = 'F') OR l_returnflag = 'R'
        GROUP BY l_returnflag, l_linestatus""",
 )
 def make_snapshot(t):
-    return snapshot.make_snapshot(
+    manifest = snapshot.make_snapshot(
         t.lineitem,
         fresh_name("snapshot"),
         partitions=[
@@ -153,6 +154,8 @@ def make_snapshot(t):
         ],
         checksum=["l_orderkey", "l_linenumber"],
     )
+    return manifest.withColumn("checksum", F.col("checksum").cast("string"))
+
 
 
 @query(

@@ -21,28 +21,42 @@ class RowFormat:
     null: str = "\\N"
 
 
+# Behind the escape character: a line separator inside a value, and a list without items.
+_LINE, _NONE = "l", "e"
+
+
 def _escaped(text: Column, fmt: RowFormat) -> Column:
-    """Escape the escape character and every separator inside a value."""
-    specials = [fmt.escape, fmt.fields, fmt.items, fmt.keys, fmt.lines]
+    """Escape the escape character and every separator inside a value.
+
+    A reader splits lines before it knows of escapes, so a line separator is not
+    written inside a value at all but as a letter behind the escape character.
+    """
+    specials = [fmt.escape, fmt.fields, fmt.items, fmt.keys]
     for char in dict.fromkeys(specials):
         text = F.replace(text, F.lit(char), F.lit(fmt.escape + char))
-    return text
+    return F.replace(text, F.lit(fmt.lines), F.lit(fmt.escape + _LINE))
 
 
 def _scalar(value: Column, fmt: RowFormat) -> Column:
     return F.coalesce(_escaped(value.cast("string"), fmt), F.lit(fmt.null))
 
 
+def _listed(parts: Column, fmt: RowFormat) -> Column:
+    """Items in a row; none at all are told from one empty item."""
+    joined = F.when(F.size(parts) == 0, F.lit(fmt.escape + _NONE)).otherwise(F.array_join(parts, fmt.items))
+    return F.when(parts.isNull(), F.lit(fmt.null)).otherwise(joined)
+
+
 def _flat(value: Column, kind: T.DataType, fmt: RowFormat) -> Column:
     if isinstance(kind, T.ArrayType):
         parts = F.transform(value, lambda v: _scalar(v, fmt))
-        return F.coalesce(F.array_join(parts, fmt.items), F.lit(fmt.null))
+        return _listed(parts, fmt)
     if isinstance(kind, T.MapType):
         pairs = F.transform(
             F.map_entries(value),
             lambda e: F.concat(_scalar(e["key"], fmt), F.lit(fmt.keys), _scalar(e["value"], fmt)),
         )
-        return F.coalesce(F.array_join(F.sort_array(pairs), fmt.items), F.lit(fmt.null))
+        return _listed(F.sort_array(pairs), fmt)
     return _scalar(value, fmt)
 
 
@@ -85,18 +99,28 @@ def _split(text: Column, separator: str, fmt: RowFormat) -> Column:
 
 
 def _unescaped(text: Column, fmt: RowFormat) -> Column:
-    return F.regexp_replace(text, f"{_quoted(fmt.escape)}([\\s\\S])", "$1")
+    """Each escaped character as itself, but for the letter that stands for the line separator."""
+    escape = _quoted(fmt.escape)
+    # Cut behind every escaped pair, so that a letter behind an escaped escape stays a letter.
+    pieces = F.regexp_extract_all(text, F.lit(f"([^{escape}]++|{escape}[\\s\\S])"), F.lit(1))
+    plain = F.transform(
+        pieces,
+        lambda p: F.when(p == fmt.escape + _LINE, F.lit(fmt.lines)).otherwise(
+            F.when(p.startswith(fmt.escape), F.substring(p, len(fmt.escape) + 1, 1 << 30)).otherwise(p)
+        ),
+    )
+    return F.when(F.contains(text, F.lit(fmt.escape)), F.array_join(plain, "")).otherwise(text)
 
 
 def _value(text: Column, kind: T.DataType, fmt: RowFormat) -> Column:
     present = text != F.lit(fmt.null)
     if isinstance(kind, T.ArrayType):
-        items = F.when(text == "", F.array().cast("array<string>")).otherwise(
+        items = F.when(text == fmt.escape + _NONE, F.array().cast("array<string>")).otherwise(
             _split(text, fmt.items, fmt)
         )
         return F.when(present, F.transform(items, lambda v: _value(v, kind.elementType, fmt)))
     if isinstance(kind, T.MapType):
-        items = F.when(text == "", F.array().cast("array<string>")).otherwise(
+        items = F.when(text == fmt.escape + _NONE, F.array().cast("array<string>")).otherwise(
             _split(text, fmt.items, fmt)
         )
         pairs = F.transform(items, lambda p: _split(p, fmt.keys, fmt))

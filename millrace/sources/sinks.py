@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from millrace.operators import placing
 
 ROWS_PER_BUCKET = 8_000_000
+MOST_BUCKETS = 65_536  # within spark.sql.sources.bucketing.maxBuckets
 
 PartitionSpec = Mapping[str, Any]  # column -> value, or None for "any value"
 
 
-def bucket_count(rows: int, least: int = 8) -> int:
+def bucket_count(rows: int, least: int = 8, most: int = MOST_BUCKETS) -> int:
     """Buckets for a table of so many rows: a power of two, so that tables of
-    different sizes still have bucket counts that divide each other."""
+    different sizes still have bucket counts that divide each other. Spark refuses
+    more than 100000; beyond ``most`` the buckets grow instead of their number."""
     buckets = least
-    while buckets * ROWS_PER_BUCKET < rows:
+    while buckets * ROWS_PER_BUCKET < rows and 2 * buckets <= most:
         buckets *= 2
     return buckets
 
@@ -43,7 +45,7 @@ def create_table(
     sorted file; only a bucket with a hot key is written by several tasks.
     """
     if bucket_by:
-        df = placing.distribute(df, bucket_by, partitions=buckets)
+        df = placing.spread(df, bucket_by, partitions=buckets)
     writer = df.write.format(provider).option("path", path).mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

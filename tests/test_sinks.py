@@ -171,16 +171,18 @@ def test_batches(spark, rows):
 NASTY = ["", "plain", "a|b", "back\\slash", "\\", "\\|", "line\nbreak", "c,d:e", "\\N", "ü|\\\\|"]
 
 
-def test_delimited_round_trip(spark, rows):
-    fmt = delimited.RowFormat(fields="|", items=",", keys=":", null="\\N")
+@pytest.mark.parametrize("lines", ["\n", "\x1e", "\r\n"])
+@pytest.mark.parametrize("marks", [{}, {"fields": "|", "items": ",", "keys": ":"}])
+def test_delimited_round_trip(spark, rows, lines, marks):
+    fmt = delimited.RowFormat(**marks, lines=lines)
     schema = T.StructType().add("id", "long").add("s", "string")
     schema = schema.add("a", T.ArrayType(T.StringType())).add("m", T.MapType(T.StringType(), T.IntegerType()))
     data = [(i, s, [s, None, "z"], {s: i, "k": None}) for i, s in enumerate(NASTY)]
     data += [(50, None, None, None), (51, "x", [], {}), (None, "y", ["only"], {"a": 1})]
+    data += [(52, "\\l", ["\\e"], {"": 1}), (53, "\r\n\x1e\x01", [""], {"\n": None}), (54, "\\\\l\n\nl", ["", ""], {})]
     df = spark.createDataFrame(data, schema)
     path = workdir.fresh_path(spark, "delimited")
-    delimited.write_delimited(df, path, delimited.RowFormat(**{**fmt.__dict__, "lines": "\x1e"}))
-    fmt = delimited.RowFormat(**{**fmt.__dict__, "lines": "\x1e"})
+    delimited.write_delimited(df, path, fmt)
     back = delimited.read_delimited(spark, path, schema, fmt)
     have = {r["s"] if r["id"] is None else r["id"]: tuple(r) for r in back.collect()}
     want = {r[1] if r[0] is None else r[0]: r for r in data}
@@ -220,6 +222,17 @@ def test_snapshot_refuses_existing_targets(spark, sales):
         snapshot.make_snapshot(sales, workdir.fresh_name("snap"), path)
 
 
+def test_checksums_of_other_rows_differ_and_sums_do_not_overflow(spark):
+    df = spark.createDataFrame([("a|vb", "c"), ("a", "b|vc")], "a string, b string")
+    assert df.select(snapshot.row_checksum(["a", "b"])).distinct().count() == 2
+    manifest = snapshot.make_snapshot(df, workdir.fresh_name("snap"))
+    assert dict(manifest.dtypes)["checksum"] == "decimal(38,0)"
+
+
+def test_bucket_counts_stay_within_the_maximum():
+    assert [sinks.bucket_count(n) for n in (1, 64_000_001, 10**13, 10**16)] == [8, 16, 65536, 65536]
+
+
 def test_row_checksum_tells_null_from_empty(spark):
     df = spark.createDataFrame([("", None), (None, "")], "a string, b string")
     assert df.select(snapshot.row_checksum(["a", "b"])).distinct().count() == 2

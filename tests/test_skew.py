@@ -57,7 +57,13 @@ def test_distribute_places_equal_keys_together(lopsided, rows):
     assert rows(placed) == rows(lopsided)
 
 
-def test_distribute_spreads_hot_keys_only(spark, lopsided, rows):
+def test_hot_keys_stay_together_when_distributed(lopsided, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    assert _partitions(placing.distribute(lopsided, ["k"]), "k").agg(F.max("p")).first()[0] == 1
+    assert _partitions(placing.cluster(lopsided, ["k"]), "k").agg(F.max("p")).first()[0] == 1
+
+
+def test_spread_deals_out_hot_keys_only(spark, lopsided, rows):
     # Tiny partitions would be merged again.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -68,7 +74,7 @@ def test_distribute_spreads_hot_keys_only(spark, lopsided, rows):
 
 def _check_spread(lopsided, rows):
     found = skew.group_sizes(lopsided, ["k"], 50)
-    placed = placing.distribute(lopsided, ["k"], found)
+    placed = placing.spread(lopsided, ["k"], found)
     spread = {r["k"]: r["p"] for r in _partitions(placed, "k").collect()}
     assert spread["big"] > 1
     assert all(n == 1 for k, n in spread.items() if k not in ("big", None))
