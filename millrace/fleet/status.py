@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,13 @@ def latest(records: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def fleet_status(apps: DataFrame, as_of: Column, domain: str, https: bool = False) -> DataFrame:
-    """One line per engine: state, ages, UI address, JDBC address."""
-    return apps.select(
+def fleet_status(
+    apps: DataFrame, as_of: Column, domain: str, https: bool = False, order: Sequence[str] = ("submission_ts",)
+) -> DataFrame:
+    """One line per engine, from its last record by ``order``: state, ages, UI address, JDBC address."""
+    columns = ["namespace", "name", "state", "submission_ts", "termination_ts", "conf"]
+    records = apps.select(*columns, *[c for c in order if c not in columns])
+    return latest(records, ["namespace", "name"], list(order)).select(
         "namespace",
         "name",
         "state",
@@ -61,10 +67,15 @@ def fleet_status(apps: DataFrame, as_of: Column, domain: str, https: bool = Fals
     )
 
 
-def state_lookup(requests: DataFrame, apps: DataFrame) -> DataFrame:
-    """State and message of each requesting user's engine; ``found`` tells a miss."""
+def state_lookup(requests: DataFrame, apps: DataFrame, order: Sequence[str] = ("submission_ts",)) -> DataFrame:
+    """State and message of each requesting user's engine; ``found`` tells a miss.
+
+    Of several records of an engine the last by ``order`` counts.
+    """
     asked = requests.withColumn("name", naming.engine_name(F.col("user")))
-    known = apps.filter(F.col("namespace") == naming.ENGINE_NAMESPACE).select(
+    records = apps.filter(F.col("namespace") == naming.ENGINE_NAMESPACE)
+    records = records.select("name", "state", "error_message", *order)
+    known = latest(records, ["name"], list(order)).select(
         "name", "state", F.col("error_message").alias("message"), F.lit(True).alias("found")
     )
     return (

@@ -18,6 +18,15 @@ def percent(df: DataFrame, share: float, seed: int | None = None) -> DataFrame:
     return df.sample(share / 100.0, seed)
 
 
+def percent_by(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
+    """``share`` percent of the keys, with all rows of each: by the key's digest, so the same on any cluster."""
+    if not 0 <= share <= 100:
+        raise ValueError("sampling percentage must be between 0 and 100")
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return df.filter(place < round(share / 100 * 2**32))
+
+
 def rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """``TABLESAMPLE (n ROWS)``, the first ``n`` by a total order: repeatable."""
     if n < 0:
@@ -25,8 +34,10 @@ def rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def bucket(df: DataFrame, x: int, y: int, on: str | None = None, seed: int | None = None) -> DataFrame:
-    """``TABLESAMPLE (BUCKET x OUT OF y [ON column])``.
+def bucket(
+    df: DataFrame, x: int, y: int, on: str | Column | None = None, seed: int | None = None
+) -> DataFrame:
+    """``TABLESAMPLE (BUCKET x OUT OF y [ON column or expression])``.
 
     Integer columns are bucketed by value, others by hash. Without a column there
     are no buckets: Spark has always read that form as a random ``x / y`` of the rows.
@@ -35,8 +46,9 @@ def bucket(df: DataFrame, x: int, y: int, on: str | None = None, seed: int | Non
         raise ValueError("need 1 <= x <= y")
     if on is None:
         return df.sample(x / y, seed)
-    integer = isinstance(df.schema[on].dataType, _INTEGERS)
-    number = F.col(on) if integer else F.hash(on)
+    value = F.col(on) if isinstance(on, str) else on
+    integer = isinstance(df.select(value).schema[0].dataType, _INTEGERS)
+    number = value if integer else F.hash(value)
     return df.filter(F.pmod(number, F.lit(y)) == x - 1)
 
 
@@ -52,15 +64,17 @@ def size_in_bytes(text: str) -> int:
 def first_bytes(df: DataFrame, budget: int | str, size: Column, order: str) -> DataFrame:
     """``TABLESAMPLE (100M)``: the longest prefix by ``order`` within a byte budget.
 
-    ``order`` is an integer column without nulls; rows that share a value stay
-    together. The cut is found by adding up ``size`` over 256 slices of the value
+    ``order`` is an integer column; nulls in it, which have no place in the order,
+    are refused. Rows that share a value stay together. The cut is found by adding up ``size`` over 256 slices of the value
     range and repeating inside the slice in which the budget runs out: a handful
     of aggregations over ever smaller parts, no sort, 256 sums at most per pass.
     The sample itself is a filter the scan can push down.
     """
     if isinstance(budget, str):
         budget = size_in_bytes(budget)
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high, nulls = df.agg(F.min(order), F.max(order), F.count_if(F.col(order).isNull())).first()
+    if nulls:
+        raise ValueError(f"{nulls} rows without {order}")
     if low is None:
         return df
     spent = 0

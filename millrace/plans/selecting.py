@@ -302,6 +302,15 @@ def sample_percent(t):
     return sampling.percent(t.lineitem, 10, seed=7)
 
 
+@query(
+    "sample_percent_by_key",
+    """SELECT l_orderkey, l_linenumber FROM lineitem
+       WHERE CAST('0x' || substr(md5('7:' || l_orderkey), 1, 8) AS BIGINT) < 429496730""",
+)
+def sample_percent_by_key(t):
+    return sampling.percent_by(t.lineitem.select("l_orderkey", "l_linenumber"), 10, "l_orderkey", seed=7)
+
+
 @query(
     "sample_rows",
     """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""",

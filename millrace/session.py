@@ -25,7 +25,6 @@ RUNTIME_CONF = {
 }
 
 SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def tune(spark: SparkSession, shuffle_bytes: int = 0) -> SparkSession:
@@ -45,7 +44,7 @@ def tune(spark: SparkSession, shuffle_bytes: int = 0) -> SparkSession:
             shuffle_bytes // SHUFFLE_PARTITION_BYTES,
         )
         initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-        spark.conf.set(initial, str(min(partitions, MAX_SHUFFLE_PARTITIONS)))
+        spark.conf.set(initial, str(partitions))
     return spark
 
 

@@ -17,15 +17,16 @@ _BAD = "_bad"
 def decode(text: DataFrame, column: str = "value") -> DataFrame:
     """Parse messages; ``bad`` marks text that is not a message object.
 
-    Keeps the raw text and the file it came in. Rows are ``raw, file, bad, name,
-    namespace, uid, ts, services``.
+    Keeps the raw text, the file it came in and when that arrived. Rows are ``raw, file,
+    arrived, bad, name, namespace, uid, ts, services``.
     """
     schema = f"{MESSAGE}, {_BAD} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     parsed = F.from_json(F.col(column), schema, options)
-    return text.select(F.col(column).alias("raw"), "file", parsed.alias("m")).select(
+    return text.select(F.col(column).alias("raw"), "file", "arrived", parsed.alias("m")).select(
         "raw",
         "file",
+        "arrived",
         (F.col("m").isNull() | F.col(f"m.{_BAD}").isNotNull()).alias("bad"),
         "m.name",
         "m.namespace",
@@ -38,7 +39,11 @@ def decode(text: DataFrame, column: str = "value") -> DataFrame:
 def read_messages(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
     """Messages, one per line, from text files arriving under ``path``."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("arrived"),
+    )
 
 
 def routed(messages: DataFrame) -> DataFrame:
@@ -68,9 +73,10 @@ def routed(messages: DataFrame) -> DataFrame:
 def first_delivery(messages: DataFrame, horizon: str, ways: int = 16) -> DataFrame:
     """Good messages, each ``uid`` once however often it was delivered.
 
-    ``horizon`` is how late a message or its repeat can be by its own ``ts``;
-    state is kept that long and no longer. Messages without a uid or ts carry
-    nothing to match on and are passed on by ``routed`` only.
+    ``horizon`` is how long after a delivery its repeat can arrive; state is kept that
+    long and no longer. Messages need no time of their own: what counts is when their
+    file arrived. Those without a uid carry nothing to match on and are passed on by
+    ``routed`` only.
 
     Deliveries are first matched within ``ways`` groups of files, so that even one
     uid sent millions of times is spread over tasks; what is left, at most ``ways``
@@ -79,13 +85,13 @@ def first_delivery(messages: DataFrame, horizon: str, ways: int = 16) -> DataFra
     group = F.pmod(F.xxhash64("file"), F.lit(ways))
     return (
         decode(messages)
-        .filter(~F.col("bad") & F.col("uid").isNotNull() & F.col("ts").isNotNull())
+        .filter(~F.col("bad") & F.col("uid").isNotNull())
         .withColumn("file_group", group)
         .drop("raw", "bad", "file")
-        .withWatermark("ts", horizon)
+        .withWatermark("arrived", horizon)
         .dropDuplicatesWithinWatermark(["uid", "file_group"])
         .dropDuplicatesWithinWatermark(["uid"])
-        .drop("file_group")
+        .drop("file_group", "arrived")
     )
 
 

@@ -20,7 +20,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None)
     if root:
         return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    # Executors of local-cluster[…] are processes of their own, as on any cluster.
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:

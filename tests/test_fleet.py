@@ -205,3 +205,18 @@ def test_routes(spark, rows):
         ("s2", "IngressRouteTCP", "HostSNI(`*`)", 10019),
         ("s4", "IngressRoute", "Host(`spark.x.io`) && PathPrefix(``)", 80),
     ]
+
+
+def test_lookup_and_status_take_the_last_record(spark, rows):
+    from datetime import datetime
+
+    from millrace.fleet import naming
+
+    records = spark.createDataFrame(
+        [(naming.ENGINE_NAMESPACE, "spark-sql-ann", "FAILED", "old", datetime(2024, 1, 1), None, {}), (naming.ENGINE_NAMESPACE, "spark-sql-ann", "RUNNING", None, datetime(2024, 1, 2), None, {})],
+        "namespace string, name string, state string, error_message string, submission_ts timestamp, termination_ts timestamp, conf map<string,string>",
+    )
+    asked = spark.createDataFrame([("ann",)], "user string")
+    assert rows(status.state_lookup(asked, records), "state", "message", "found") == [("RUNNING", None, True)]
+    as_of = F.lit(datetime(2024, 1, 3))
+    assert [r["state"] for r in status.fleet_status(records, as_of, "d").collect()] == ["RUNNING"]

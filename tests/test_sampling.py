@@ -94,3 +94,24 @@ def test_first_bytes_is_the_longest_prefix(spark, budget):
 def test_first_bytes_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, n long")
     assert sampling.first_bytes(empty, "1K", F.col("n"), "id").count() == 0
+
+
+def test_percent_by_key_keeps_whole_keys_on_any_layout(spark):
+    df = spark.range(20_000).selectExpr("id % 4000 AS k", "id")
+    found = sampling.percent_by(df, 25, "k", seed=3)
+    keys = found.groupBy("k").count().collect()
+    assert {r["count"] for r in keys} == {5} and 850 < len(keys) < 1150
+    again = sampling.percent_by(df.repartition(7), 25, "k", seed=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+    assert sampling.percent_by(df, 0, "k").count() == 0 and sampling.percent_by(df, 100, "k").count() == 20_000
+
+
+def test_buckets_of_an_expression(spark):
+    df = spark.range(100)
+    assert [r["id"] for r in sampling.bucket(df, 1, 10, on=F.col("id") + 3).collect()] == list(range(7, 100, 10))
+
+
+def test_first_bytes_refuses_rows_without_a_place(spark):
+    df = spark.createDataFrame([(1, 5), (None, 5)], "id bigint, n int")
+    with pytest.raises(ValueError):
+        sampling.first_bytes(df, "1K", F.col("n"), "id")

@@ -116,6 +116,8 @@ def test_late_messages_within_the_horizon_are_kept(folder):
     assert folder.once(horizon="1 hour") == ["new", "old"]
 
 
-def test_messages_without_uid_or_time_are_left_out(folder):
-    folder.arrive(message("1"), message(None), message("2", ts=None))
-    assert folder.once() == ["1"]
+def test_messages_need_a_uid_but_no_time(folder):
+    plain = json.dumps({"name": "a", "namespace": "ns", "uid": "3", "ExtraServices": []})
+    folder.arrive(message("1"), message(None), message("2", ts=None), plain)
+    folder.arrive(plain, message("2", ts=None))
+    assert folder.once() == ["1", "2", "3"]
