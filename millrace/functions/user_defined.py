@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import aggregates, skew
-
 
 # Executors need not have this package: its functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,45 +44,70 @@ def with_tax(price: pd.Series, discount: pd.Series, tax: pd.Series) -> pd.Series
     return price * (1 - discount) * (1 + tax)
 
 
-@F.pandas_udf(T.DoubleType())
-def _sum_of_logs(values: pd.Series) -> float:
-    return float(np.log(values[values > 0]).sum())
+Script = Callable[[pa.Table], pa.Table]
 
 
-@F.pandas_udf(T.LongType())
-def _positive(values: pd.Series) -> int:
-    return int((values > 0).sum())
+def aggregate(
+    df: DataFrame, keys: Sequence[str], script: Script, state: str, merge: Mapping[str, Column]
+) -> DataFrame:
+    """A user-defined aggregate, or ``SELECT REDUCE (…) USING script AS (…)``.
 
+    ``script`` turns the rows of one Arrow batch into states: the ``keys`` and the
+    columns ``state`` declares. Spark merges the states by the built-in aggregates of
+    ``merge``. Only states are shuffled, a row for each key and batch at most, so a key
+    with most of the rows is never gathered in one place.
+    """
 
-@F.pandas_udf(T.DoubleType())
-def _mean_from_logs(log_sum: pd.Series, n: pd.Series) -> float | None:
-    total = int(n.sum())
-    return float(np.exp(log_sum.sum() / total)) if total else None
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield from script(pa.Table.from_batches([batch])).to_batches()
 
+    fields = df.select(*keys).schema.simpleString()[len("struct<") : -1]
+    states = df.mapInArrow(batches, f"{fields}, {state}")
+    return states.groupBy(*keys).agg(*[column.alias(name) for name, column in merge.items()])
 
-def geometric_mean(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, sizes: skew.GroupSizes | None = None
-) -> DataFrame:
-    """Geometric mean of the positive values per group, as a pandas aggregate."""
 
-    def partial(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-        return rows.groupBy(*by).agg(
-            _sum_of_logs(value).alias("__logs"), _positive(value).alias("__n")
-        )
+def geometric_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Geometric mean of the positive values per group; null without any."""
+
+    def logs(rows: pa.Table) -> pa.Table:
+        x = pc.cast(rows[value], pa.float64())
+        rows = rows.set_column(rows.column_names.index(value), "x", pc.if_else(pc.greater(x, 0), x, None))
+        rows = rows.append_column("log", pc.ln(rows["x"]))
+        sums = rows.group_by(list(keys)).aggregate([("log", "sum"), ("log", "count")])
+        return sums.select([*keys, "log_sum", "log_count"]).rename_columns([*keys, "logs", "n"])
+
+    total, n = F.sum("logs"), F.sum("n")
+    merge = {name: F.when(n > 0, F.exp(total / n))}
+    return aggregate(df.select(*keys, value), keys, logs, "logs double, n bigint", merge)
 
-    def final(states: DataFrame, by: Sequence[str]) -> DataFrame:
-        return states.groupBy(*by).agg(_mean_from_logs("__logs", "__n").alias(name))
 
-    return aggregates.grouped_python(df.select(*keys, value), keys, partial, final, sizes)
+def sum_and_count(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """A REDUCE script: ``value`` added up and rows counted per key."""
 
+    def script(rows: pa.Table) -> pa.Table:
+        sums = rows.group_by(list(keys)).aggregate([(value, "sum"), ([], "count_all")])
+        sums = sums.select([*keys, f"{value}_sum", "count_all"])
+        sums = sums.set_column(len(keys), "part_sum", pc.cast(sums[f"{value}_sum"], pa.float64()))
+        return sums.rename_columns([*keys, "part_sum", "part_rows"])
 
-@F.udtf(returnType=T.StructType().add("line_no", T.IntegerType()).add("line", T.StringType()))
+    merge = {"total": F.sum("part_sum"), "rows": F.sum("part_rows")}
+    return aggregate(df.select(*keys, value), keys, script, "part_sum double, part_rows bigint", merge)
+
+
+@F.arrow_udtf(returnType="key bigint, line_no int, line string")
 class SplitLines:
-    """Lines of a text with their numbers from 0."""
+    """Lines of the texts of a table argument (key, text), with their numbers from 0."""
 
-    def eval(self, text: str):
-        if text is not None:
-            yield from enumerate(text.split("\n"))
+    def eval(self, rows: pa.RecordBatch):
+        lines = pc.split_pattern(rows.column(1), "\n")
+        counts = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+        parents = pc.list_parent_indices(lines)
+        numbers = np.arange(len(parents)) - np.repeat(np.cumsum(counts) - counts, counts)
+        yield pa.table({
+            "key": rows.column(0).take(parents), "line_no": pa.array(numbers.astype(np.int32)),
+            "line": pc.list_flatten(lines),
+        })
 
 
 def transform(df: DataFrame, script, schema: str) -> DataFrame:
@@ -94,29 +117,3 @@ def transform(df: DataFrame, script, schema: str) -> DataFrame:
     no process is started on the executors.
     """
     return df.mapInPandas(script, schema)
-
-
-def reduce_script(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """A ``REDUCE`` script that sums ``value`` and counts rows per key.
-
-    The script adds up each Arrow batch it is fed; Spark merges those sums. A key
-    with most of the rows is therefore never gathered in one place.
-    """
-
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            table = pa.Table.from_batches([batch])
-            sums = table.group_by(list(keys)).aggregate([(value, "sum"), ([], "count_all")])
-            sums = sums.select([*keys, f"{value}_sum", "count_all"]).rename_columns(
-                [*keys, "part_sum", "part_rows"]
-            )
-            sums = sums.set_column(
-                len(keys), "part_sum", pc.cast(sums["part_sum"], pa.float64())
-            )
-            yield from sums.to_batches()
-
-    fields = df.select(*keys).schema.simpleString()[len("struct<") : -1]
-    parts = df.select(*keys, value).mapInArrow(batches, f"{fields}, part_sum double, part_rows long")
-    return parts.groupBy(*keys).agg(
-        F.sum("part_sum").alias("total"), F.sum("part_rows").alias("rows")
-    )

@@ -1,14 +1,12 @@
-"""Aggregates that need an order or a group-wise Python function."""
+"""Aggregates that need an order."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.operators import skew
-
 
 def _ordered(value: Column, order: Sequence[Column], ignore_nulls: bool) -> tuple[Column, Column]:
     # The value travels in a struct so that a null value can win; the order key is
@@ -29,24 +27,3 @@ def last(value: Column, order: Sequence[Column], ignore_nulls: bool = False) ->
     """``LAST(value [IGNORE NULLS])`` by an explicit order, combined map-side."""
     boxed, key = _ordered(value, order, ignore_nulls)
     return F.max_by(boxed, key)["v"]
-
-
-def grouped_python(
-    df: DataFrame,
-    keys: Sequence[str],
-    partial: Callable[[DataFrame, Sequence[str]], DataFrame],
-    final: Callable[[DataFrame, Sequence[str]], DataFrame],
-    sizes: skew.GroupSizes | None = None,
-) -> DataFrame:
-    """Run a user-defined aggregate in two steps so no task sees a whole hot group.
-
-    ``partial(df, keys)`` aggregates rows to mergeable state per group of ``keys``
-    (with a salt among them where a group is hot) and
-    ``final(df, keys)`` merges the states. Both group with pandas functions, which
-    hold a group in memory, hence the split.
-    """
-    sizes = sizes or skew.group_sizes(df, keys)
-    if not sizes.any_hot:
-        return final(partial(df, list(keys)), list(keys))
-    dealt = skew.salted(df, sizes)
-    return final(partial(dealt, [*keys, skew.SALT]).drop(skew.SALT), list(keys))

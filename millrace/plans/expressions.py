@@ -420,6 +420,6 @@ def udtf_rows(t):
     t.spark.udtf.register("split_lines", user_defined.SplitLines)
     documents = t.view("documents", "millrace_documents")
     return t.spark.sql(
-        f"""SELECT doc_id, line_no, length(line) AS n_chars
-            FROM {documents}, LATERAL split_lines(text)"""
+        f"""SELECT key AS doc_id, line_no, length(line) AS n_chars
+            FROM split_lines(TABLE(SELECT doc_id, text FROM {documents}))"""
     )

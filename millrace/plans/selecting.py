@@ -390,4 +390,4 @@ def script_transform(t):
        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )
 def script_reduce(t):
-    return user_defined.reduce_script(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity")
+    return user_defined.sum_and_count(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity")

@@ -81,6 +81,6 @@ def test_no_python_outside_the_python_operators(spark, key):
         assert node not in plan
 
 
-@pytest.mark.parametrize("key", sorted(PYTHON - {"udtf_rows"}))
+@pytest.mark.parametrize("key", sorted(PYTHON))
 def test_python_operators_are_vectorised(spark, key):
     assert "BatchEvalPython" not in physical(QUERIES[key](spark, SF_DIR))

@@ -93,17 +93,31 @@ def test_sort_within_does_not_shuffle(lopsided):
     assert "Sort" in plan and plan.count("Exchange") == plan.count("Exchange RoundRobin")
 
 
-def test_grouped_python_is_the_same_when_salted(lopsided):
-    plain = user_defined.geometric_mean(lopsided, ["k"], "v", "m")
-    found = skew.group_sizes(lopsided, ["k"], 30)
-    split = user_defined.geometric_mean(lopsided, ["k"], "v", "m", found)
-    want = {r["k"]: r["m"] for r in plain.collect()}
-    have = {r["k"]: r["m"] for r in split.collect()}
+def test_user_defined_aggregates_merge_batches(spark, lopsided):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        have = {r["k"]: r["m"] for r in user_defined.geometric_mean(lopsided, ["k"], "v", "m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    log = F.when(F.col("v") > 0, F.log("v"))
+    want = {r["k"]: r["m"] for r in lopsided.groupBy("k").agg(F.exp(F.avg(log)).alias("m")).collect()}
     assert have.keys() == want.keys()
     for k in want:
         assert have[k] == pytest.approx(want[k])
 
 
+def test_an_aggregate_takes_the_callers_script(lopsided):
+    import pyarrow as pa
+
+    def longest(rows: pa.Table) -> pa.Table:
+        return rows.group_by("k").aggregate([("v", "max"), ("v", "min")]).rename_columns(["k", "high", "low"])
+
+    merge = {"span": F.max("high") - F.min("low")}
+    found = user_defined.aggregate(lopsided.select("k", "v"), ["k"], longest, "high bigint, low bigint", merge)
+    want = lopsided.groupBy("k").agg((F.max("v") - F.min("v")).alias("span"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_geometric_mean_without_positive_values(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", None), ("b", 4.0), ("b", 9.0)], "k string, v double")
     found = {r["k"]: r["m"] for r in user_defined.geometric_mean(df, ["k"], "v", "m").collect()}
@@ -131,7 +145,7 @@ def test_first_and_last_with_nulls(spark):
 def test_reduce_script_merges_batches(spark, lopsided, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        found = rows(user_defined.reduce_script(lopsided, ["k"], "v"), "k", "total", "rows")
+        found = rows(user_defined.sum_and_count(lopsided, ["k"], "v"), "k", "total", "rows")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = lopsided.groupBy("k").agg(F.sum("v").cast("double"), F.count("*"))
@@ -144,5 +158,6 @@ def test_vowels_and_lines(spark):
     assert [r["n"] for r in counted] == [5, 0, None]
     spark.udtf.register("split_lines", user_defined.SplitLines)
     df.createOrReplaceTempView("texts")
-    lines = spark.sql("SELECT line_no, line FROM texts, LATERAL split_lines(text)").collect()
+    query = "SELECT line_no, line FROM split_lines(TABLE(SELECT 1L AS id, text FROM texts))"
+    lines = spark.sql(query).collect()
     assert sorted(map(tuple, lines)) == [(0, ""), (0, "Aeiou xyz"), (1, "b")]
