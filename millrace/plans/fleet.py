@@ -150,8 +150,7 @@ def quota_settings(t):
 
 @query(
     "user_insert_unique",
-    """WITH asked AS (SELECT event_id, 'user_' || user_id AS username, user_id FROM events
-                      WHERE event_type = 'signup'),
+    """WITH asked AS (SELECT event_id, 'user_' || user_id AS username, user_id FROM events),
             won AS (SELECT username, min(event_id) AS first FROM asked GROUP BY username)
        SELECT event_id, asked.username,
               CASE WHEN user_id % 3 = 0 THEN 'exists' WHEN event_id = first THEN 'created'
@@ -160,7 +159,7 @@ def quota_settings(t):
 )
 def user_insert_unique(t):
     name = F.concat(F.lit("user_"), "user_id").alias("username")
-    asked = t.events.filter(F.col("event_type") == "signup").select("event_id", name)
+    asked = t.events.select("event_id", name)
     existing = t.events.filter(F.col("user_id") % 3 == 0).select(name)
     return users.insert_unique(asked, existing, ["event_id"]).select("event_id", "username", "outcome")
 
@@ -172,7 +171,7 @@ def user_insert_unique(t):
                            CAST(event_id % 6 AS INTEGER) AS mode,
                            CAST(event_id % 4 AS INTEGER) AS maxcores,
                            CAST(256 * (event_id % 3) AS INTEGER) AS maxmemory
-                    FROM events WHERE event_type = 'view' AND user_id % 5 <> 1),
+                    FROM events WHERE user_id % 5 <> 1),
         changes AS (SELECT username,
                arg_max(maxcores, (ts, event_id)) FILTER (WHERE mode IN (2, 4) AND maxcores <> 0) AS cores,
                arg_max(maxmemory, (ts, event_id)) FILTER (WHERE mode IN (3, 4) AND maxmemory <> 0) AS memory,
@@ -186,7 +185,7 @@ def user_insert_unique(t):
 )
 def user_patch_update(t):
     event = F.col("event_id")
-    patches = t.events.filter((F.col("event_type") == "view") & (F.col("user_id") % 5 != 1)).select(
+    patches = t.events.filter(F.col("user_id") % 5 != 1).select(
         F.concat(F.lit("user_"), "user_id").alias("username"),
         "event_id",
         "ts",
@@ -227,7 +226,7 @@ def quota_audit(t):
 
 @query(
     "route_table",
-    f"""WITH {inputs.SIGNUPS_SQL}, {inputs.SERVICES_SQL}
+    f"""WITH {inputs.CREATED_SQL}, {inputs.SERVICES_SQL}
         SELECT 'spark-jobs' AS namespace, name AS owner, uid, servicename AS service, serviceport AS port,
                entrypoint AS entry_point,
                CASE servicetype WHEN 'web' THEN 'IngressRoute' ELSE 'IngressRouteTCP' END AS kind,

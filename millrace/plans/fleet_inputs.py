@@ -25,21 +25,21 @@ USERS_SQL = """users AS (
          CAST(512 * (user_id % 4) AS INTEGER) AS maxmemory, min(ts) AS uptime
   FROM events GROUP BY user_id)"""
 
-# Per event of type signup a message with a web, a tcp and sometimes a udp
+# Per event a message with a web, a tcp and sometimes a udp
 # service; every tenth event is delivered twice, every seventh is cut short.
-SIGNUPS_SQL = """signups AS (
+CREATED_SQL = """created AS (
   SELECT event_id, user_id, ts, 'spark-sql-' || user_id AS name, 'uid-' || event_id AS uid,
          event_id % 7 = 0 AS cut, event_id % 10 = 0 AS twice
-  FROM events WHERE event_type = 'signup')"""
+  FROM events)"""
 
 SERVICES_SQL = """services AS (
   SELECT s.*, 'web' AS servicetype, 'web' AS entrypoint, name || '-ui-svc' AS servicename,
-         4040 AS serviceport, '/proxy/spark/spark-jobs/' || name AS routepath FROM signups s
+         4040 AS serviceport, '/proxy/spark/spark-jobs/' || name AS routepath FROM created s
   UNION ALL
   SELECT s.*, 'tcp', 'hive2', name || '-jdbc-svc', 10019,
-         '/proxy/spark-jdbc/spark-jobs/' || name FROM signups s
+         '/proxy/spark-jdbc/spark-jobs/' || name FROM created s
   UNION ALL
-  SELECT s.*, 'udp', 'web', name || '-udp-svc', 53, '' FROM signups s WHERE event_id % 3 = 0)"""
+  SELECT s.*, 'udp', 'web', name || '-udp-svc', 53, '' FROM created s WHERE event_id % 3 = 0)"""
 
 
 def apps(t):
@@ -85,7 +85,7 @@ def _service(kind, entry, name, port, path):
 
 
 def messages(t):
-    """Signup events as decoded messages: name, namespace, uid, ts, services."""
+    """Events as decoded messages: name, namespace, uid, ts, services."""
     namespace = F.lit(naming.ENGINE_NAMESPACE)
     name = naming.engine_name(F.col("user_id").cast("string"))
     web = _service("web", "web", naming.ui_service(name), 4040, naming.ui_path(namespace, name))
@@ -94,7 +94,7 @@ def messages(t):
     )
     udp = _service("udp", "web", F.concat(name, F.lit("-udp-svc")), 53, F.lit(""))
     services = F.when(F.col("event_id") % 3 == 0, F.array(web, tcp, udp)).otherwise(F.array(web, tcp))
-    return t.events.filter(F.col("event_type") == "signup").select(
+    return t.events.select(
         "event_id",
         name.alias("name"),
         namespace.alias("namespace"),

@@ -16,9 +16,9 @@ def _arrived(t):
 
 @query(
     "stream_route_messages",
-    f"""WITH {inputs.SIGNUPS_SQL}, {inputs.SERVICES_SQL},
+    f"""WITH {inputs.CREATED_SQL}, {inputs.SERVICES_SQL},
         delivered AS (SELECT *, unnest(CASE WHEN twice THEN [1, 2] ELSE [1] END) AS nth FROM services),
-        broken AS (SELECT *, unnest(CASE WHEN twice THEN [1, 2] ELSE [1] END) AS nth FROM signups WHERE cut)
+        broken AS (SELECT *, unnest(CASE WHEN twice THEN [1, 2] ELSE [1] END) AS nth FROM created WHERE cut)
         SELECT 'routed' AS outcome, name, uid, servicename, servicetype, serviceport, routepath,
                NULL::VARCHAR AS raw
         FROM delivered WHERE NOT cut
@@ -37,10 +37,10 @@ def stream_route_messages(t):
 
 @query(
     "stream_redelivery_dedup",
-    f"""WITH {inputs.SIGNUPS_SQL}
+    f"""WITH {inputs.CREATED_SQL}
         SELECT name, uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
                CASE WHEN event_id % 3 = 0 THEN 3 ELSE 2 END AS services
-        FROM signups WHERE NOT cut""",
+        FROM created WHERE NOT cut""",
 )
 def stream_redelivery_dedup(t):
     sink = fresh_path(t.spark, "once")
