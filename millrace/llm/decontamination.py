@@ -2,7 +2,7 @@
 
 1. Words (runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased) are
    hashed, and every run of ``n`` words of the test items becomes a gram (a shorter item is one gram).
-2. One pass over the documents finds the places of grams. A bitmap of the grams, of fixed
+2. One pass over the documents finds the places of grams. A bitmap of the grams, of bounded
    size, is sent to the tasks and lets most other places go; an equal-join with the grams
    settles the rest, so its size bears on speed only. A document's places are gathered into
    segments, with the longest item's length of words around them.
@@ -31,7 +31,8 @@ from millrace.llm import words
 from millrace.llm.frames import list_column, ragged, written
 
 N, WINDOW, THRESHOLD = 4, 6, 0.5
-BITMAP_BITS = 24  # two to the power of so many bits: 2 MB
+# The bitmap has two to the power of so many bits: enough for 32 a gram, 2 to 128 MB.
+LEAST_BITS, MOST_BITS = 24, 30
 MATCH, OTHER = 2, -1
 
 
@@ -76,21 +77,29 @@ def _grams(n: int):
     return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    for batch in batches:
-        bits[batch.column("gram").to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-    yield pa.record_batch({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def gram_bitmap(grams: DataFrame, least: int = LEAST_BITS, most: int = MOST_BITS) -> np.ndarray:
+    """One bit for the leading bits of every gram, in bytes; its size is bounded by ``most``."""
+    size = min(most, max(least, (32 * grams.count()).bit_length()))
+    shift = np.uint64(64 - size)
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = batch.column("gram").to_numpy().view(np.uint64) >> shift
+            yield pa.record_batch({"place": pa.array(np.unique(gram).astype(np.int64))})
 
-def gram_bitmap(grams: DataFrame) -> np.ndarray:
-    """One bit for the leading bits of every gram, put together from one bitmap a task."""
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in grams.select("gram").mapInArrow(_bitmaps, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row.bits, np.uint8)
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    found = grams.select("gram").mapInArrow(places, "place bigint").distinct()
+    for (place,) in found.toLocalIterator():  # a partition at a time, no more places than bits
+        bits[place >> 3] |= 1 << (place & 7)
     return bits
 
 
+def _known(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places of the grams whose bit is set."""
+    place = grams >> np.uint64(64 - (8 * len(bits) - 1).bit_length())
+    return np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+
+
 _PLACES = (
     "doc_id bigint, segment bigint, starts bigint, words array<bigint>, grams array<bigint>, at array<int>"
 )
@@ -100,7 +109,6 @@ def _places(bitmap, sizes: list[int], reach: int):
     """Segments of documents around the words at which a gram of one of ``sizes`` words may stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bitmap.value).view(bool)
         segment = _numbered()
         for batch in batches:
             ids = batch.column("doc_id")
@@ -109,7 +117,7 @@ def _places(bitmap, sizes: list[int], reach: int):
                 found, values = [], []
                 for n in sizes:
                     grams = words.runs(w.hashes, n)
-                    at = np.flatnonzero(known[grams >> np.uint64(64 - BITMAP_BITS)])
+                    at = _known(bitmap.value, grams)
                     text = np.searchsorted(ends, at, side="right")
                     at = at[at + n <= ends[text]]  # within one text
                     found.append(at)
