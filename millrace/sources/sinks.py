@@ -162,9 +162,9 @@ def multi_insert(source: DataFrame, branches: Mapping[str, Branch], root: str) -
         ]
         return F.coalesce(*choices).alias(name)
 
-    tagged.select("sink", *[column(c) for c in names]).write.mode("overwrite").partitionBy(
-        "sink"
-    ).parquet(root)
+    # Dealt by sink, large sinks split: else every task would write a file for every sink.
+    dealt = tagged.select("sink", *[column(c) for c in names]).hint("rebalance", "sink")
+    dealt.write.mode("overwrite").partitionBy("sink").parquet(root)
     return {name: f"{root}/sink={name}" for name in branches}
 
 
