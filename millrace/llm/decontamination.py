@@ -1,15 +1,20 @@
 """Operator 8: documents that hold exact, edited or paraphrased copies of test items.
 
 1. Words (runs of ASCII letters and digits and of anything outside ASCII, A-Z lower-cased) are
-   hashed, and every run of ``n`` words of the test items becomes a gram (a shorter item is one gram).
-2. One pass over the documents finds the places of grams. A bitmap of the grams, of bounded
-   size, is sent to the tasks and lets most other places go; an equal-join with the grams
-   settles the rest, so its size bears on speed only. A document's places are gathered into
-   segments, with the longest item's length of words around them.
-3. Seeds: of every ``window`` grams in a row of an item, the one that is rarest in the corpus. A
-   document shares a seed with each item of which it holds ``window + n - 1`` words in a row, however
-   common the passage itself has become; only rare seeds make candidate pairs.
-4. Smith-Waterman aligns each candidate segment with its item, word by word (match 2, else -1).
+   hashed, and every two words of a test item that stand next to each other or one word apart become a
+   gram. An alignment of ``s`` points has at least ``s / 2 - 1`` pairs of consecutive matched words
+   with at most one edit between them (the edits cost a point each, so there are fewer of them than
+   twice the matches), and both words of such a pair stand one or two words apart in the item
+   and in the document. Items so short that this promises no pair use single words.
+2. Seeds: as so many places of an item must be matched, every set of one more than the rest holds a matched
+   one. That many places of each item are taken, those with the rarest grams in the corpus first, so
+   each alignment from ``threshold`` on has a seed, whatever the counts are; they only order the work.
+   The counts come from one pass over the documents, for which a bitmap of the grams, of bounded
+   size, is sent to the tasks and lets most places go.
+3. A second pass, with a bitmap of the seeds, gathers a document's places into segments, with as many
+   words around them as an alignment can reach; an equal-join with the seeds makes candidate pairs.
+4. Smith-Waterman aligns each candidate segment that holds enough of its item's words with the item, word by
+   word (match 2, else -1).
    The score is the best alignment as a share of the item's own, and a pair counts from ``threshold``.
 
 Null and empty texts and items without words match nothing. Repeated documents or items (by id)
@@ -19,18 +24,19 @@ on either side give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words
 from millrace.llm.frames import list_column, ragged, written
 
-N, WINDOW, THRESHOLD = 4, 6, 0.5
+THRESHOLD = 0.5
 # The bitmap has two to the power of so many bits: enough for 32 a gram, 2 to 128 MB.
 LEAST_BITS, MOST_BITS = 24, 30
 MATCH, OTHER = 2, -1
@@ -61,17 +67,32 @@ def item_words(items: DataFrame) -> DataFrame:
     return written(found.filter("size(words) > 0"), "items")
 
 
-def _grams(n: int):
+def least_score(size: int, threshold: float) -> int:
+    """The smallest score of an alignment with an item of ``size`` words that counts."""
+    return max(1, math.ceil(MATCH * size * threshold - 1e-9))
+
+
+def _found(hashes: np.ndarray, step: int) -> np.ndarray:
+    """The gram at each word: of the word and the one ``step`` words on, or of the word alone."""
+    return words.pairs(hashes, step) if step else hashes
+
+
+def _grams(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.column("words")[row].values.to_numpy().view(np.uint64)
-                grams = words.runs(own, min(n, len(own)))
+                sure = -(-least_score(len(own), threshold) // 2) - 1  # places that are matched at least
+                steps = (1, 2) if sure > 0 else (0,)
+                cover = len(own) - max(0, sure)
+                grams = [_found(own, step) for step in steps]
+                sizes = [len(g) for g in grams]
                 yield pa.record_batch({
-                    "item": pa.array([batch.column("item")[row].as_py()] * len(grams), pa.int64()),
-                    "at": pa.array(np.arange(len(grams), dtype=np.int32)),
-                    "size": pa.array(np.full(len(grams), min(n, len(own)), np.int32)),
-                    "gram": pa.array(grams.view(np.int64)),
+                    "item": pa.array([batch.column("item")[row].as_py()] * sum(sizes), pa.int64()),
+                    "at": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
+                    "step": pa.array(np.repeat(np.array(steps, np.int32), sizes)),
+                    "cover": pa.array(np.full(sum(sizes), cover, np.int32)),
+                    "gram": pa.array(np.concatenate(grams).view(np.int64)),
                 })
 
     return run
@@ -105,8 +126,33 @@ _PLACES = (
 )
 
 
-def _places(bitmap, sizes: list[int], reach: int):
-    """Segments of documents around the words at which a gram of one of ``sizes`` words may stand."""
+def _standing(bitmap, w: words.Words, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the grams of whole texts that the bitmap knows."""
+    ends = np.cumsum(w.counts)
+    found, values = [], []
+    for step in steps:
+        grams = _found(w.hashes, step)
+        at = _known(bitmap.value, grams)
+        at = at[at + step < ends[np.searchsorted(ends, at, side="right")]]  # within one text
+        found.append(at)
+        values.append(grams[at])
+    return np.concatenate(found), np.concatenate(values)
+
+
+def _tally(bitmap, steps: list[int]):
+    """How often each known gram stands in the texts of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words.scan(batch.column("text")):
+                grams, n = np.unique(_standing(bitmap, w, steps)[1], return_counts=True)
+                yield pa.record_batch({"gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return run
+
+
+def _places(bitmap, steps: list[int], reach: int):
+    """Segments of documents around the words at which a seed may stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = _numbered()
@@ -114,15 +160,7 @@ def _places(bitmap, sizes: list[int], reach: int):
             ids = batch.column("doc_id")
             for w in words.scan(batch.column("text")):
                 ends = np.cumsum(w.counts)
-                found, values = [], []
-                for n in sizes:
-                    grams = words.runs(w.hashes, n)
-                    at = _known(bitmap.value, grams)
-                    text = np.searchsorted(ends, at, side="right")
-                    at = at[at + n <= ends[text]]  # within one text
-                    found.append(at)
-                    values.append(grams[at])
-                at, gram = np.concatenate(found), np.concatenate(values)
+                at, gram = _standing(bitmap, w, steps)
                 if not len(at):
                     continue
                 order = np.argsort(at, kind="stable")
@@ -133,7 +171,7 @@ def _places(bitmap, sizes: list[int], reach: int):
                 last = np.concatenate((first[1:], [len(at)])) - 1
                 base = (ends - w.counts)[text[first]]
                 begins = np.maximum(at[first] - reach, base)
-                stops = np.minimum(at[last] + max(sizes) + reach, ends[text[first]])
+                stops = np.minimum(at[last] + 1 + reach, ends[text[first]])
                 yield pa.record_batch({
                     "doc_id": ids.take(pa.array(w.first + text[first])),
                     "segment": pa.array(segment + np.arange(len(first))),
@@ -165,63 +203,69 @@ def align(segment: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores, ends, known = [], [], {}
-        segments, items = batch.column("words"), batch.column("item_words")
-        for row in range(batch.num_rows):
-            segment, item = segments[row].values.to_numpy(), items[row].values.to_numpy()
-            key = (segment.tobytes(), item.tobytes())  # copies of a passage are aligned once a batch
-            if key not in known:
-                known[key] = align(segment, item)
-            best, end = known[key]
-            scores.append(best / (MATCH * len(item)))
-            ends.append(end)
-        yield pa.record_batch({
-            "doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"),
-            "score": pa.array(scores, pa.float64()),
-            "ends": pa.array(np.array(ends, np.int64) + batch.column("starts").to_numpy()),
-        })
-
-
-def seeds(grams: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """``gram, item``: the rarest gram of every ``window`` grams in a row of an item, ties to the first.
-
-    ``counts`` has how often each gram stands in the corpus; one that never does can seed nothing.
+def _align(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, ends, known = [], [], {}
+            segments, items = batch.column("words"), batch.column("item_words")
+            for row in range(batch.num_rows):
+                segment, item = segments[row].values.to_numpy(), items[row].values.to_numpy()
+                key = (segment.tobytes(), item.tobytes())  # copies of a passage are aligned once a batch
+                if key not in known:
+                    # An alignment of so many points matches half as many words of the item.
+                    enough = MATCH * np.isin(item, segment).sum() >= least_score(len(item), threshold)
+                    known[key] = align(segment, item) if enough else (0, 0)
+                best, end = known[key]
+                scores.append(best / (MATCH * len(item)))
+                ends.append(end)
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "item_id": batch.column("item_id"),
+                "score": pa.array(scores, pa.float64()),
+                "ends": pa.array(np.array(ends, np.int64) + batch.column("starts").to_numpy()),
+            })
+
+    return run
+
+
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``gram, item, step``: the grams of the ``cover`` places of each item that are rarest, ties to the first.
+
+    ``counts`` has how often each gram stands in the corpus.
     """
-    counted = grams.join(counts, "gram", "left").select(
-        "item", "at", "gram", F.coalesce("n", F.lit(0)).alias("n")
-    )
-    # A gram takes part in the windows that begin up to window - 1 grams before it.
-    begins = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - window + 1), F.col("at"))).alias("begin")
-    longest = grams.groupBy("item").agg(F.max("at").alias("end"))
-    spread = counted.select("*", begins).join(longest, "item")
-    spread = spread.filter(F.col("begin") <= F.greatest(F.lit(0), F.col("end") - window + 1))
-    chosen = spread.groupBy("item", "begin").agg(F.min_by("gram", F.struct("n", "at")).alias("gram"))
-    return chosen.select("gram", "item").distinct()
-
-
-def matches(
-    docs: DataFrame, items: DataFrame, n: int = N, window: int = WINDOW, threshold: float = THRESHOLD
-) -> DataFrame:
+    counted = grams.join(counts, "gram", "left")
+    places = counted.groupBy("item", "at", "cover").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "at"))
+    taken = places.withColumn("rank", rank).filter("rank <= cover").select("item", "at")
+    return grams.join(taken, ["item", "at"]).select("gram", "item", "step").distinct()
+
+
+def _steps(grams: DataFrame) -> list[int]:
+    return sorted(r[0] for r in grams.select("step").distinct().collect()) or [1]  # three at most
+
+
+def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, ends``: documents (``doc_id``, ``text``) that hold a copy of an item
     (``item_id``, ``text``), the best score, and the word after the best alignment."""
     spark = docs.sparkSession
     own = item_words(items)
-    grams = written(own.mapInArrow(_grams(n), "item bigint, at int, size int, gram bigint"), "grams")
+    grams = own.mapInArrow(_grams(threshold), "item bigint, at int, step int, cover int, gram bigint")
+    grams = written(grams, "grams")
     longest = own.agg(F.max(F.size("words"))).first()[0] or 1
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect()) or [n]  # at most n numbers
-    bitmap = spark.sparkContext.broadcast(gram_bitmap(grams))
+    # Of an alignment, every word of the document is matched or an edit.
+    reach = (1 + MATCH) * longest - least_score(longest, threshold)
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    segments = written(narrow.mapInArrow(_places(bitmap, sizes, longest), _PLACES), "segments")
+    bitmap = spark.sparkContext.broadcast(gram_bitmap(grams))
+    tally = narrow.select("text").mapInArrow(_tally(bitmap, _steps(grams)), "gram bigint, n bigint")
+    rare = written(seeds(grams, tally.groupBy("gram").agg(F.sum("n").alias("n"))), "seeds")
+    bitmap = spark.sparkContext.broadcast(gram_bitmap(rare))
+    segments = written(narrow.mapInArrow(_places(bitmap, _steps(rare), reach), _PLACES), "segments")
 
-    found = segments.select("segment", F.explode("grams").alias("gram"))
-    counts = found.groupBy("gram").agg(F.count("*").alias("n"))
-    pairs = found.join(seeds(grams, counts, window), "gram").select("segment", "item").distinct()
+    found = segments.select("segment", F.explode(F.array_distinct("grams")).alias("gram"))
+    pairs = found.join(rare, "gram").select("segment", "item").distinct()
     joined = pairs.join(segments.select("doc_id", "segment", "starts", "words"), "segment")
     joined = joined.join(own.select("item", "item_id", F.col("words").alias("item_words")), "item")
     scored = joined.select("doc_id", "item_id", "starts", "words", "item_words").mapInArrow(
-        _align, "doc_id bigint, item_id bigint, score double, ends bigint"
+        _align(threshold), "doc_id bigint, item_id bigint, score double, ends bigint"
     )
     best = F.max(F.struct("score", "ends")).alias("best")
     return (

@@ -91,3 +91,8 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = mixed(out * np.uint64(_BASE) + hashes[k : k + m])
     return out
+
+
+def pairs(hashes: np.ndarray, step: int) -> np.ndarray:
+    """A hash of each word and the one ``step`` words on, the same for every step."""
+    return mixed(hashes[:-step] * np.uint64(_BASE) + hashes[step:])

@@ -96,6 +96,31 @@ def test_a_passage_in_most_documents_is_found_in_all(spark):
     assert {r["doc_id"] for r in many.collect()} <= found
 
 
+def test_every_edit_pattern_above_the_threshold_is_found(spark):
+    prepared(spark)
+    rng = random.Random(8)
+    text = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
+    items = [text(n) for n in (3, 4, 5, 16, 17, 38, 59)]
+    docs, want = [], {}
+    for k, item in enumerate(items):
+        edited = [list(item)]  # the exact copy makes the item's own grams common
+        for every in range(3, 10):
+            kept = [(i + 1) % every != 0 for i in range(len(item))]
+            edited.append([w if keep else "other%d" % rng.randrange(99) for w, keep in zip(item, kept, strict=True)])
+            edited.append([w for w, keep in zip(item, kept, strict=True) if keep])
+        for gap in (1, 2, 3):
+            edited.append([x for i, w in enumerate(item) for x in (["more%d" % rng.randrange(99), w] if i % gap == 0 else [w])])
+        for e in edited:
+            docs.append((len(docs), " ".join(text(rng.randrange(80)) + e + text(rng.randrange(80)))))
+            for j, other in enumerate(items):
+                score = naive_align(words(docs[-1][1]), other) / (2 * len(other))
+                if score >= dec.THRESHOLD:
+                    want[docs[-1][0], j] = round(score, 9)
+    assert len(want) > 100
+    frames = (spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in dec.matches(*frames).collect()} == want
+
+
 def test_odd_inputs(spark):
     prepared(spark)
     items = spark.createDataFrame(
