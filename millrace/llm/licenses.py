@@ -2,7 +2,7 @@
 
 A text's words are its runs of ASCII letters and digits and of anything outside ASCII, with A-Z
 lower-cased. One Aho-Corasick automaton finds every place of every phrase, word by word. Where it finds
-an identifier tag, the expression behind the tag is read from the text itself, turned into postfix by
+an identifier tag, the expression behind each tag, up to the next tag or the end of the line, is turned into postfix by
 a shunting-yard parser (``with`` binds closest, then ``and``, then ``or``) and evaluated: ``and`` is as
 strict as its stricter side, ``or`` as its milder, an exception lowers copyleft by one step. A malformed
 expression is skipped. ``score`` is the strictness of the strictest notice or expression of the text, 0 without any.
@@ -50,7 +50,8 @@ STRICTNESS = {
 }
 
 _SPACED = bytes(b if WORD_BYTES[b] else 32 for b in range(256))
-_TAG = re.compile(r"(?i)\b(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[ \t]*[:=]?[ \t]*([^\r\n]*)")
+_TAG = re.compile(r"(?i)\b(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[ \t]*[:=]?[ \t]*")
+_LINE_END = re.compile(r"[\r\n]")
 _PART = re.compile(r"[()]|[A-Za-z0-9.+_-]+")
 _VERSION = re.compile(r"-(?:\d+(?:\.\d+)*|\d+-clause)(?:-only|-or-later)?\+?$")
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -157,8 +158,10 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], set[str], list[s
     levels = [strictness(label) or 0.0 for label in labels]
     expressions = []
     if tagged:
-        for match in _TAG.finditer(text):
-            parts = postfix(match[1])
+        tags = [m.span() for m in _TAG.finditer(text)]
+        for (_, begin), (end, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
+            line = _LINE_END.search(text, begin, end)
+            parts = postfix(text[begin : line.start() if line else end])
             if parts:
                 names, level = evaluate(parts)
                 labels |= names

@@ -81,3 +81,11 @@ def test_tags_add_labels():
     assert labels == {"mit", "bsd-3-clause"} and expressions == ["MIT BSD-3-Clause and"] and score == licenses.PERMISSIVE
     assert licenses.scan("SPDX-License-Identifier: AND")[2] == set()
     assert licenses.scan("This is free and unencumbered software. Apache License, Version 2.0")[2] == {"unlicense", "apache", "apache-2.0"}
+
+
+def test_every_tag_of_a_line_is_read():
+    _, _, labels, expressions, score = licenses.scan("SPDX-License-Identifier: MIT */ x(); /* SPDX-License-Identifier: GPL-3.0-only */")
+    assert labels == {"mit", "gpl-3.0-only"} and expressions == ["MIT", "GPL-3.0-only"] and score == licenses.COPYLEFT
+    many = licenses.scan(" ".join(f"License-Expression: A{k} OR B{k}" for k in range(500)))
+    assert many[3] == [f"A{k} B{k} or" for k in range(500)]
+    assert licenses.scan("SPDX-License-Identifier:\nMIT SPDX-License-Identifier: ISC\rBSD")[3] == ["ISC"]
