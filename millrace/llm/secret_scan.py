@@ -1,7 +1,8 @@
 """Operator 7: secrets in texts, with a random forest that removes false findings.
 
 Candidates are runs of at least 16 letters, digits and ``+/=_.-`` of more than one kind of
-character, and values of at least 8 characters assigned to a name such as password or api_key.
+character, and values of at least 8 characters assigned to a name such as password or api_key. A run
+ends before an assigned value and at an ``=`` that is no padding, so a name is no part of its value.
 A forest judges each by its length, the characters it is made of, how likely the corpus's
 character transitions make it, how much of it frequent words of the corpus cover, the path of
 its document, and the words and marks around it. Candidates scored below ``threshold`` go.
@@ -18,6 +19,7 @@ Empty tables give no rows. Columns other than ``doc_id``, ``text`` and the path
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -41,6 +43,8 @@ _ASSIGNED = re.compile(
     r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\w{0,12}"
     r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>]{8,})"
 )
+_JOINT = re.compile(r"=(?=[^=])")  # not padding
+_QUERY = re.compile(r"[?&][\w.-]*$")
 _SECRET_WORD = re.compile(r"(?i)passw|pwd|secret|token|key|credential|auth|bearer|private|login")
 _OTHER_WORD = re.compile(r"(?i)sha\d|hash|commit|checksum|digest|integrity|uuid|guid|version|example|sample|url|href|src|path|file|order|invoice|isbn")
 _BENIGN_PATH = re.compile(r"(?i)test|example|sample|doc|fixture|mock|vendor|lock|\.md\b|\.svg\b")
@@ -87,24 +91,42 @@ def statistics(docs: DataFrame) -> Statistics:
     return Statistics.of(summed(docs.select(F.col("text").cast("string")), _SIZE, _count))
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int, int]]:
+    """First character of the name, and span of the value; one in a query of a URL ends with its part."""
+    for m in _ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
+        start, end = m.span(1)
+        if _QUERY.search(text, max(0, m.start() - 32), m.start()):
+            part = re.match("[^&#]*", m[1]).end()
+            end = start + part if part >= 8 else end
+        yield m.start(), start, end
+
+
+def _run(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The span without marks at its end, if it is long enough and of more than one kind of character."""
+    while end > start and text[end - 1] in ".-":
+        end -= 1
+    run = text[start:end]
+    kinds = (not run.isupper() and not run.islower() and any(c.isalpha() for c in run)) + any(c.isdigit() for c in run)
+    return [(start, end)] if len(run) >= 16 and kinds else []
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans, in order, overlapping ones merged to the longest."""
-    spans = []
+    """Spans, in order: assigned values, and what of the runs is outside of them and their names."""
+    values = list(_assigned(text))
+    out, k = [(start, end) for _, start, end in values], 0
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        while end > start and text[end - 1] in ".-":
-            end -= 1
-        run = text[start:end]
-        kinds = (not run.isupper() and not run.islower() and any(c.isalpha() for c in run)) + any(c.isdigit() for c in run)
-        if len(run) >= 16 and kinds:
-            spans.append((start, end))
-    if "=" in text or ":" in text:
-        spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if not out or start >= out[-1][1]:
-            out.append((start, end))
-    return out
+        at, pieces = m.start(), []
+        while k < len(values) and values[k][2] <= at:
+            k += 1
+        for name, _, end in itertools.takewhile(lambda v: v[1] < m.end(), itertools.islice(values, k, None)):
+            pieces.append((at, max(at, name)))
+            at = max(at, end)
+        pieces.append((at, max(at, m.end())))
+        for a, b in pieces:
+            cuts = [a, *(j.end() for j in _JOINT.finditer(text, a, b)), b + 1]
+            parts = [s for x, y in itertools.pairwise(cuts) for s in _run(text, x, y - 1)]
+            out += parts or _run(text, a, b)
+    return sorted(out)
 
 
 def features(text: str, start: int, end: int, path: str, known: Statistics) -> list[float]:
@@ -168,7 +190,8 @@ def labelled_findings(known: Statistics, count: int, seed: int = SEED) -> Iterat
                 lambda: f"eyJ{some(mixed, 30)}.{some(mixed, 60)}.{some(mixed + '_-', 43)}",
             )()
             name = pick("token", "secret", "api_key", "apiKey", "password", "access_token", "AUTH_TOKEN", "client_secret", "key")
-            before, after = pick((f'{name} = "', '"'), (f"{name}=", ""), (f"{name}: ", ""), (f"'{name}': '", "'"), ("Bearer ", ""), (f'{name} "', '"'))
+            before, after = pick((f'{name} = "', '"'), (f"{name}=", ""), (f"{name}: ", ""), (f"'{name}': '", "'"), ("Bearer ", ""), (f'{name} "', '"'),
+                (f"export {pick('X', 'DB', 'APP')}_{name.upper()}=", ""), (f"?{name}=", pick("", "&page=2")), ("", ""), ('"', '"'), ("(", ")"), (f"{word()}=", ""), (f"{word()}: ", ""))
             path = pick("src0", "src12", "app/config.yml", ".env", "src/main.py", "", "web")
         else:
             value, before, after = pick(

@@ -48,6 +48,34 @@ def test_candidates():
     assert spans("") == [] and spans("a" * 100_000) == [] and spans("1" * 20) == ["1" * 20]
 
 
+FORMS = ['api_key = "{}"', "API_KEY={}", "DB_PASSWORD={}", "export X_SECRET={}", "http://a.b/c?token={}", "http://a.b/c?token={}&page=2", "auth: {}", "SESSION={}", "see {} there"]
+
+
+@pytest.fixture(scope="module")
+def model(known):
+    return secret_scan.train(known)
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_recall_through_the_candidates(known, model, form):
+    rng = np.random.default_rng(7)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    x = []
+    for _ in range(200):
+        value = "q8Z" + "".join(rng.choice(alphabet, int(rng.integers(17, 40))))
+        text = f"set the {form.format(value)} and go"
+        at = text.index(value)
+        assert (at, at + len(value)) in secret_scan.candidates(text)
+        x.append(secret_scan.features(text, at, at + len(value), "src0", known))
+    assert (model.predict(np.array(x)) >= secret_scan.THRESHOLD).mean() > 0.95
+
+
+def test_runs_beside_assigned_values_stay():
+    spans = lambda t: [t[a:b] for a, b in secret_scan.candidates(t)]
+    assert spans("q8Zk2LmT0xVb4NcR7sYw1HdJ/token=hunter2hunter2") == ["q8Zk2LmT0xVb4NcR7sYw1HdJ/", "hunter2hunter2"]
+    assert spans("q8Zk2LmT0xVb4NcR7sYw1HdJ== SESSION_ID=ab12cd34ef") == ["q8Zk2LmT0xVb4NcR7sYw1HdJ==", "SESSION_ID=ab12cd34ef"]
+
+
 def test_query_finds_the_tokens_of_the_corpus(spark):
     docs = pq.read_table(f"{SF_DIR}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     want = set()
