@@ -6,8 +6,8 @@ long its runs of digits or letters are.
 
 The method adds what the patterns miss (numbers without a plus sign, other separators, addresses with
 letters outside ASCII) by a bidirectional LSTM with CRF transitions over characters. All four kinds need a digit
-or an ``@``, so the tagger reads every stretch of text up to ``MARGIN`` characters around one, in windows of ``WINDOW``
-characters that overlap by half. A character's scores are the mean over its windows, weighted by how far
+or an ``@``, so the tagger reads every stretch of text ``MARGIN`` characters around one, and on to the ends of the words
+between white space that this would cut, in windows of ``WINDOW`` characters that overlap by half. A character's scores are the mean over its windows, weighted by how far
 inside each it stands, and one decoding of the whole stretch reconciles the windows. A tagged span counts
 when it passes an exact check of its kind and meets no base span.
 
@@ -40,6 +40,7 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+_SPACE = re.compile(r"\s")
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -193,10 +194,17 @@ def train(examples: int = EXAMPLES, seed: int = SEED) -> Tagger:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Where the tagger reads: up to ``MARGIN`` characters around every digit and ``@``."""
+    """Where the tagger reads: ``MARGIN`` characters around every digit and ``@``, and the whole of words at the edges."""
     start = end = -1
     for m in _SIGN.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        if b <= end:
+            continue
+        while a > max(0, end) and not text[a - 1].isspace() and not text[a].isspace():
+            a -= 1
+        if b < len(text) and not text[b - 1].isspace():
+            space = _SPACE.search(text, b)
+            b = space.start() if space else len(text)
         if a > end:
             if start >= 0:
                 yield start, end

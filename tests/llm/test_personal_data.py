@@ -95,6 +95,13 @@ def test_what_the_patterns_miss(tagger):
     assert kinds == [["phone"], ["email"], [], []]
 
 
+def test_long_addresses_are_read_whole(tagger):
+    for text in ("write to post@müller-lüdenscheidt-verwaltungsgesellschaft.example please", "to josé.garcía.fernández.de.la.vega.y.montoya@exämple.com now"):
+        ((_, both),) = pii.all_spans([text], tagger)
+        word = next(w for w in text.split() if "@" in w)
+        assert [text[a:b] for a, b, k in both if k == "email"] == [word]
+
+
 def test_a_stretch_longer_than_a_window_is_reconciled(tagger):
     text = " ".join(f"+1 ({k:03d}) 555-0100 word" for k in range(100, 160))
     (spans,) = pii.tag([text], tagger)
