@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 of ``documents``, the last one the index of the token files. ``run`` writes every stage's result as
 Parquet in the shared folder and reads it again, so a stage that fails can be repeated alone.
 
-A stage's decisions name documents by ``doc_id``. Rows that repeat an id are told apart by their
-other columns where only some of them stay; rows without an id cannot be named and stay, but for the
-quality stage, which decides row by row. Empty tables pass through.
+The quality and benchmark stages decide row by row. The others name documents by ``doc_id``: rows that repeat
+an id are told apart by their other columns where only some of them stay, and rows without an id cannot
+be named and stay. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -43,8 +43,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
-    found = decontamination.contaminated(docs, Tables(prepared(spark), sf_dir).benchmark)
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    row = fresh("row")
+    docs_by_row = docs.withColumn(row, F.xxhash64("doc_id", "text"))  # rows alike in both have one decision
+    texts = docs_by_row.select(F.col(row).alias("doc_id"), "text")
+    found = decontamination.contaminated(texts, Tables(prepared(spark), sf_dir).benchmark)
+    return docs_by_row.join(found.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,11 @@ def test_nothing_passes_through(spark):
     for name, stage in pipeline.STAGES:
         after = stage(spark, docs, SF_DIR)
         assert after.count() == 0
+
+
+def test_benchmark_copies_go_by_row(spark):
+    prepared(spark)
+    item = Tables(spark, SF_DIR).benchmark.first()["text"]
+    docs = spark.createDataFrame([(1, item), (1, "clean text under the same id"), (None, item), (None, "clean text without an id"), (2, None)], "doc_id bigint, text string")
+    kept = pipeline.benchmark_decontamination(spark, docs, SF_DIR).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(1, "clean text under the same id"), (None, "clean text without an id"), (2, None)}
