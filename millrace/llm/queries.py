@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, licenses, mixing, neighbours, pii, quality, secret_scan, simhash, token_counts, token_files
+from millrace.llm import decontamination, licenses, mixing, neighbours, periodic, pii, quality, quality_rules, secret_scan, simhash, token_counts, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -89,3 +89,15 @@ def op7_secrets(t: Tables) -> DataFrame:
 def op2_personal_data(t: Tables) -> DataFrame:
     """Personal data in every document: base spans and those the tagger adds."""
     return pii.digest(pii.personal_data(t.documents))
+
+
+@_query
+def op12_quality_rules(t: Tables) -> DataFrame:
+    """Base figures of every document, its score against trusted documents, and whether it is kept."""
+    return quality_rules.judged(t.documents, t.labels)
+
+
+@_query
+def op13_periodic_runs(t: Tables) -> DataFrame:
+    """Runs of repeating words in every document, a tenth of which is made periodic first."""
+    return periodic.digest(periodic.periodic_runs(periodic.with_tails(t.documents)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -70,16 +71,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD_BYTES):
     return starts, np.flatnonzero(stops) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
+def hashed(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of ``part`` in every range, A-Z lower-cased."""
+    size = 1 << max(10, int(len(part)).bit_length())
+    total = np.concatenate(([np.uint64(0)], np.cumsum(_LOWER[part] * _powers(_BASE, size)[: len(part)])))
+    return mixed((total[ends] - total[starts]) * _powers(_INVERSE, size)[starts])
+
+
 def scan(column, kind: np.ndarray = WORD_BYTES) -> Iterator[Words]:
     """Words of an Arrow text column, A-Z lower-cased, about a megabyte of whole texts at a time."""
     data, offsets = flat_texts(column)
     for first, last in slices(offsets, SLICE_BYTES):
         part = data[offsets[first] : offsets[last]]
         starts, ends, counts = spans(part, offsets[first : last + 1] - offsets[first], kind)
-        size = 1 << max(10, int(len(part)).bit_length())
-        total = np.concatenate(([np.uint64(0)], np.cumsum(_LOWER[part] * _powers(_BASE, size)[: len(part)])))
-        hashes = (total[ends] - total[starts]) * _powers(_INVERSE, size)[starts]
-        yield Words(first, counts, mixed(hashes))
+        yield Words(first, counts, hashed(part, starts, ends))
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -96,3 +101,37 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
 def pairs(hashes: np.ndarray, step: int) -> np.ndarray:
     """A hash of each word and the one ``step`` words on, the same for every step."""
     return mixed(hashes[:-step] * np.uint64(_BASE) + hashes[step:])
+
+
+class _Symbols(dict):
+    """Word -> number, counted up from ``first``."""
+
+    def __init__(self, first: int):
+        self.first = first
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = self.first + len(self)
+        return k
+
+
+def symbols(texts: list[list[bytes]]) -> np.ndarray:
+    """A number for every word of lists of words, the same for equal words of one list and no others."""
+    used, parts = 0, []
+    for words in texts:
+        known = _Symbols(used)
+        parts.append(list(map(known.__getitem__, words)))
+        used += len(known)
+    return np.fromiter(chain.from_iterable(parts), np.int64, sum(map(len, parts)))
+
+
+def groups(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Consecutive texts of at most ``limit`` bytes together; a longer one is alone."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > limit:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group

@@ -1,0 +1,123 @@
+"""Periodic runs (operator 13) against the comparison of every word with every distance."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+import __spark_entry__ as contract
+from millrace.llm import periodic
+from millrace.llm.frames import prepared
+from tests.llm.odd import TEXTS, no_docs, odd_docs
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def brute(words, min_words=6, min_exponent=4):
+    known = {}
+    number = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    best = {}
+    for q in range(1, len(words) // min_exponent + 1):
+        same = np.concatenate(([False], number[:-q] == number[q:], [False])).astype(np.int8)
+        edges = np.flatnonzero(np.diff(same))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a + q >= max(min_words, min_exponent * q):
+                best.setdefault((a, b + q), q)  # smaller periods come first
+    return sorted((a, b - a, q) for (a, b), q in best.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def with_tail(doc_id, words):
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def digest(doc_id, words):
+    found = brute(words)
+    best = None
+    for s, n, q in found:
+        if best is None or n * best[2] > best[1] * q:
+            best = (s, n, q)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    sums = [hashlib.sha256(x.encode()).hexdigest() for x in (lines, collapsed(words, found))]
+    return doc_id, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], *sums
+
+
+def key(row):
+    return tuple((v is not None, v) for v in row)
+
+
+NAMES = "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256".split()
+
+
+def test_query_against_brute_force(spark):
+    docs = pq.read_table(f"{SF_DIR}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rows = contract.queries()["op13_periodic_runs"](spark, SF_DIR).collect()
+    want = [digest(d["doc_id"], with_tail(d["doc_id"], split(d["text"]))) for d in docs]
+    assert sorted((tuple(r[c] for c in NAMES) for r in rows), key=key) == sorted(want, key=key)
+    assert sum(r["n_runs"] for r in rows) > 50
+
+
+def test_odd_documents(spark):
+    prepared(spark)
+    more = [(20, "z z z z z z"), (21, "a b " * 30), (22, "z z z z z"), (None, "k k k k k k k"), (None, "k k k k k k k")]
+    docs = odd_docs(spark).select("doc_id", "text", "size").unionByName(spark.createDataFrame([(i, t, 0) for i, t in more], "doc_id bigint, text string, size int"))
+    rows = periodic.digest(periodic.periodic_runs(docs)).collect()
+    want = [digest(i, split(t)) for i, t in TEXTS + more]
+    assert sorted((tuple(r[c] for c in NAMES) for r in rows), key=key) == sorted(want, key=key)
+    tails = periodic.with_tails(docs).collect()
+    assert sorted(((r["doc_id"], split(r["text"])) for r in tails), key=str) == sorted(((i, with_tail(i, split(t))) for i, t in TEXTS + more), key=str)
+    assert periodic.digest(periodic.periodic_runs(periodic.with_tails(no_docs(spark)))).count() == 0
+
+
+@pytest.mark.parametrize("min_exponent", [2, 3, 4, 7])
+def test_drawn_texts_together(min_exponent):
+    rng = random.Random(min_exponent)
+    for _ in range(400):
+        texts = []
+        for _ in range(rng.randint(1, 5)):
+            n, letters = rng.choice([0, 1, 3, 6, 10, 30, 60, 150]), "abc"[: rng.randint(1, 3)]
+            words = [rng.choice(letters) for _ in range(n)]
+            if n and rng.random() < 0.6:
+                a = rng.randrange(n)
+                p = 1 + rng.randrange((n - a) // 3 + 1)
+                words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+            texts.append(words)
+        found = periodic.scan([" ".join(w).encode() for w in texts], 6, min_exponent)
+        for words, (n, own, text) in zip(texts, found):
+            assert n == len(words) and own == brute(words, 6, min_exponent)
+            assert text.decode() == collapsed(words, own)
+
+
+def test_words_are_compared_whole():
+    swap = str.maketrans("ab", "ba")
+    a = "a"
+    for _ in range(12):  # two words that polynomial hashes modulo 2 ** 64 take for equal
+        a += a.translate(swap)
+    b = a.translate(swap)
+    assert periodic.scan([" ".join([a, b] * 5).encode()])[0][1] == [(0, 10, 2)]
+    assert periodic.scan([" ".join([a] * 7).encode()])[0][1] == [(0, 7, 1)]
+
+
+@pytest.mark.parametrize("words", [["a"] * 100_000, [f"w{i % 700}" for i in range(100_000)], [f"w{i * i % 1009}" for i in range(100_000)]])
+def test_long_texts(words):
+    n, found, text = periodic.scan([" ".join(words).encode()])[0]
+    assert n == 100_000 and len(found) == 1 and found[0][:2] == (0, 100_000)
+    assert len(text.split()) == found[0][2] == {"a": 1, "w0": 700 if words[2] == "w2" else 1009}[words[0]]
