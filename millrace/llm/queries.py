@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import decontamination, licenses, mixing, neighbours, periodic, pii, quality, quality_rules, secret_scan, simhash, token_counts, token_files
+from millrace.llm import decontamination, licenses, merkle, mixing, neighbours, periodic, pii, quality, quality_rules, secret_scan, simhash, token_counts, token_files
 from millrace.llm.frames import prepared
 from millrace.sources.tables import Tables
 
@@ -91,6 +91,15 @@ def op2_personal_data(t: Tables) -> DataFrame:
     return pii.digest(pii.personal_data(t.documents))
 
 
+@_query
+def op11_merkle_manifest(t: Tables) -> DataFrame:
+    """Every document's place in a Merkle tree over all, and whether it verifies after some were changed."""
+    return merkle.audit(t.documents)
+
+
+ORACLES["op11_merkle_manifest"] = merkle.audit_sql()
+
+
 @_query
 def op12_quality_rules(t: Tables) -> DataFrame:
     """Base figures of every document, its score against trusted documents, and whether it is kept."""

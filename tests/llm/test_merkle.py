@@ -1,0 +1,113 @@
+"""Merkle manifest (operator 11) against SQL and against a tree built in plain Python."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from millrace.llm import merkle
+from millrace.llm.frames import prepared
+from tests.llm.odd import no_docs, odd_docs
+from tests.oracle import connect, differences
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(*fields):
+    return h(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def climb(nodes):
+    """The last node, and for each of ``nodes`` what stands beside it, level by level."""
+    beside, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, place in enumerate(at):
+            run = place - place % 16
+            beside[k].append(("".join(nodes[run:place]), "".join(nodes[place + 1 : run + 16])))
+            at[k] = place // 16
+        nodes = [h(*nodes[a : a + 16]) for a in range(0, len(nodes), 16)]
+    return nodes[0], beside
+
+
+def brute(docs):
+    parts = {}
+    for d in docs:
+        changed = None
+        if d[0] is not None and zlib.crc32(str(d[0]).encode()) % 5 == 0:
+            text = d[4] and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in d[4])
+            changed = leaf(*d[:4], text)
+        parts.setdefault(d[1], []).append(((d[0] is not None, d[0] or 0, leaf(*d)), d[0], changed))
+    order = sorted(parts, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: (rows := sorted(parts[s], key=lambda r: r[0]), *climb([r[0][2] for r in rows])) for s in order}
+    root, above = climb([trees[s][1] for s in order])
+    out = []
+    for s, up in zip(order, above):
+        rows, subroot, beside = trees[s]
+        for (key, doc_id, changed), own in zip(rows, beside):
+            now = changed or key[2]
+            for left, right in own + up:
+                now = h(left, now, right)
+            out.append((doc_id, key[2], subroot, root, h(*(a + b for a, b in own + up)), now, now == root))
+    return out
+
+
+def key(row):
+    return tuple((v is not None, v) for v in row)
+
+
+def compare(df, docs):
+    names = "doc_id leaf subroot root proof_sha256 folded_root verified".split()
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=key) == sorted(brute(docs), key=key)
+
+
+def as_tuples(df):
+    return [tuple(r) for r in df.select(*merkle.FIELDS).collect()]
+
+
+def test_two_tiers_against_sql(spark):
+    """A part of sf0.1 has more leaves than a block holds."""
+    path = "/root/testdata/sf0.1"
+    query, sql = contract.queries()["op11_merkle_manifest"], contract.oracle_sql()["op11_merkle_manifest"]
+    assert differences(query(spark, path), sql, connect(path)) == []
+
+
+def test_odd_documents(spark):
+    prepared(spark)
+    docs = odd_docs(spark)
+    compare(merkle.audit(docs), as_tuples(docs))
+    assert merkle.audit(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 256, 257, 4097])
+def test_sizes_of_one_part(spark, n):
+    """Also with a part of its own for every row: then the tree over the parts has the levels."""
+    prepared(spark)
+    docs = spark.range(n).select(
+        (F.col("id") * 7 % n).alias("doc_id"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.col("id").alias("n_chars"), F.concat(F.lit("Text Ä "), "id").alias("text"),
+    )
+    compare(merkle.audit(docs), as_tuples(docs))
+    if n in (17, 257):
+        apart = docs.withColumn("source", F.when(F.col("doc_id") != 3, F.concat(F.lit("Ü"), "doc_id")))
+        compare(merkle.audit(apart), as_tuples(apart))
+
+
+def test_repeated_and_missing_ids(spark):
+    """A third of all rows without an id, a third alike in everything."""
+    prepared(spark)
+    docs = spark.range(900).selectExpr(
+        "CASE WHEN id < 300 THEN 5 WHEN id >= 600 THEN id END AS doc_id", "CASE WHEN id % 7 > 0 OR id < 300 THEN 'a' END AS source",
+        "'en' AS lang", "CASE WHEN id >= 300 THEN id END AS n_chars", "CASE WHEN id < 300 THEN 'SAME' WHEN id % 2 = 0 THEN '' END AS text",
+    )
+    compare(merkle.audit(docs), as_tuples(docs))
+
+
+def test_plan_has_no_join_below_the_ranks(spark):
+    prepared(spark)
+    docs = odd_docs(spark)
+    plan = merkle.audit(docs)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Python" not in plan and "Arrow" not in plan
