@@ -1,11 +1,16 @@
 """Operator 10: licence notices and identifier tags in texts, and what their expressions allow.
 
 A text's words are its runs of ASCII letters and digits and of anything outside ASCII, with A-Z
-lower-cased. One Aho-Corasick automaton finds every place of every phrase, word by word. Where it finds
-an identifier tag, the expression behind each tag, up to the next tag or the end of the line, is turned into postfix by
-a shunting-yard parser (``with`` binds closest, then ``and``, then ``or``) and evaluated: ``and`` is as
-strict as its stricter side, ``or`` as its milder, an exception lowers copyleft by one step. A malformed
-expression is skipped. ``score`` is the strictness of the strictest notice or expression of the text, 0 without any.
+lower-cased. One Aho-Corasick automaton finds every place of every phrase, word by word. A tag is a place of
+a tag phrase whose words are parted by spaces, tabs, hyphens or underscores only, with ``:`` or ``=`` behind it. The
+expression behind a tag, up to the next tag phrase, is turned into postfix by a shunting-yard parser (``with`` binds
+closest, then ``and``, then ``or``) and evaluated: ``and`` is as strict as its stricter side, ``or`` as its milder,
+an exception lowers copyleft by one step. An expression ends with its line, unless an operator or an open bracket waits
+for more. ``score`` is the strictness of the strictest notice or expression of the text, 0 without any.
+
+An identifier is a name of ``STRICTNESS``, with or without a version, or a name with a digit or a hyphen. One that is not
+known counts as ``UNKNOWN``: terms that nobody here has read, between weak and full copyleft. A malformed expression and one
+with any other word for an operand (``License-Expression: see the file``) are skipped.
 
 Null and empty texts have no words and no labels. Repeated rows are scanned each. Empty tables
 give no rows. Other columns are not read.
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import WORD_BYTES
 
-# Strictness: free 0.1, permissive 0.25, weak copyleft 0.5, copyleft 0.75, no commercial use 0.9, reserved 1.
-FREE, PERMISSIVE, WEAK, COPYLEFT, NO_COMMERCE, RESERVED = 0.1, 0.25, 0.5, 0.75, 0.9, 1.0
+# Strictness: free 0.1, permissive 0.25, weak copyleft 0.5, unknown 0.6, copyleft 0.75, no commercial use 0.9, reserved 1.
+FREE, PERMISSIVE, WEAK, UNKNOWN, COPYLEFT, NO_COMMERCE, RESERVED = 0.1, 0.25, 0.5, 0.6, 0.75, 0.9, 1.0
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -41,18 +46,25 @@ PHRASES = {
 }
 TAGS = ("spdx license identifier", "license expression")
 
-STRICTNESS = {
-    "apache": PERMISSIVE, "mit": PERMISSIVE, "bsd": PERMISSIVE, "isc": PERMISSIVE, "zlib": PERMISSIVE,
-    "cc-by": PERMISSIVE, "mpl": WEAK, "epl": WEAK, "lgpl": WEAK, "gpl": COPYLEFT, "agpl": COPYLEFT,
-    "cc-by-sa": COPYLEFT, "cc-by-nd": NO_COMMERCE, "cc-by-nc": NO_COMMERCE, "cc-by-nc-sa": NO_COMMERCE,
-    "cc-by-nc-nd": NO_COMMERCE, "cc0": FREE, "public-domain": FREE, "unlicense": FREE, "0bsd": FREE,
-    "reserved": RESERVED,
-}
+# Public licence identifiers without their versions, by what they ask.
+_NAMES = {
+    FREE: "0bsd cc0 public-domain unlicense wtfpl mit-0 blessing",
+    PERMISSIVE: (
+        "afl apache artistic beerware blueoak bsd bsl cc-by curl fsfap ftl hpnd ijg isc libpng libtiff mit mit-cmu ncsa"
+        " ofl openssl php postgresql psf python sgi-b tcl unicode unicode-dfs upl vim w3c x11 zlib zpl"
+    ),
+    WEAK: "apsl cddl cecill-c cpl epl eupl ipl lgpl lgpllr lppl mpl ms-rl",
+    COPYLEFT: "agpl cc-by-sa cecill copyleft-next gfdl gpl odbl osl qpl rpl sleepycat sspl",
+    NO_COMMERCE: "cc-by-nc cc-by-nc-sa cc-by-nc-nd cc-by-nd busl elastic",
+    RESERVED: "reserved proprietary unlicensed none",
+}
+STRICTNESS = {name: level for level, names in _NAMES.items() for name in names.split()}
 
 _SPACED = bytes(b if WORD_BYTES[b] else 32 for b in range(256))
-_TAG = re.compile(r"(?i)\b(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[ \t]*[:=]?[ \t]*")
-_LINE_END = re.compile(r"[\r\n]")
-_PART = re.compile(r"[()]|[A-Za-z0-9.+_-]+")
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_GAP = re.compile(rb"[-_ \t]+")
+_BEHIND_TAG = re.compile(rb"[ \t]*[:=]")
+_PART = re.compile(r"[\r\n]|[()]|[A-Za-z0-9.+_-]+")
 _VERSION = re.compile(r"-(?:\d+(?:\.\d+)*|\d+-clause)(?:-only|-or-later)?\+?$")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -63,14 +75,23 @@ def strictness(identifier: str) -> float | None:
     return STRICTNESS.get(name, STRICTNESS.get(_VERSION.sub("", name)))
 
 
+def is_identifier(name: str) -> bool:
+    """Whether an operand can name a licence or an exception."""
+    return strictness(name) is not None or any(c.isdigit() or c == "-" for c in name.strip("-"))
+
+
 def postfix(text: str) -> list[str] | None:
     """The expression at the start of ``text`` in postfix order; None when it is malformed."""
     out: list[str] = []
     waiting: list[str] = []
     operand = False  # whether the part before is an operand
-    for part in _PART.findall(text):
+    for found in _PART.finditer(text):
+        part = found[0]
         low = part.lower()
-        if low in _BINDS:
+        if part in "\r\n":
+            if "(" not in waiting and (operand or not waiting):
+                break
+        elif low in _BINDS:
             if not operand:
                 return None
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[low]:
@@ -90,7 +111,12 @@ def postfix(text: str) -> list[str] | None:
         else:
             if operand:
                 break  # the expression has ended
-            out.append(part.rstrip(".") if part.rstrip(".") else part)
+            name = part.rstrip(".-_")
+            if not name and waiting:
+                continue  # a mark of the line, such as that of a comment
+            if not is_identifier(name):
+                return None
+            out.append(name)
             operand = True
     if not operand or "(" in waiting:
         return None
@@ -104,7 +130,7 @@ def evaluate(parts: list[str]) -> tuple[set[str], float]:
         if part not in _BINDS:
             # An exception behind ``with`` is no licence; it is dropped when its operator comes.
             level = strictness(part)
-            stack.append(({part.lower()}, RESERVED if level is None else level))
+            stack.append(({part.lower()}, UNKNOWN if level is None else level))
             continue
         (names, right), (others, left) = stack.pop(), stack.pop()
         if part == "with":
@@ -123,31 +149,45 @@ def _automaton(phrases: tuple):
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    labels: dict[str, tuple[list[str], list[str], bool]] = {}
+    labels: dict[str, tuple[list[str], list[str], int]] = {}  # base labels, others, words of a tag
     for phrase, label in BASE.items():
-        labels.setdefault(phrase, ([], [], False))[0].append(label)
+        labels.setdefault(phrase, ([], [], 0))[0].append(label)
     for phrase, label in phrases:
-        labels.setdefault(phrase, ([], [], False))[1].append(label)
+        labels.setdefault(phrase, ([], [], 0))[1].append(label)
     for phrase in TAGS:
-        labels[phrase] = ([], [], True)
+        labels[phrase] = ([], [], phrase.count(" ") + 1)
     for phrase, (base, more, tag) in labels.items():
         found.add_word(f" {phrase} ", (len(phrase) + 2, base, more, tag))
     found.make_automaton()
     return found
 
 
+def _tags(raw: bytes, places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Where the expression behind each tag begins and where the next tag phrase does, in bytes.
+
+    ``places``: first word and number of words of every place of a tag phrase.
+    """
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    nexts = [spans[first][0] for first, _ in places[1:]] + [len(raw)]
+    for (first, n), end in zip(places, nexts, strict=True):
+        own = spans[first : first + n]
+        behind = _BEHIND_TAG.match(raw, own[-1][1])
+        if behind and all(_GAP.fullmatch(raw, a[1], b[0]) for a, b in zip(own, own[1:], strict=False)):
+            yield behind.end(), max(end, behind.end())
+
+
 def scan(text: str | None) -> tuple[int, list[tuple[int, str]], set[str], list[str], float]:
     """Number of words; first word and label of every base place; all labels; expressions; score."""
     if not text:
         return 0, [], set(), [], 0.0
-    words = text.encode().lower().translate(_SPACED).split()
+    raw = text.encode()
+    words = raw.lower().translate(_SPACED).split()
     joined = f" {b' '.join(words).decode()} "
-    base, labels, tagged = [], set(), False
+    base, labels, tags = [], set(), []
     at, before = 0, 0  # words that begin before position ``at`` of ``joined``
     for last, (size, own, more, tag) in _compiled().iter(joined):
         labels.update(own, more)
-        tagged |= tag
-        if own:
+        if own or tag:
             first = last - size + 1
             if first >= at:
                 before += joined.count(" ", at, first)
@@ -155,18 +195,17 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], set[str], list[s
                 before -= joined.count(" ", first, at)
             at = first
             base += [(before, label) for label in own]
-    levels = [strictness(label) or 0.0 for label in labels]
+            if tag:
+                tags.append((before, tag))
+    levels = [strictness(label) or UNKNOWN for label in labels]
     expressions = []
-    if tagged:
-        tags = [m.span() for m in _TAG.finditer(text)]
-        for (_, begin), (end, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
-            line = _LINE_END.search(text, begin, end)
-            parts = postfix(text[begin : line.start() if line else end])
-            if parts:
-                names, level = evaluate(parts)
-                labels |= names
-                levels.append(level)
-                expressions.append(" ".join(parts))
+    for begin, end in _tags(raw, tags) if tags else ():
+        parts = postfix(raw[begin:end].decode())
+        if parts:
+            names, level = evaluate(parts)
+            labels |= names
+            levels.append(level)
+            expressions.append(" ".join(parts))
     return len(words), sorted(base), labels, expressions, max(levels, default=0.0)
 
 

@@ -1,5 +1,6 @@
 """Licence scans (operator 10): places against a plain search, expressions against their meaning."""
 
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -60,7 +61,9 @@ def test_places(text):
         ("(MIT or Apache-2.0) AND ISC */", ["MIT", "Apache-2.0", "or", "ISC", "and"]),
         ("GPL-2.0 WITH x-exception AND MIT", ["GPL-2.0", "x-exception", "with", "MIT", "and"]),
         ("MIT and", None), ("or MIT", None), ("(MIT", None), ("", None), ("MIT) OR ISC", ["MIT"]), ("MIT for all", ["MIT"]),
-        ("A OR B OR C", ["A", "B", "or", "C", "or"]),
+        ("A-1 OR B-1 OR C-1", ["A-1", "B-1", "or", "C-1", "or"]), ("see the file", None), ("MIT or whatever", None), (" : ", None),
+        ("MIT OR\n# GPL-2.0", ["MIT", "GPL-2.0", "or"]), ("(MIT\r\n * AND ISC)\nBSD-1", ["MIT", "ISC", "and"]), ("\nMIT", None), ("MIT\nOR ISC", ["MIT"]),
+        ("LicenseRef-x.", ["LicenseRef-x"]), ("MIT -- all of it", ["MIT"]), ("- MIT", None),
     ],
 )
 def test_postfix(text, want):
@@ -73,7 +76,8 @@ def test_evaluation():
     assert level("MIT AND GPL-3.0-or-later")[1] == licenses.COPYLEFT
     assert level("GPL-2.0+ WITH Classpath-exception-2.0") == ({"gpl-2.0+"}, licenses.WEAK)
     assert level("(MIT OR GPL-2.0) AND CC-BY-NC-4.0")[1] == licenses.NO_COMMERCE
-    assert level("Unheard-Of-1.0")[1] == licenses.RESERVED
+    assert level("Unheard-Of-1.0")[1] == licenses.UNKNOWN
+    assert [licenses.strictness(x) for x in ("BSL-1.0", "OFL-1.1", "EUPL-1.2", "BUSL-1.1", "none")] == [licenses.PERMISSIVE] * 2 + [licenses.WEAK, licenses.NO_COMMERCE, 1.0]
 
 
 def test_tags_add_labels():
@@ -89,3 +93,37 @@ def test_every_tag_of_a_line_is_read():
     many = licenses.scan(" ".join(f"License-Expression: A{k} OR B{k}" for k in range(500)))
     assert many[3] == [f"A{k} B{k} or" for k in range(500)]
     assert licenses.scan("SPDX-License-Identifier:\nMIT SPDX-License-Identifier: ISC\rBSD")[3] == ["ISC"]
+
+
+MARKS = ["", " ", "-", "_", "  ", "\t", "\n", ". ", " (", ", ", "/", " - ", ": ", "é", "\r\n# ", "\x1f", "😀"]
+
+
+@pytest.mark.parametrize("mark", MARKS)
+def test_tag_words_parted_by_any_mark(mark):
+    """A tag has spaces, tabs, hyphens and underscores between its words; whatever else is there, no tag and no failure."""
+    text = f"a SPDX{mark}License{mark}Identifier: MIT b"
+    tagged = bool(re.fullmatch(r"[-_ \t]+", mark))
+    assert licenses.scan(text)[2:4] == (({"mit"}, ["MIT"]) if tagged else (set(), []))
+
+
+@pytest.mark.parametrize("text", ["free software license. Expression of interest welcome", "license (expression)", "A license expression is a string", "SPDX-License-Identifier: see the file", "license expression", "license expression:", "license-expression = ", "license expression is: MIT"])
+def test_words_of_a_tag_that_are_none(text):
+    assert licenses.scan(text)[2:] == (set(), [], 0.0)
+
+
+def test_drawn_texts_of_tag_words_and_marks():
+    rng = random.Random(7)
+    words = ["SPDX", "license", "License", "identifier", "Expression", "MIT", "or", "AND", "with", "(", ")", "GPL-2.0+", ":", "=", "see", "all rights reserved", "cc by"]
+    for _ in range(10_000):
+        text = "".join(rng.choice(words) + rng.choice(MARKS) for _ in range(rng.randint(1, 14)))
+        n, base, labels, expressions, score = licenses.scan(text)
+        places = [k for k, _ in base]
+        assert (n, len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base}))) == naive(text)
+        behind = r"(?i)(?<![0-9a-z\x80-\U0010ffff])(?:spdx[-_ \t]+license[-_ \t]+identifier|license[-_ \t]+expression)[ \t]*[:=]"
+        assert len(expressions) <= len(re.findall(behind, text)) and (labels or not score)
+
+
+def test_many_tags_in_one_long_line():
+    text = "license expression: MIT or (" * 20_000
+    assert licenses.scan(text)[3] == []
+    assert len(licenses.scan("license-expression: MIT " * 20_000)[3]) == 20_000
