@@ -4,8 +4,9 @@ The byte-level pre-tokenizer matches from left to right and looks only ahead. No
 its tokens runs from a character that is not white space into one that is, or from a letter
 into an ASCII character that is no letter. So a text may be cut at those places, and the ids
 of the pieces, one after the other, are the ids of the whole. Most pieces repeat, and a worker
-encodes each distinct one once while it remembers it. A text with white space outside ASCII,
-and any text under another pre-tokenizer, is encoded uncut.
+encodes each distinct one once while it remembers it. A text with white space outside ASCII or with the string
+of an added token, and any text under another pre-tokenizer, is encoded uncut; added tokens' strings give their ids, as in
+the library.
 """
 
 from __future__ import annotations
@@ -49,13 +50,11 @@ def default_vocabulary() -> str:
 
 
 def load(path: str):
-    """The tokenizer; special tokens' strings inside a text are ordinary text."""
+    """The tokenizer as the library reads it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _can_cut(tokenizer) -> bool:
@@ -101,6 +100,7 @@ class Encoder:
     def __init__(self, path: str, offsets: bool = False):
         self.tokenizer, self.offsets = load(path), offsets
         self.cut, self.model = _can_cut(self.tokenizer), self.tokenizer.model
+        self.added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         self._forget()
 
     def _forget(self) -> None:
@@ -108,7 +108,12 @@ class Encoder:
         self.first, self.count, self.size = _Growing(np.int64), _Growing(np.int32), _Growing(np.int32)
         self.ids, self.begin, self.end = _Growing(np.uint32), _Growing(np.int32), _Growing(np.int32)
 
+    def _has_added(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def _ids(self, piece: str) -> list[int]:
+        if self._has_added(piece):  # a text that was not cut
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
         ids = []
         for word in _TOKEN.findall(piece):
             letters = word.encode().decode("latin-1").translate(_LETTERS)
@@ -138,7 +143,9 @@ class Encoder:
         token begins and ends in its text, in code points."""
         if len(self.known) > REMEMBERED_PIECES or self.ids.used > REMEMBERED_IDS:
             self._forget()
-        whole = [not self.cut or not t.isascii() and _OTHER_SPACE.search(t) is not None for t in texts]
+        whole = [
+            not self.cut or not t.isascii() and _OTHER_SPACE.search(t) is not None or self._has_added(t) for t in texts
+        ]
         cut = [[t] if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
         k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(per_text.sum()))

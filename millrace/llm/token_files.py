@@ -5,16 +5,16 @@ image after image hold the documents in ascending order. Each row of the written
 one file image (``bitpack``) with the ids of whole documents, and an index of them: document
 ``j`` of an image begins at the sum of the ``n_tokens`` before it. Spark's writer commits the
 files, so a lost executor or a second attempt leaves neither gaps nor doubles, and any store
-Spark can write to will do. ``save_images`` puts the images of a bounded choice into plain files.
+Spark can write to will do.
 
 Nulls: a null text is empty and gets the end id alone; null ids come first. Repeated rows
-are kept, those of one ``doc_id`` ordered by text. Empty tables give no image. Columns
-other than ``doc_id`` and ``text`` are not read.
+are kept, those of one ``doc_id`` ordered by the XXH64 (seed 42, signed) of their text; rows alike in both may be
+in several shards, so no id is one task's work. Empty tables give no image. Columns other than ``doc_id``
+and ``text`` are not read.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -85,8 +85,10 @@ def write_tokens(
     bits = bitpack.bits_for(max(load(vocabulary).get_vocab_size(), end_id + 1))
     ordered = (
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumns({"tie": F.xxhash64("text"), "dealt": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "tie", "dealt")
+        .sortWithinPartitions("doc_id", "tie", "dealt")
+        .select("doc_id", "text")
     )
     # Packed ids do not compress, so nothing is spent on trying.
     ordered.mapInArrow(_encode(vocabulary, end_id, bits), IMAGES).write.option("compression", "none").parquet(path)
@@ -134,14 +136,3 @@ def document_index(images: DataFrame) -> DataFrame:
     return found.join(bases, ["shard", "image"]).select(
         "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
-
-
-def save_images(images: DataFrame, folder: str) -> list[str]:
-    """Plain files ``shard-image.bin`` of the given images, brought one by one to this machine."""
-    os.makedirs(folder, exist_ok=True)
-    names = []
-    for row in images.select("shard", "image", "data").toLocalIterator():
-        names.append(os.path.join(folder, f"{row.shard:06d}-{row.image:06d}.bin"))
-        with open(names[-1], "wb") as out:
-            out.write(row.data)
-    return names

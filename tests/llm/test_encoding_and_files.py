@@ -6,8 +6,11 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 from millrace.llm import bitpack, encoding, token_files
@@ -16,17 +19,19 @@ from tests.llm.odd import TEXTS, no_docs, odd_docs
 
 SF_DIR = "/root/testdata/sf0.001"
 ALPHABET = " \n\t ab'sl1,.é̀½²Ⅷªß× 中‍\x1c\r"
+END = "<|endoftext|>"
+ADDED = [END, f"{END} a {END}", f"hello {END} world", f"a{END}b", f"{END}{END}", f"the end {END}", "<|endoftext|", f"é {END}\u00a0x", f" {END} "]
 
 
 @pytest.fixture(scope="module")
 def whole():
-    return encoding.load(encoding.default_vocabulary())
+    return Tokenizer.from_file(encoding.default_vocabulary())
 
 
 def test_pieces_give_the_ids_and_offsets_of_the_whole(whole):
     rng = random.Random(1)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    texts += [t or "" for _, t in TEXTS] + ["<|endoftext|> a <|endoftext|>", "'s 'll don't"]
+    texts += [t or "" for _, t in TEXTS] + ADDED + ["'s 'll don't"]
     plain, spans = (encoding.Encoder(encoding.default_vocabulary(), o) for o in (False, True))
     ids, n = plain(texts)
     ids2, n2, begin, end = spans(texts)
@@ -63,9 +68,16 @@ def test_bits_and_refusals():
         bitpack.Image(b"nonsense" * 9)
 
 
+def in_order(rows):
+    def tie(text):
+        return 42 if text is None else int(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64))
+
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+
+
 def expected(whole, rows):
     out, start = [], 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc_id, text in in_order(rows):
         ids = whole.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -84,17 +96,38 @@ def test_query_against_brute_force(spark, whole):
     assert collected(found) == expected(whole, [(r["doc_id"], r["text"]) for r in rows])
 
 
-def test_odd_documents_and_small_images(spark, whole, monkeypatch, tmp_path):
+def test_odd_documents_and_small_images(spark, whole, monkeypatch):
     prepared(spark)
     monkeypatch.setattr(token_files, "IMAGE_IDS", 5)
     images = token_files.write_tokens(odd_docs(spark))
     assert collected(token_files.document_index(images)) == expected(whole, TEXTS)
-    names = token_files.save_images(images, str(tmp_path))
-    ids = np.concatenate([(lambda i: i.read(0, i.n_ids))(bitpack.Image(open(n, "rb").read())) for n in names])
-    texts = [t for _, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))]
+    stored = [bitpack.Image(r["data"]) for r in images.orderBy("shard", "image").collect()]
+    ids = np.concatenate([i.read(0, i.n_ids) for i in stored])
+    texts = [t for _, t in in_order(TEXTS)]
     assert ids.tolist() == [i for t in texts for i in [*whole.encode(t or "", add_special_tokens=False).ids, 2]]
 
 
+def test_added_tokens_inside_texts(spark, whole):
+    """Their ids are the library's, and every later document starts where it does there."""
+    prepared(spark)
+    rows = list(enumerate(ADDED + ["after"]))
+    found = token_files.document_index(token_files.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert collected(found) == expected(whole, rows)
+    assert whole.encode(ADDED[2], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
+def test_rows_of_one_id_are_in_several_shards(spark, whole):
+    """A third of all rows without an id, a third alike in id and text."""
+    prepared(spark)
+    rows = [(None, f"text {k}") for k in range(300)] + [(5, "the same")] * 300 + [(k, f"other {k}") for k in range(10, 310)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one piece
+    images = token_files.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6))
+    prepared(spark)
+    assert collected(token_files.document_index(images)) == expected(whole, rows)
+    shards = images.select("shard", F.explode("doc_ids").alias("doc_id")).groupBy("doc_id").agg(F.count_distinct("shard").alias("n"))
+    assert {r["n"] > 1 for r in shards.filter("doc_id IS NULL OR doc_id = 5").collect()} == {True}
+
+
 def test_no_documents(spark):
     prepared(spark)
     assert token_files.document_index(token_files.write_tokens(no_docs(spark))).count() == 0

@@ -1,6 +1,7 @@
 """Tokens by field and section (operator 3) against whole encodings and a rule applied one by one."""
 
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 from millrace.llm import encoding
@@ -13,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def whole():
-    return encoding.load(encoding.default_vocabulary())
+    return Tokenizer.from_file(encoding.default_vocabulary())
 
 
 def expected(whole, fields, values):
@@ -54,7 +55,7 @@ def compare(spark, whole, docs):
 
 def test_awkward_sections(spark, whole):
     prepared(spark)
-    texts = ["\n\n\n a b\n\n", "", "x\n", "\n\n\n\n\n\n  hello\n\n\n\nw", "a\n \n  \n\n b", "\n", "é\n中\n\n😀"]
+    texts = ["\n\n\n a b\n\n", "", "x\n", "\n\n\n\n\n\n  hello\n\n\n\nw", "a\n \n  \n\n b", "\n", "é\n中\n\n😀", "a<|endoftext|>\nb", "<|endoftext|>"]
     docs = spark.createDataFrame([(i, t, t[:2], None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     compare(spark, whole, docs)
 
