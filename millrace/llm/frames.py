@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from millrace import workdir
+from millrace.operators.skew import broadcast_if_small
 from millrace.session import tune
 
 # A batch sent to Python holds at most so many rows and about so many bytes, so a
@@ -37,6 +39,25 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
+def numbered(rows: DataFrame, part: str, order: Sequence[str], rank: str = "rank", size: str = "size") -> DataFrame:
+    """``rows`` with their ``rank`` (from 0, by ``order``) among those of their ``part``, and the part's ``size``.
+
+    Rows are sorted by range, and a row's rank is its place in its piece and the rows of its part in earlier
+    pieces, so no part is in one task. Rows alike in ``part`` and ``order`` are numbered in any order. ``part`` is not null.
+    """
+    dealt, place, piece, first, n, shift = (fresh(c) for c in ("dealt", "place", "piece", "first", "n", "shift"))
+    spread = rows.withColumn(dealt, F.monotonically_increasing_id())  # so that equal rows can be in several pieces
+    pieces = spread.repartitionByRange(part, *order, dealt).sortWithinPartitions(part, *order, dealt)
+    placed = written(pieces.drop(dealt).withColumn(place, F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn(piece, F.shiftright(place, 33))
+    counts = placed.groupBy(part, piece).agg(F.count(F.lit(1)).alias(n), F.min(place).alias(first))
+    own = Window.partitionBy(part)  # a part has a row for each of its pieces
+    before = F.sum(n).over(own.orderBy(piece)) - F.col(n)
+    totals = counts.select(part, piece, (before - F.col(first)).alias(shift), F.sum(n).over(own).alias(size))
+    joined = placed.join(broadcast_if_small(written(totals, "totals")), [part, piece])
+    return joined.withColumn(rank, F.col(place) + F.col(shift)).drop(piece, place, shift)
+
+
 def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of an Arrow text column and each text's first byte (n + 1 offsets); null is empty."""
     column = pc.fill_null(column, "")

@@ -23,11 +23,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import written
-from millrace.operators.skew import broadcast_if_small
+from millrace.llm.frames import numbered, written
 
 FANOUT, DIGITS = 16, 2
 BLOCK = FANOUT**DIGITS
@@ -44,22 +43,6 @@ def leaf(fields: Sequence[Column]) -> Column:
     return digest(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
 
 
-def ranked(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``nodes`` with their ``rank`` within their ``part``, from 0, and the part's ``size``."""
-    place = F.monotonically_increasing_id()
-    dealt = nodes.withColumn("dealt", place)  # so that equal rows can be in several pieces
-    pieces = dealt.repartitionByRange("part", *order, "dealt").sortWithinPartitions("part", *order, "dealt")
-    placed = written(pieces.drop("dealt").withColumn("place", place), "merkle-ranks")
-    placed = placed.withColumn("piece", F.shiftright("place", 33))
-    counts = placed.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    own = Window.partitionBy("part")  # a part has a row for each of its pieces
-    before = F.sum("n").over(own.orderBy("piece")) - F.col("n")
-    totals = counts.select("part", "piece", (before - F.col("first")).alias("shift"), F.sum("n").over(own).alias("size"))
-    totals = broadcast_if_small(written(totals, "merkle-totals"))
-    joined = placed.join(totals, ["part", "piece"]).withColumn("rank", F.col("place") + F.col("shift"))
-    return joined.drop("piece", "place", "shift")
-
-
 def blocks(nodes: DataFrame) -> DataFrame:
     """``part, size, block, kids, hash`` of every block of ``nodes`` (``part, size, rank, hash`` and what a leaf carries)."""
     carried = [c for c in nodes.columns if c not in ("part", "size", "rank", "hash")]
@@ -132,9 +115,9 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_: str = "doc_id
     """
     made = {"id": F.col(id_), "part": _part(F.col(part)), "hash": leaf([F.col(f) for f in fields])} | carried
     leaves = written(docs.select(*(c.alias(name) for name, c in made.items())), "merkle-leaves")
-    lower = tiers(ranked(leaves, ["id", "hash"]))
+    lower = tiers(numbered(leaves, "part", ["id", "hash"]))
     subroots = lower[-1].select(F.lit("").alias("part"), "hash", F.col("part").alias("name"))
-    upper = tiers(ranked(subroots, ["name"]))
+    upper = tiers(numbered(subroots, "part", ["name"]))
     top = upper[-1].select("part", F.array().cast(_BESIDE).alias("path"), F.col("hash").alias("root"))
     parts = proven(upper, top).select(F.col("kid.name").alias("part"), "path", "root", F.col("kid.hash").alias("subroot"))
     rows = proven(lower, parts)

@@ -18,13 +18,14 @@ unless the component has no other. Other columns are not read. An empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.components import components
 from millrace.llm.frames import written
@@ -54,17 +55,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carried`` and ``fp``: the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             values = np.array(fps, np.uint64).view(np.int64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(values)})
+            own = {name: batch.column(name) for name in ("doc_id", *carried)}
+            yield pa.record_batch(own | {"fp": pa.array(values)})
 
-    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
+    narrow = docs.select(F.col("doc_id").cast("bigint"), *carried, F.col("text").cast("string"))
+    kept = [f for f in narrow.schema.fields if f.name != "text"]
+    return narrow.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def _forest(near: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
@@ -139,17 +142,24 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id``, ``text``).
+def grouped(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE, carried: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every row of ``docs``, and its columns ``carried``.
 
-    ``fingerprint`` is 16 hexadecimal digits, ``component_id`` the smallest ``doc_id`` that links reach.
+    Rows that links join have one ``root``, a fingerprint, also where ids repeat or are null.
     """
-    rows = written(fingerprints(docs, shingle), "fingerprints")
+    rows = written(fingerprints(docs, shingle, carried), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(nodes.select("fp"), radius, tile), "near").withColumnRenamed("u", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id``, ``text``).
+
+    ``fingerprint`` is 16 hexadecimal digits, ``component_id`` the smallest ``doc_id`` that links reach.
+    """
+    return grouped(docs, shingle, radius, tile).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -98,3 +98,16 @@ def test_odd_documents(spark):
     assert sorted((r["doc_id"] or 0, r["size"]) for r in rows) == sorted((d or 0, naive_size(t)) for d, t in TEXTS)
     assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2 for r in rows)
     assert mixing.mix(no_docs(spark), F.array("source")).count() == 0
+
+
+def test_equal_rows_at_the_cut(spark):
+    """As many of the rows alike come in as end nearest to the target, however many there are."""
+    prepared(spark)
+    for n in (1, 2, 3, 10, 31):
+        docs = spark.createDataFrame([(None, "one two three", "a")] * n + [(9, "four five", None)], "doc_id bigint, text string, source string").repartition(5)
+        mixed = mixing.mix(docs, F.array("source")).collect()
+        for s, size in (("a", 3), (None, 2)):
+            own = [r for r in mixed if r["pattern"] == [s]]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size / 2 + 1
+            assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+        assert sorted((r["doc_id"] or 0, r["copies"]) for r in mixed) == sorted((r["doc_id"] or 0, r["copies"]) for r in mixing.mix(docs, F.array("source")).collect())
