@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 of ``documents``, the last one the index of the token files. ``run`` writes every stage's result as
 Parquet in the shared folder and reads it again, so a stage that fails can be repeated alone.
 
-The quality and benchmark stages decide row by row. The others name documents by ``doc_id``: rows that repeat
-an id are told apart by their other columns where only some of them stay, and rows without an id cannot
-be named and stay. Empty tables pass through.
+Every stage decides by row, so repeated and missing ids change nothing: of a group of near copies one row stays,
+that with the smallest id (rows without an id last), and where rows are alike in id and text, the first by the
+other columns. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -19,26 +19,23 @@ from millrace.llm.frames import fresh, prepared, written
 from millrace.sources.tables import Tables
 
 
-def _numbered(docs: DataFrame, name: str, *first: str) -> DataFrame:
-    """``docs`` with the place of each row among those of its ``doc_id``, in order of ``first``, text and the rest."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", *first)]
-    order = Window.partitionBy("doc_id").orderBy(*first, "text", *rest)
-    return docs.withColumn(name, F.row_number().over(order))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return quality.accepted(docs, Tables(prepared(spark), sf_dir).labels)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """One row of each group of near copies."""
     prepared(spark)
-    groups = simhash.near_duplicates(docs, shingle=3, radius=3)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    key = [fresh("row"), fresh("check")]  # 128 bits: rows alike in both have one id and text
+    hashes = (F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))
+    keyed = docs.withColumns(dict(zip(key, hashes, strict=True)))
+    groups = simhash.grouped(keyed, shingle=3, radius=3, carried=key)
+    first = F.min_by(F.struct(*key), F.struct(F.isnull("doc_id"), "doc_id", *key))
+    stay = groups.groupBy("root").agg(first.alias("first")).select("first.*")
     place = fresh("place")
-    chosen = _numbered(docs.join(stay, "doc_id", "left_semi"), place).filter(F.col(place) == 1)
-    return chosen.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    order = Window.partitionBy(*key).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id")
+    return keyed.join(stay, key, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     prepared(spark)
-    size, place, taken = (fresh(n) for n in ("size", "place", "taken"))
-    mixed = mixing.mix(docs, F.array("source"))
-    # The rows of one id and size are interchangeable, so both sides are lined up by size.
-    lists = mixed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias(taken))
-    rows = _numbered(mixing.with_size(docs, size), place, size)
-    rows = rows.join(lists, rows["doc_id"].eqNullSafe(lists["doc_id"])).drop(lists["doc_id"])
-    copies = F.get(taken, F.col(place) - 1)["copies"]
-    return rows.withColumn(taken, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return mixing.repeated(docs, F.array("source"))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
