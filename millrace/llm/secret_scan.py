@@ -118,9 +118,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
         at, pieces = m.start(), []
         while k < len(values) and values[k][2] <= at:
             k += 1
-        for name, _, end in itertools.takewhile(lambda v: v[1] < m.end(), itertools.islice(values, k, None)):
+        inside = k
+        while inside < len(values) and values[inside][1] < m.end():
+            name, _, end = values[inside]
             pieces.append((at, max(at, name)))
-            at = max(at, end)
+            at, inside = max(at, end), inside + 1
         pieces.append((at, max(at, m.end())))
         for a, b in pieces:
             cuts = [a, *(j.end() for j in _JOINT.finditer(text, a, b)), b + 1]

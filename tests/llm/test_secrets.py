@@ -1,5 +1,6 @@
 """Secret scans (operator 7): the forest, its held-out accuracy, and findings planted in documents."""
 
+import time
 import hashlib
 
 import numpy as np
@@ -104,3 +105,14 @@ def test_planted_and_odd(spark):
     odd = secret_scan.secrets(odd_docs(spark), findings=600).collect()
     assert 15 in {r["doc_id"] for r in odd}
     assert secret_scan.secrets(no_docs(spark), findings=100).count() == 0
+
+
+def test_candidates_of_many_assignments_take_linear_time():
+    line = "token=Zq8{}Vx7Kd02Lm9 "
+    few, many = ("".join(line.format(k) for k in range(n)) for n in (2_000, 40_000))
+    assert len(secret_scan.candidates(many)) == 40_000
+    start = time.process_time()
+    secret_scan.candidates(few)
+    middle = time.process_time()
+    secret_scan.candidates(many)
+    assert time.process_time() - middle < 20 * 3 * max(middle - start, 0.01)
