@@ -2,19 +2,21 @@
 
 Spark sorts each window partition in one task. That is the right plan while
 every group fits a task, and it is the plan used here then. Groups above the
-limit are cut into consecutive pieces by a range partitioning on (keys, order);
-the pieces are windowed side by side and stitched together with one small row of
-totals per piece. No row is dropped and results equal the plain window's.
+limit are cut once into consecutive pieces by a range partitioning on (keys, order),
+for all functions over one window together. One aggregation gives a row of summaries
+for each piece; the summaries of the pieces before, behind or all around combine, and what
+a piece needs of them is joined to its rows, which are then windowed piece by piece.
+No row is dropped and results equal the plain window's.
 
 Every operator measures its groups unless the caller passes the sizes it already
-has. ``order`` must be a total order within a group wherever the function needs one
-(row numbers, ROWS frames, lag and lead).
+has. ``order`` must be a total order within a group wherever a function needs one
+(all but ``Rank`` and frames without bounds).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,83 +26,487 @@ from millrace.operators import skew
 from millrace.operators.skew import GroupSizes
 from millrace.workdir import materialise
 
-_PIECE, _SEQ = "__piece", "__seq"
+_PIECE, _SEQ, _HOME, _POS = "__piece", "__seq", "__home", "__pos"
+_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
+_AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
 def _window(keys: Sequence[str], order: Sequence[Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def _cut(
-    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], sizes: GroupSizes
-) -> DataFrame:
-    """Hot rows with the id of their piece and their sequence within it.
+def _boxed(value: Column) -> Column:
+    """A value that is there even when it is null."""
+    return F.struct(value.alias("v"))
 
-    The placement is written out once: the range bounds are sampled, and totals
-    and rows have to see the very same pieces.
+
+def _combined(function: str, a: Column, b: Column) -> Column:
+    """The aggregate of two sets of rows from those of each; null where a set has no value."""
+    if function in ("min", "max"):
+        return (F.least if function == "min" else F.greatest)(a, b)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+@dataclass(frozen=True)
+class Carried:
+    """Windows over the summaries of a group's pieces: those before one, those behind it, all of them."""
+
+    earlier: WindowSpec
+    later: WindowSpec
+    all: WindowSpec
+
+
+class Function:
+    """A column over a window, as Spark's own and in pieces.
+
+    ``plain`` is Spark's. ``partials`` are aggregates over the rows of a piece, ``carries`` what a piece needs of
+    those of others, and ``stitched`` the column from both and from a window over the piece. A frame of bounded
+    reach borrows the rows that its piece's neighbours have within ``before`` and ``after``.
     """
-    pieces = max(2, -(-2 * sizes.hot_rows // sizes.limit))
-    placed = (
-        hot.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
-        .sortWithinPartitions(*[F.col(k) for k in keys], *order)
-        .withColumn(_PIECE, F.spark_partition_id())
-        .withColumn(_SEQ, F.monotonically_increasing_id())
-    )
-    return materialise(placed, "window-pieces")
 
+    before = after = 0
+    scans = True  # whether ``stitched`` needs a window over the piece
 
-def _before(totals: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Turn per-piece totals into sums over the earlier pieces of the same group."""
-    earlier = (
-        Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return totals.select(
-        *keys,
-        _PIECE,
-        *[F.sum(total).over(earlier).alias(out) for out, total in columns.items()],
-        *[c for c in totals.columns if c not in (*keys, _PIECE, *columns.values())],
-    )
+    def inputs(self, name: str) -> dict[str, Column]:
+        """Columns that ``plain`` calls by name."""
+        return {}
 
+    def plain(self, name: str, keys: Sequence[str], order: Sequence[Column]) -> Column:
+        raise NotImplementedError
 
-def _stitch(placed: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring each piece's totals to its rows.
+    def partials(self, name: str) -> dict[str, Column]:
+        return {}
 
-    ``totals`` has one row per (group, piece). Pieces are consecutive ranges, so
-    that is at most hot groups + pieces rows, checked before the broadcast.
+    def carries(self, name: str, over: Carried) -> dict[str, Column]:
+        return {}
+
+    def stitched(self, name: str, local: WindowSpec) -> Column:
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class RowNumber(Function):
+    """``row_number()`` as a long."""
+
+    scans = False
+
+    def plain(self, name, keys, order):
+        return F.row_number().over(_window(keys, order)).cast("long")
+
+    def stitched(self, name, local):
+        return F.col(_POS)
+
+
+@dataclass(frozen=True)
+class Tile(Function):
+    """``ntile(tiles)`` as a long: the first ``size mod tiles`` tiles of a group are one row longer."""
+
+    tiles: int
+    scans = False
+
+    def plain(self, name, keys, order):
+        return F.ntile(self.tiles).over(_window(keys, order)).cast("long")
+
+    def stitched(self, name, local):
+        short, longer = F.expr(f"__size div {self.tiles}"), F.expr(f"__size % {self.tiles}")
+        at, edge = F.col(_POS) - 1, longer * (short + 1)
+        in_long = F.floor(at / (short + 1)) + 1
+        in_short = longer + F.floor((at - edge) / F.greatest(short, F.lit(1))) + 1
+        return F.when(at < edge, in_long).otherwise(in_short)
+
+
+@dataclass(frozen=True)
+class RowsFrame(Function):
+    """``function(column) OVER (… ROWS BETWEEN before PRECEDING AND after FOLLOWING)``, None for UNBOUNDED.
+
+    ``function`` is sum, count, min, max or avg.
     """
-    totals = materialise(totals, "piece-totals")
-    return skew.match(placed, totals, [*keys, _PIECE], "left", skew.fits(totals))
 
+    function: str
+    column: Column
+    before: int | None
+    after: int | None
 
-def number_rows(
+    def __post_init__(self):
+        if any(reach is not None and reach < 0 for reach in (self.before, self.after)):
+            raise ValueError("a frame reaches zero rows or more to either side")
+
+    @property
+    def scans(self) -> bool:
+        return self.before is not None or self.after is not None
+
+    @property
+    def _bounded(self) -> bool:
+        return self.before is not None and self.after is not None
+
+    def _rows(self, window: WindowSpec) -> WindowSpec:
+        start = _FIRST if self.before is None else -self.before
+        return window.rowsBetween(start, _LAST if self.after is None else self.after)
+
+    def plain(self, name, keys, order):
+        window = _window(keys, order) if self.scans else Window.partitionBy(*keys)
+        aggregate = {**_AGGREGATES, "avg": F.avg}[self.function](self.column)
+        return aggregate.over(self._rows(window) if self.scans else window)
+
+    def _parts(self) -> Sequence[str]:
+        return ("sum", "count") if self.function == "avg" else (self.function,)
+
+    def partials(self, name):
+        if self._bounded:
+            return {}
+        return {f"__{part}_{name}": _AGGREGATES[part](self.column) for part in self._parts()}
+
+    def carries(self, name, over):
+        if self._bounded:
+            return {}
+        pieces = over.all if not self.scans else over.earlier if self.before is None else over.later
+        merge = {**_AGGREGATES, "count": F.sum}
+        return {f"__{part}_{name}": merge[part](f"__{part}_{name}").over(pieces) for part in self._parts()}
+
+    def stitched(self, name, local):
+        if self._bounded:
+            return {**_AGGREGATES, "avg": F.avg}[self.function](self.column).over(self._rows(local))
+        # Borrowed rows on the open side are in the carried summary already.
+        own = F.col(_PIECE) >= F.col(_HOME) if self.before is None else F.col(_PIECE) <= F.col(_HOME)
+
+        def total(part: str) -> Column:
+            carried = F.col(f"__{part}_{name}")
+            if not self.scans:
+                return carried
+            inside = _AGGREGATES[part](F.when(own, self.column)).over(self._rows(local))
+            return _combined(part, carried, inside)
+
+        return total("sum") / total("count") if self.function == "avg" else total(self.function)
+
+
+def _running(function: str, column: Column) -> RowsFrame:
+    return RowsFrame(function, column, None, 0)
+
+
+@dataclass(frozen=True)
+class _Counted(RowsFrame):
+    """Rows with a value up to the current one: their numbers among all such rows."""
+
+    function: str = "count"
+    column: Column = field(default_factory=lambda: F.lit(1))
+    before: int | None = None
+    after: int | None = 0
+
+
+@dataclass(frozen=True)
+class Neighbour(Function):
+    """``lag(column, back, default)``, or ``lead`` when ``back`` is negative; ``ignore_nulls`` counts values only."""
+
+    column: Column
+    back: int = 1
+    default: object = None
+    ignore_nulls: bool = False
+
+    @property
+    def before(self) -> int:
+        return 0 if self.ignore_nulls else max(self.back, 0)
+
+    @property
+    def after(self) -> int:
+        return 0 if self.ignore_nulls else max(-self.back, 0)
+
+    def inputs(self, name):
+        return {f"__in_{name}": self.column} if self.ignore_nulls else {}
+
+    def plain(self, name, keys, order):
+        if not self.ignore_nulls or not self.back:
+            return F.lag(self.column, self.back, self.default).over(_window(keys, order))
+        side, rows = ("lag", self.back) if self.back > 0 else ("lead", -self.back)
+        found = F.expr(f"{side}(`__in_{name}`, {rows}) IGNORE NULLS").over(_window(keys, order))
+        return found if self.default is None else F.coalesce(found, F.lit(self.default))
+
+    def stitched(self, name, local):
+        return F.lag(self.column, self.back, self.default).over(local)
+
+
+@dataclass(frozen=True)
+class _End(Function):
+    """The first or last value up to the current row, or of the ``whole`` group; ``ignore_nulls`` skips nulls."""
+
+    column: Column
+    ignore_nulls: bool = False
+    whole: bool = False
+    _by = None
+
+    @property
+    def scans(self) -> bool:
+        return not self.whole and self.ignore_nulls
+
+    def _value(self, boxed: Column) -> Column:
+        return F.when(self.column.isNotNull(), boxed) if self.ignore_nulls else boxed
+
+    def _window(self, keys, order) -> WindowSpec:
+        return _window(keys, order).rowsBetween(_FIRST, _LAST if self.whole else 0)
+
+    def partials(self, name):
+        value = _boxed(self.column)
+        by = F.when(self.column.isNotNull(), F.col(_SEQ)) if self.ignore_nulls else F.col(_SEQ)
+        return {f"__end_{name}": self._by(value, by)}
+
+
+class First(_End):
+    """``first_value(column)``."""
+
+    _by = staticmethod(F.min_by)
+
+    def plain(self, name, keys, order):
+        return F.first(self.column, self.ignore_nulls).over(self._window(keys, order))
+
+    def carries(self, name, over):
+        pieces = over.earlier if self.scans else over.all
+        return {f"__end_{name}": F.first(f"__end_{name}", True).over(pieces)}
+
+    def stitched(self, name, local):
+        carried = F.col(f"__end_{name}.v")
+        if not self.scans:
+            return carried
+        own = F.when(F.col(_PIECE) == F.col(_HOME), self.column)
+        return F.coalesce(carried, F.first(own, True).over(local.rowsBetween(_FIRST, 0)))
+
+
+class Last(_End):
+    """``last_value(column)``."""
+
+    _by = staticmethod(F.max_by)
+
+    def plain(self, name, keys, order):
+        return F.last(self.column, self.ignore_nulls).over(self._window(keys, order))
+
+    def carries(self, name, over):
+        pieces = over.earlier if self.scans else over.all
+        return {f"__end_{name}": F.last(f"__end_{name}", True).over(pieces)}
+
+    def stitched(self, name, local):
+        carried = F.col(f"__end_{name}.v")
+        if not self.scans:
+            return carried if self.whole else self.column
+        own = F.when(F.col(_PIECE) == F.col(_HOME), self.column)
+        return F.coalesce(F.last(own, True).over(local.rowsBetween(_FIRST, 0)), carried)
+
+
+@dataclass(frozen=True)
+class Nth(Function):
+    """``nth_value(column, n)`` up to the current row, or of the ``whole`` group; ``ignore_nulls`` counts values only."""
+
+    column: Column
+    n: int
+    ignore_nulls: bool = False
+    whole: bool = False
+
+    def __post_init__(self):
+        if self.n < 1:
+            raise ValueError("rows are counted from one")
+
+    def plain(self, name, keys, order):
+        frame = _window(keys, order).rowsBetween(_FIRST, _LAST if self.whole else 0)
+        return F.nth_value(self.column, self.n, self.ignore_nulls).over(frame)
+
+
+_RANKS = {"rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
+
+
+@dataclass(frozen=True)
+class Rank(Function):
+    """``rank()``, ``dense_rank()`` (longs), ``percent_rank()`` or ``cume_dist()`` over columns of its own, ascending unless listed.
+
+    It depends on the distinct values only, so in a hot group rows are counted per value first and even one value with
+    most rows is a single row by the time anything is sorted.
+    """
+
+    kind: str
+    columns: Sequence[str]
+    descending: Sequence[str] = ()
+
+    def sorting(self) -> list[Column]:
+        return [F.col(c).desc_nulls_last() if c in self.descending else F.col(c).asc_nulls_first() for c in self.columns]
+
+    def plain(self, name, keys, order):
+        ranked = _RANKS[self.kind]().over(_window(keys, self.sorting()))
+        return ranked.cast("long") if self.kind in ("rank", "dense_rank") else ranked
+
+    def of(self) -> Column:
+        """The rank from the rows up to a value, before it, the distinct ones and all."""
+        others = F.col("__size") - 1
+        return {
+            "rank": F.col("__below") + 1,
+            "dense_rank": F.col("__dense"),
+            "percent_rank": F.when(others == 0, 0.0).otherwise(F.col("__below") / others),
+            "cume_dist": F.col("__upto") / F.col("__size"),
+        }[self.kind]
+
+
+def windowed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    name: str = "row_number",
+    functions: Mapping[str, Function],
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` as a long column."""
+    """``df`` with all ``functions`` over one window, ``PARTITION BY keys ORDER BY order``.
+
+    Hot groups are cut and written once, with one table of summaries, whatever the number of functions; the others
+    are windowed as they are.
+    """
 
     def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, F.row_number().over(_window(keys, order)).cast("long"))
+        inputs = {called: c for out, f in functions.items() for called, c in f.inputs(out).items()}
+        columns = {out: f.plain(out, keys, order) for out, f in functions.items()}
+        return part.withColumns(inputs).withColumns(columns).drop(*inputs)
 
     sizes = sizes or skew.group_sizes(df, keys)
+    whole = plain(df)
     if not sizes.any_hot:
-        return plain(df)
+        return whole
     cold, hot = skew.split_hot(df, keys, sizes)
-    return plain(cold).unionByName(_number_hot(hot, keys, order, name, sizes))
+    found = _windowed_hot(hot, keys, order, functions, sizes)
+    typed = [F.col(out).cast(whole.schema[out].dataType).alias(out) for out in functions]
+    return plain(cold).unionByName(found.select(*df.columns, *typed))
+
+
+def _cut(
+    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], sizes: GroupSizes
+) -> DataFrame:
+    """Hot rows with the id of their piece and their sequence within it; without an order, as they lie.
+
+    The placement is written out once: the range bounds are sampled, and totals
+    and rows have to see the very same pieces.
+    """
+    if order:
+        by = [*[F.col(k) for k in keys], *order]
+        pieces = max(2, -(-2 * sizes.hot_rows // sizes.limit))
+        hot = hot.repartitionByRange(pieces, *by).sortWithinPartitions(*by)
+    placed = hot.withColumn(_PIECE, F.spark_partition_id()).withColumn(_SEQ, F.monotonically_increasing_id())
+    return materialise(placed, "window-pieces")
+
+
+def _summaries(placed: DataFrame, keys: Sequence[str], functions: Mapping[str, Function]) -> DataFrame:
+    """A written row for each piece of a group: its rows and the partial aggregates of the functions."""
+    own = {"__n": F.count(F.lit(1)), "__first": F.min(_SEQ)}
+    own |= {part: c for out, f in functions.items() for part, c in f.partials(out).items()}
+    return materialise(placed.groupBy(*keys, _PIECE).agg(*[c.alias(part) for part, c in own.items()]), "piece-totals")
 
 
-def _number_hot(
-    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, sizes: GroupSizes
+def _carried(totals: DataFrame, keys: Sequence[str], functions: Mapping[str, Function], reach: tuple[int, int]) -> DataFrame:
+    """What each piece needs of the others: for its numbers, its functions, and whom it lends rows to."""
+    ordered = Window.partitionBy(*keys).orderBy(_PIECE)
+    over = Carried(ordered.rowsBetween(_FIRST, -1), ordered.rowsBetween(1, _LAST), ordered.rowsBetween(_FIRST, _LAST))
+    columns = {"__ahead": F.coalesce(F.sum("__n").over(over.earlier), F.lit(0)), "__size": F.sum("__n").over(over.all)}
+    columns |= {part: c for out, f in functions.items() for part, c in f.carries(out, over).items()}
+    found = totals.select(*keys, _PIECE, "__n", "__first", *[c.alias(part) for part, c in columns.items()])
+    before, after = reach
+    if before or after:
+        longest = totals.agg(F.max("__n")).first()[0] or 0
+        near = Window.partitionBy(*keys).orderBy("__ahead").rangeBetween(-(longest + after), longest + before)
+        found = found.withColumn("__near", F.collect_list(F.struct(_PIECE, "__ahead", "__n")).over(near))
+    return found
+
+
+def _at_home(rows: DataFrame, reach: tuple[int, int]) -> DataFrame:
+    """Every row once for its own piece, and once for each other within whose reach it is."""
+    before, after = reach
+    if not (before or after):
+        return rows.withColumn(_HOME, F.col(_PIECE))
+
+    def within(piece: Column) -> Column:
+        start, end = piece["__ahead"] + 1, piece["__ahead"] + piece["__n"]
+        return (F.col(_POS) >= start - before) & (F.col(_POS) <= end + after)
+
+    homes = F.transform(F.filter("__near", within), lambda piece: piece[_PIECE])
+    return rows.withColumn(_HOME, F.explode(homes)).drop("__near")
+
+
+def _looked_up(f: Function) -> bool:
+    """Whether a value is found by its number among the group's rows or values."""
+    return isinstance(f, Nth) or isinstance(f, Neighbour) and f.ignore_nulls and f.back != 0
+
+
+def _windowed_hot(
+    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], functions: Mapping[str, Function], sizes: GroupSizes
 ) -> DataFrame:
+    ranks = {out: f for out, f in functions.items() if isinstance(f, Rank)}
+    looked_up = {out: f for out, f in functions.items() if _looked_up(f)}
+    numbers: dict[str, Function] = {
+        f"__number_{out}": _Counted(column=f.column) if f.ignore_nulls else RowNumber() for out, f in looked_up.items()
+    }
+    direct = {out: f for out, f in functions.items() if out not in ranks and out not in looked_up} | numbers
     placed = _cut(hot, keys, order, sizes)
-    totals = placed.groupBy(*keys, _PIECE).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(_SEQ).alias("__first")
-    )
-    position = F.col(_SEQ) - F.col("__first") + 1 + F.coalesce("__ahead", F.lit(0))
-    stitched = _stitch(placed, _before(totals, keys, {"__ahead": "__n"}), keys)
-    return stitched.select(*hot.columns, position.alias(name))
+    rows = _stitched(placed, keys, direct, hot.columns) if direct else placed.select(*hot.columns)
+    if looked_up:
+        rows = _with_values(materialise(rows, "window-numbers"), keys, looked_up)
+    for columns in {tuple(f.columns): f for f in ranks.values()}:
+        for down in {tuple(f.descending) for f in ranks.values() if tuple(f.columns) == columns}:
+            own = {out: f for out, f in ranks.items() if (tuple(f.columns), tuple(f.descending)) == (columns, down)}
+            rows = skew.match(rows, _value_ranks(placed, keys, own, sizes.limit), [*keys, *columns])
+    return rows
+
+
+def _stitched(placed: DataFrame, keys: Sequence[str], functions: Mapping[str, Function], columns: Sequence[str]) -> DataFrame:
+    """The placed rows with their functions, from one window over each piece."""
+    scans = [f for f in functions.values() if f.scans]
+    reach = max((f.before or 0 for f in scans), default=0), max((f.after or 0 for f in scans), default=0)
+    totals = _carried(_summaries(placed, keys, functions), keys, functions, reach)
+    # Pieces are consecutive ranges: at most hot groups + pieces rows, checked before the broadcast.
+    rows = skew.match(placed, totals, [*keys, _PIECE], "inner", skew.fits(totals))
+    rows = rows.withColumn(_POS, F.col(_SEQ) - F.col("__first") + 1 + F.col("__ahead"))
+    if scans:
+        rows = _at_home(rows, reach)
+    local = Window.partitionBy(*keys, _HOME).orderBy(_SEQ)
+    rows = rows.withColumns({out: f.stitched(out, local) for out, f in functions.items()})
+    if scans:
+        rows = rows.filter(F.col(_PIECE) == F.col(_HOME))
+    return rows.select(*columns, *functions)
+
+
+def _with_values(rows: DataFrame, keys: Sequence[str], functions: Mapping[str, Function]) -> DataFrame:
+    """Written rows with the values that stand at certain numbers of their group: equi-joins on (keys, number)."""
+    for out, f in functions.items():
+        number, value = f"__number_{out}", f"__value_{out}"
+        numbered = rows.filter(f.column.isNotNull()) if f.ignore_nulls else rows
+        values = numbered.select(*keys, F.col(number).alias("__at"), _boxed(f.column).alias(value))
+        if isinstance(f, Nth):
+            one = values.filter(F.col("__at") == f.n).drop("__at")  # a row a group
+            rows = skew.match(rows, one, keys, "left", skew.fits(one))
+            found = F.col(f"{value}.v")
+            rows = rows.withColumn(out, found if f.whole else F.when(F.col(number) >= f.n, found))
+        else:
+            # A row's number counts the values up to and with its own.
+            at = F.col(number) - F.when(f.column.isNotNull(), F.lit(f.back)).otherwise(F.lit(f.back - (f.back > 0)))
+            rows = skew.match(rows.withColumn("__at", at), values, [*keys, "__at"], "left").drop("__at")
+            found = F.col(f"{value}.v")
+            rows = rows.withColumn(out, found if f.default is None else F.coalesce(found, F.lit(f.default)))
+        rows = rows.drop(value)
+    return rows.drop(*[f"__number_{out}" for out in functions])
+
+
+def _value_ranks(placed: DataFrame, keys: Sequence[str], ranks: Mapping[str, Rank], limit: int) -> DataFrame:
+    """Ranks of the distinct values of a group, from the rows and values up to each."""
+    some = next(iter(ranks.values()))
+    values = placed.groupBy(*keys, *some.columns).agg(F.count(F.lit(1)).alias("__ties"))
+    steps = {
+        "__upto": _running("sum", F.col("__ties")),
+        "__dense": _running("count", F.lit(1)),
+        "__size": RowsFrame("sum", F.col("__ties"), None, None),
+    }
+    values = materialise(values, "window-values")
+    ranked = windowed(values, keys, some.sorting(), steps, skew.group_sizes(values, keys, limit))
+    ranked = ranked.withColumn("__below", F.col("__upto") - F.col("__ties"))
+    return ranked.select(*keys, *some.columns, *[f.of().alias(out) for out, f in ranks.items()])
+
+
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "row_number",
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` as a long column."""
+    return windowed(df, keys, order, {name: RowNumber()}, sizes)
 
 
 def running(
@@ -111,51 +517,18 @@ def running(
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Running sums: ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW per group."""
-    frame = _window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    sizes = sizes or skew.group_sizes(df, keys)
-    whole = df.withColumns({out: F.sum(c).over(frame) for out, c in sums.items()})
-    if not sizes.any_hot:
-        return whole
-    cold, hot = skew.split_hot(df, keys, sizes)
-    names = {out: f"__in_{out}" for out in sums}
-    hot = hot.withColumns({names[out]: c for out, c in sums.items()})
-    placed = _cut(hot, keys, order, sizes)
-    totals = placed.groupBy(*keys, _PIECE).agg(
-        *[F.sum(names[out]).alias(f"__total_{out}") for out in sums]
-    )
-    ahead = _before(totals, keys, {f"__ahead_{out}": f"__total_{out}" for out in sums})
-    inside = Window.partitionBy(*keys, _PIECE).orderBy(_SEQ).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    return windowed(df, keys, order, {out: _running("sum", c) for out, c in sums.items()}, sizes)
 
-    def total(out: str) -> Column:
-        here, earlier = F.sum(names[out]).over(inside), F.col(f"__ahead_{out}")
-        return F.when(here.isNull(), earlier).otherwise(
-            here + F.coalesce(earlier, F.lit(0))
-        )
-
-    summed = _stitch(placed, ahead, keys).select(
-        *df.columns, *[total(out).cast(whole.schema[out].dataType).alias(out) for out in sums]
-    )
-    plain = cold.withColumns({out: F.sum(c).over(frame) for out, c in sums.items()})
-    return plain.unionByName(summed)
 
-
-def _sorted(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
-    return [
-        F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_first() for c in order
-    ]
-
-
-def _value_ranks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sorting: Sequence[Column], limit: int
+def rows_frame(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    frames: Mapping[str, RowsFrame | Neighbour],
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Per distinct order value of a group: rows up to it, before it, distinct ones."""
-    values = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__ties"))
-    steps = {"__upto": F.col("__ties"), "__dense": F.lit(1).cast("long")}
-    ranked = running(values, keys, sorting, steps, skew.group_sizes(values, keys, limit))
-    return ranked.withColumn("__below", F.col("__upto") - F.col("__ties")).drop("__ties")
+    """Columns over ROWS frames and neighbouring rows."""
+    return windowed(df, keys, order, frames, sizes)
 
 
 def rank_rows(
@@ -167,26 +540,9 @@ def rank_rows(
     sizes: GroupSizes | None = None,
     descending: Sequence[str] = (),
 ) -> DataFrame:
-    """``rank()`` and ``dense_rank()`` over ``order``, ascending unless listed.
-
-    Ranks depend on the distinct order values only. With a hot group the rows are
-    therefore first counted per value, so even one value holding most rows is a
-    single row by the time anything is sorted; the ranks are joined back.
-    """
-    sorting = _sorted(order, descending)
-    over = _window(keys, sorting)
-    sizes = sizes or skew.group_sizes(df, keys)
-    if not sizes.any_hot:
-        return df.withColumns(
-            {
-                rank: F.rank().over(over).cast("long"),
-                dense_rank: F.dense_rank().over(over).cast("long"),
-            }
-        )
-    ranked = _value_ranks(df, keys, order, sorting, sizes.limit)
-    return skew.match(df, ranked, [*keys, *order]).select(
-        *df.columns, (F.col("__below") + 1).alias(rank), F.col("__dense").alias(dense_rank)
-    )
+    """``rank()`` and ``dense_rank()`` over ``order``, ascending unless listed."""
+    ranks = {rank: Rank("rank", order, descending), dense_rank: Rank("dense_rank", order, descending)}
+    return windowed(df, keys, [], ranks, sizes)
 
 
 def share_rows(
@@ -198,111 +554,58 @@ def share_rows(
     sizes: GroupSizes | None = None,
     descending: Sequence[str] = (),
 ) -> DataFrame:
-    """``percent_rank()`` and ``cume_dist()``, hot groups as in ``rank_rows``."""
-    sorting = _sorted(order, descending)
-    over = _window(keys, sorting)
-    sizes = sizes or skew.group_sizes(df, keys)
-    if not sizes.any_hot:
-        return df.withColumns(
-            {percent_rank: F.percent_rank().over(over), cume_dist: F.cume_dist().over(over)}
-        )
-    ranked = _value_ranks(df, keys, order, sorting, sizes.limit)
-    group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    ranked = skew.match(ranked, group, keys)
-    others = F.col("__size") - 1
-    return skew.match(df, ranked, [*keys, *order]).select(
-        *df.columns,
-        F.when(others == 0, 0.0).otherwise(F.col("__below") / others).alias(percent_rank),
-        (F.col("__upto") / F.col("__size")).alias(cume_dist),
-    )
+    """``percent_rank()`` and ``cume_dist()``, ascending unless listed."""
+    shares = {percent_rank: Rank("percent_rank", order, descending), cume_dist: Rank("cume_dist", order, descending)}
+    return windowed(df, keys, [], shares, sizes)
 
 
-def _reach(before: int, after: int) -> None:
-    if before < 0 or after < 0:
-        raise ValueError("a frame reaches zero rows or more to either side")
+def tile_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    tiles: int,
+    number: str = "row_number",
+    tile: str = "ntile",
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """``row_number()`` and ``ntile(tiles)``."""
+    return windowed(df, keys, order, {number: RowNumber(), tile: Tile(tiles)}, sizes)
 
 
-@dataclass(frozen=True)
-class RowsFrame:
-    """``function(column) OVER (… ROWS BETWEEN before PRECEDING AND after FOLLOWING)``.
+def group_totals(
+    df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column], sizes: GroupSizes | None = None
+) -> DataFrame:
+    """Any aggregates over whole window partitions: ``count(*) OVER (PARTITION BY keys)``.
 
-    ``function`` is sum, count, min, max or avg.
+    A window buffers its partition in one task. With a hot group the aggregate is
+    combined map-side and joined back, which AQE can split.
     """
+    sizes = sizes or skew.group_sizes(df, keys)
+    whole = Window.partitionBy(*keys)
 
-    function: str
-    column: Column
-    before: int
-    after: int
-
-    def __post_init__(self):
-        _reach(self.before, self.after)
-
-    def over(self, window: WindowSpec) -> Column:
-        aggregate = {**_AGGREGATES, "avg": F.avg}[self.function]
-        return aggregate(self.column).over(window.rowsBetween(-self.before, self.after))
-
-
-@dataclass(frozen=True)
-class Neighbour:
-    """``lag(column, back, default)``, or ``lead`` when ``back`` is negative."""
-
-    column: Column
-    back: int = 1
-    default: object = None
-
-    @property
-    def before(self) -> int:
-        return max(self.back, 0)
-
-    @property
-    def after(self) -> int:
-        return max(-self.back, 0)
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumns({out: c.over(whole) for out, c in totals.items()})
 
-    def over(self, window: WindowSpec) -> Column:
-        return F.lag(self.column, self.back, self.default).over(window)
+    if not sizes.any_hot:
+        return plain(df)
+    cold, hot = skew.split_hot(df, keys, sizes)
+    hot = materialise(hot, "window-hot")
+    per_group = hot.groupBy(*keys).agg(*[c.alias(out) for out, c in totals.items()])
+    return plain(cold).unionByName(skew.match(hot, per_group, keys))
 
 
-def rows_frame(
+def ends(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    frames: Mapping[str, RowsFrame | Neighbour],
+    order: Sequence[str],
+    value: str,
+    first: str,
+    last: str,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Columns over ROWS frames and neighbouring rows, each of a declared reach.
-
-    Hot groups are numbered, cut into blocks of equal length, and each block borrows
-    the rows its neighbours' edges have within the widest reach.
-    """
-    before = max((f.before for f in frames.values()), default=0)
-    after = max((f.after for f in frames.values()), default=0)
-
-    def columns(window: WindowSpec) -> dict[str, Column]:
-        return {out: f.over(window) for out, f in frames.items()}
-
-    sizes = sizes or skew.group_sizes(df, keys)
-    if not sizes.any_hot:
-        return df.withColumns(columns(_window(keys, order)))
-    cold, hot = skew.split_hot(df, keys, sizes)
-    block = max(sizes.limit, before, after, 1)
-    numbered = _number_hot(hot, keys, order, "__pos", sizes)
-    at, last = F.expr(f"(__pos - 1) div {block}"), F.expr(f"(__pos - 1) % {block}")
-    homes = F.array_compact(
-        F.array(
-            at,
-            F.when(last >= block - before, at + 1),
-            F.when((last < after) & (at > 0), at - 1),
-        )
-    )
-    spread = numbered.withColumn("__home", at).withColumn("__block", F.explode(homes))
-    local = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    out = columns(local)
-    framed = (
-        spread.withColumns(out)
-        .filter(F.col("__block") == F.col("__home"))
-        .select(*df.columns, *out)
-    )
-    return cold.withColumns(columns(_window(keys, order))).unionByName(framed)
+    """``first_value`` and ``last_value`` of a column over whole ordered partitions."""
+    both = {first: First(F.col(value), whole=True), last: Last(F.col(value), whole=True)}
+    return windowed(df, keys, [F.col(c).asc() for c in order], both, sizes)
 
 
 @dataclass(frozen=True)
@@ -318,7 +621,8 @@ class RangeFrame:
     after: int
 
     def __post_init__(self):
-        _reach(self.before, self.after)
+        if self.before < 0 or self.after < 0:
+            raise ValueError("a frame reaches zero values or more to either side")
 
     def partial(self) -> Column:
         return _AGGREGATES[self.function](self.column)
@@ -328,9 +632,6 @@ class RangeFrame:
         return merge(partial).over(over.rangeBetween(-self.before, self.after))
 
 
-_AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-
-
 def range_frame(
     df: DataFrame,
     keys: Sequence[str],
@@ -385,61 +686,3 @@ def range_frame(
         .drop("__home", "__bucket")
     )
     return cold.withColumns(plain).unionByName(skew.match(hot, framed, [*keys, order]))
-
-
-def tile_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    tiles: int,
-    number: str = "row_number",
-    tile: str = "ntile",
-    sizes: GroupSizes | None = None,
-) -> DataFrame:
-    """``row_number()`` and ``ntile(tiles)``, the second computed from the first.
-
-    The first ``size mod tiles`` tiles of a group are one row longer.
-    """
-    sizes = sizes or skew.group_sizes(df, keys)
-    numbered = number_rows(df, keys, order, number, sizes)
-    sized = group_totals(numbered, keys, {"__size": F.count(F.lit(1))}, sizes)
-    short, longer = F.expr(f"__size div {tiles}"), F.expr(f"__size % {tiles}")
-    at, edge = F.col(number) - 1, longer * (short + 1)
-    in_long = F.floor(at / (short + 1)) + 1
-    in_short = longer + F.floor((at - edge) / F.greatest(short, F.lit(1))) + 1
-    return sized.withColumn(tile, F.when(at < edge, in_long).otherwise(in_short)).drop("__size")
-
-
-def group_totals(
-    df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column], sizes: GroupSizes | None = None
-) -> DataFrame:
-    """Aggregates over whole window partitions: ``count(*) OVER (PARTITION BY keys)``.
-
-    A window buffers its partition in one task. With a hot group the aggregate is
-    combined map-side and joined back, which AQE can split.
-    """
-    sizes = sizes or skew.group_sizes(df, keys)
-    if not sizes.any_hot:
-        return df.withColumns({out: c.over(Window.partitionBy(*keys)) for out, c in totals.items()})
-    per_group = df.groupBy(*keys).agg(*[c.alias(out) for out, c in totals.items()])
-    return skew.match(df, per_group, keys)
-
-
-def ends(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    first: str,
-    last: str,
-    sizes: GroupSizes | None = None,
-) -> DataFrame:
-    """``first_value`` and ``last_value`` of a column over whole ordered partitions."""
-    key = F.struct(*order)
-    boxed = F.struct(F.col(value).alias("v"))
-    totals = {"__first": F.min_by(boxed, key), "__last": F.max_by(boxed, key)}
-    return (
-        group_totals(df, keys, totals, sizes)
-        .withColumns({first: F.col("__first.v"), last: F.col("__last.v")})
-        .drop("__first", "__last")
-    )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import skew, windows
+from millrace.operators import windows
 from millrace.plans.registry import query
 
 
@@ -21,10 +21,9 @@ def _by_time():
 )
 def window_ranking(t):
     events = t.events.select("event_id", "user_id", "ts", "event_type")
-    by = ["user_id"]
-    sizes = skew.group_sizes(events, by)
-    numbered = windows.tile_rows(events, by, _by_time(), 4, "row_number", "quarter", sizes)
-    return windows.rank_rows(numbered, by, ["event_type"], sizes=sizes).drop("ts", "event_type")
+    ranks = {kind: windows.Rank(kind, ["event_type"]) for kind in ("rank", "dense_rank")}
+    numbers = {"row_number": windows.RowNumber(), "quarter": windows.Tile(4)}
+    return windows.windowed(events, ["user_id"], _by_time(), numbers | ranks).drop("ts", "event_type")
 
 
 @query(
@@ -49,18 +48,93 @@ def window_shares(t):
        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def window_analytic(t):
-    near = {
-        "previous": windows.Neighbour(F.col("event_type")),
+    events = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    kind = F.col("event_type")
+    functions = {
+        "previous": windows.Neighbour(kind),
         "after_next": windows.Neighbour(F.col("event_id"), -2),
         "value_before": windows.Neighbour(F.col("value"), 1, 0.0),
+        "first_type": windows.First(kind),
+        "last_type": windows.Last(kind, whole=True),
     }
-    by = ["user_id"]
-    sizes = skew.group_sizes(t.events, by)
-    near_by = windows.rows_frame(t.events, by, _by_time(), near, sizes)
-    near_by = near_by.withColumn("change", F.round(F.col("value") - F.col("value_before"), 2))
-    return windows.ends(
-        near_by, by, ["ts", "event_id"], "event_type", "first_type", "last_type", sizes
-    ).select("event_id", "previous", "after_next", "change", "first_type", "last_type")
+    found = windows.windowed(events, ["user_id"], _by_time(), functions)
+    change = F.round(F.col("value") - F.col("value_before"), 2).alias("change")
+    return found.select("event_id", "previous", "after_next", change, "first_type", "last_type")
+
+
+@query(
+    "window_nth_value",
+    """WITH purchases AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS paid FROM events)
+       SELECT event_id,
+              nth_value(event_type, 3) OVER w AS third_type,
+              nth_value(event_id, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fifth_event,
+              nth_value(paid, 2 IGNORE NULLS) OVER w AS second_paid
+       FROM purchases WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def window_nth_value(t):
+    events = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    paid = F.when(F.col("event_type") == "purchase", F.col("value"))
+    functions = {
+        "third_type": windows.Nth(F.col("event_type"), 3),
+        "fifth_event": windows.Nth(F.col("event_id"), 5, whole=True),
+        "second_paid": windows.Nth(paid, 2, ignore_nulls=True),
+    }
+    found = windows.windowed(events, ["user_id"], _by_time(), functions)
+    return found.select("event_id", *functions)
+
+
+@query(
+    "window_ignore_nulls",
+    """WITH purchases AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS paid FROM events)
+       SELECT event_id,
+              lag(paid, 1 IGNORE NULLS) OVER w AS paid_before,
+              coalesce(lead(paid, 2 IGNORE NULLS) OVER w, -1.0) AS paid_after_next,
+              first_value(paid IGNORE NULLS) OVER w AS first_paid,
+              last_value(paid IGNORE NULLS) OVER w AS latest_paid,
+              last_value(paid IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_paid
+       FROM purchases WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def window_ignore_nulls(t):
+    events = t.events.select("event_id", "user_id", "ts", "event_type", "value")
+    paid = F.when(F.col("event_type") == "purchase", F.col("value"))
+    functions = {
+        "paid_before": windows.Neighbour(paid, 1, ignore_nulls=True),
+        "paid_after_next": windows.Neighbour(paid, -2, -1.0, ignore_nulls=True),
+        "first_paid": windows.First(paid, ignore_nulls=True),
+        "latest_paid": windows.Last(paid, ignore_nulls=True),
+        "last_paid": windows.Last(paid, ignore_nulls=True, whole=True),
+    }
+    found = windows.windowed(events, ["user_id"], _by_time(), functions)
+    return found.select("event_id", *functions)
+
+
+@query(
+    "window_open_frames",
+    """SELECT event_id,
+              min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS lowest,
+              max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN 2 PRECEDING AND UNBOUNDED FOLLOWING) AS highest_left,
+              avg(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS average,
+              count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS to_come,
+              max(value) OVER (PARTITION BY user_id) AS highest
+       FROM events""",
+)
+def window_open_frames(t):
+    events = t.events.select("event_id", "user_id", "ts", "value")
+    value = F.col("value")
+    frames = {
+        "lowest": windows.RowsFrame("min", value, None, 0),
+        "highest_left": windows.RowsFrame("max", value, 2, None),
+        "average": windows.RowsFrame("avg", F.col("event_id"), None, 1),
+        "to_come": windows.RowsFrame("count", F.lit(1), 0, None),
+        "highest": windows.RowsFrame("max", value, None, None),
+    }
+    found = windows.windowed(events, ["user_id"], _by_time(), frames)
+    return found.select("event_id", *frames)
 
 
 @query(
@@ -74,16 +148,15 @@ def window_analytic(t):
        FROM events""",
 )
 def window_rows_frame(t):
+    value = F.col("value")
     frames = {
-        "nearby": windows.RowsFrame("sum", F.col("value"), 2, 1),
+        "nearby": windows.RowsFrame("sum", value, 2, 1),
         "seen": windows.RowsFrame("count", F.lit(1), 3, 0),
+        "running": windows.RowsFrame("sum", value, None, 0),
     }
     events = t.events.select("event_id", "user_id", "ts", "value")
-    by = ["user_id"]
-    sizes = skew.group_sizes(events, by)
-    framed = windows.rows_frame(events, by, _by_time(), frames, sizes)
-    summed = windows.running(framed, by, _by_time(), {"running": F.col("value")}, sizes)
-    return summed.select("event_id", F.round("nearby", 2).alias("nearby"), "seen", F.round("running", 2).alias("running"))
+    found = windows.windowed(events, ["user_id"], _by_time(), frames)
+    return found.select("event_id", F.round("nearby", 2).alias("nearby"), "seen", F.round("running", 2).alias("running"))
 
 
 @query(
@@ -116,16 +189,16 @@ def window_range_frame(t):
 def window_named(t):
     # One named window, used by several functions: here a value passed around.
     order = [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()]
-    keys = ["o_custkey"]
     price = F.col("o_totalprice")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    sizes = skew.group_sizes(orders, keys)
-    step = windows.rows_frame(orders, keys, order, {"last_price": windows.Neighbour(price)}, sizes)
-    step = step.withColumn("change", price - F.coalesce("last_price", price))
-    numbered = windows.number_rows(step, keys, order, "nth", sizes)
-    return windows.group_totals(numbered, keys, {"orders": F.count("*")}, sizes).select(
-        "o_orderkey", "nth", "orders", "change"
-    )
+    functions = {
+        "last_price": windows.Neighbour(price),
+        "nth": windows.RowNumber(),
+        "orders": windows.RowsFrame("count", F.lit(1), None, None),
+    }
+    found = windows.windowed(orders, ["o_custkey"], order, functions)
+    change = (price - F.coalesce("last_price", price)).alias("change")
+    return found.select("o_orderkey", "nth", "orders", change)
 
 
 @query(
@@ -139,7 +212,8 @@ def window_distribute_sort(t):
     # DISTRIBUTE BY … SORT BY inside OVER mean PARTITION BY … ORDER BY; CLUSTER BY
     # gives a partition without an order.
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    lines, by = t.lineitem.select(*columns), ["l_suppkey"]
-    sizes = skew.group_sizes(lines, by)
-    placed = windows.rank_rows(lines, by, ["l_quantity"], dense_rank="place", sizes=sizes)
-    return windows.group_totals(placed, by, {"lines": F.count("*")}, sizes).drop("l_suppkey", "rank")
+    functions = {
+        "place": windows.Rank("dense_rank", ["l_quantity"]),
+        "lines": windows.RowsFrame("count", F.lit(1), None, None),
+    }
+    return windows.windowed(t.lineitem.select(*columns), ["l_suppkey"], [], functions).drop("l_suppkey")

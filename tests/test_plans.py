@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from millrace import workdir
+from millrace.operators import skew, windows
 from millrace.plans import QUERIES as OWN
 from millrace.sources import sinks
 from tests.plans import physical, scans
@@ -84,3 +85,20 @@ def test_no_python_outside_the_python_operators(spark, key):
 @pytest.mark.parametrize("key", sorted(PYTHON))
 def test_python_operators_are_vectorised(spark, key):
     assert "BatchEvalPython" not in physical(QUERIES[key](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("key", ["window_ranking", "window_analytic", "window_rows_frame", "window_named", "window_nth_value", "window_ignore_nulls", "window_open_frames"])
+def test_hot_windows_cut_once(spark, key, monkeypatch):
+    """All functions of a window share one cut and one table of summaries, and the base is read for the cold and for the hot rows."""
+    written = []
+    monkeypatch.setattr(windows, "materialise", lambda df, label: (written.append((label, df)), workdir.materialise(df, label))[1])
+    measure = skew.group_sizes
+    monkeypatch.setattr(skew, "group_sizes", lambda df, keys, limit=5: measure(df, keys, limit))
+    result = QUERIES[key](spark, SF_DIR)
+    labels = [label for label, _ in written]
+    ranked = labels.index("window-values") if "window-values" in labels else len(labels)
+    assert labels[:ranked] == ["window-pieces", "piece-totals", "window-numbers"][:ranked] and ranked >= 2
+    base = [scan for df in [result, *[df for _, df in written]] for scan in scans(df) if SF_DIR in scan]
+    assert len(base) == 2
+    plain = measure(result, ["event_id" if "event_id" in result.columns else "o_orderkey"], 10**9)
+    assert plain.rows == spark.read.parquet(f"{SF_DIR}/{'events' if 'event_id' in result.columns else 'orders'}.parquet").count()

@@ -210,3 +210,83 @@ def test_negative_reaches_are_refused():
     for kind in (windows.RowsFrame, windows.RangeFrame):
         with pytest.raises(ValueError):
             kind("sum", F.col("v"), -1, 2)
+
+
+FUNCTIONS = {
+    "lag(v, 2 IGNORE NULLS)": lambda: windows.Neighbour(F.col("v"), 2, ignore_nulls=True),
+    "coalesce(lead(v, 1 IGNORE NULLS) OVER run, 7)": lambda: windows.Neighbour(F.col("v"), -1, 7, ignore_nulls=True),
+    "lead(v, 90 IGNORE NULLS)": lambda: windows.Neighbour(F.col("v"), -90, ignore_nulls=True),
+    "first_value(v)": lambda: windows.First(F.col("v")),
+    "first_value(v IGNORE NULLS)": lambda: windows.First(F.col("v"), ignore_nulls=True),
+    "last_value(v)": lambda: windows.Last(F.col("v")),
+    "last_value(v IGNORE NULLS)": lambda: windows.Last(F.col("v"), ignore_nulls=True),
+    "last_value(v IGNORE NULLS) OVER whole": lambda: windows.Last(F.col("v"), ignore_nulls=True, whole=True),
+    "first_value(v IGNORE NULLS) OVER whole": lambda: windows.First(F.col("v"), ignore_nulls=True, whole=True),
+    "nth_value(v, 3)": lambda: windows.Nth(F.col("v"), 3),
+    "nth_value(v, 100)": lambda: windows.Nth(F.col("v"), 100),
+    "nth_value(v, 5 IGNORE NULLS)": lambda: windows.Nth(F.col("v"), 5, ignore_nulls=True),
+    "nth_value(v, 70 IGNORE NULLS) OVER whole": lambda: windows.Nth(F.col("v"), 70, ignore_nulls=True, whole=True),
+    "nth_value(v, 9999) OVER whole": lambda: windows.Nth(F.col("v"), 9999, whole=True),
+    "min(v)": lambda: windows.RowsFrame("min", F.col("v"), None, 0),
+    "max(v) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 50 FOLLOWING)": lambda: windows.RowsFrame("max", F.col("v"), None, 50),
+    "sum(v) OVER (run ROWS BETWEEN 3 PRECEDING AND UNBOUNDED FOLLOWING)": lambda: windows.RowsFrame("sum", F.col("v"), 3, None),
+    "count(v) OVER (run ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)": lambda: windows.RowsFrame("count", F.col("v"), 0, None),
+    "min(v) OVER (run ROWS BETWEEN 60 PRECEDING AND UNBOUNDED FOLLOWING)": lambda: windows.RowsFrame("min", F.col("v"), 60, None),
+    "min(v) OVER whole": lambda: windows.RowsFrame("min", F.col("v"), None, None),
+    "count(*) OVER whole": lambda: windows.RowsFrame("count", F.lit(1), None, None),
+    "round(avg(v) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING), 9)": lambda: windows.RowsFrame("avg", F.col("v"), None, 1),
+    "row_number()": lambda: windows.RowNumber(),
+    "ntile(7)": lambda: windows.Tile(7),
+    "rank() OVER (PARTITION BY key ORDER BY pos NULLS FIRST)": lambda: windows.Rank("rank", ["pos"]),
+    "cume_dist() OVER (PARTITION BY key ORDER BY v DESC NULLS LAST)": lambda: windows.Rank("cume_dist", ["v"], ["v"]),
+    "dense_rank() OVER (PARTITION BY key ORDER BY v DESC NULLS LAST)": lambda: windows.Rank("dense_rank", ["v"], ["v"]),
+}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_all_functions_of_one_window(table, hot, monkeypatch):
+    """Every function equals SQL, and together they make one cut and one table of summaries."""
+    df, con = table
+    labels = []
+    write = windows.materialise
+    monkeypatch.setattr(windows, "materialise", lambda t, label: (labels.append(label), write(t, label))[1])
+    functions = {f"f{k}": make() for k, make in enumerate(FUNCTIONS.values())}
+    result = windows.windowed(df, ["key"], order(), functions, sizes(df, hot))
+    columns = ", ".join(f"{sql if ' OVER ' in sql else sql + ' OVER run'} AS f{k}" for k, sql in enumerate(FUNCTIONS))
+    text = f"""SELECT id, {columns} FROM t WINDOW run AS (PARTITION BY key {SQL_ORDER}),
+              whole AS (PARTITION BY key {SQL_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+    rounded = [F.round(c, 9).alias(c) if sql.startswith("round") else c for sql, c in zip(FUNCTIONS, functions, strict=True)]
+    have = {r["id"]: tuple(r) for r in result.select("id", *rounded).collect()}
+    want = {r[0]: tuple(r) for r in con.sql(text).fetchall()}
+    assert len(have) == len(want) == 901 and result.count() == 901
+    for k, text in enumerate(FUNCTIONS, 1):
+        wrong = [(i, have[i][k], want[i][k]) for i in want if have[i][k] != want[i][k]]
+        assert not wrong, (text, wrong[:5])
+    if hot:
+        # The ranks' distinct values are windowed by the same operator, cut where they are many.
+        assert labels[:2] == ["window-pieces", "piece-totals"]
+        assert labels.count("window-pieces") == labels.count("piece-totals") <= 1 + labels.count("window-values")
+    else:
+        assert not labels
+
+
+def test_types_of_every_function(table):
+    df, _ = table
+    functions = {f"f{k}": make() for k, make in enumerate(FUNCTIONS.values())}
+    one, other = (windows.windowed(df, ["key"], order(), functions, sizes(df, hot)) for hot in (False, True))
+    assert one.dtypes == other.dtypes
+
+
+def test_only_hot_rows_leave_the_plain_path(table):
+    df, _ = table
+    found = windows.windowed(df, ["key"], order(), {"n": windows.RowNumber(), "t": windows.Tile(3)}, sizes(df, True))
+    placed = windows._cut(skew.split_hot(df, ["key"], sizes(df, True))[1], ["key"], order(), sizes(df, True))
+    hot = {r["key"] for r in placed.select("key").distinct().collect()}
+    assert hot == {"hot", None} | {k for k in ("a", "b", "c") if df.filter(F.col("key") == k).count() > LIMIT}
+    assert found.count() == 901
+
+
+def test_frames_and_numbers_are_checked():
+    for make in (lambda: windows.RowsFrame("sum", F.col("v"), None, -1), lambda: windows.Nth(F.col("v"), 0)):
+        with pytest.raises(ValueError):
+            make()
