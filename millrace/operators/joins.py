@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import skew
+from millrace.workdir import materialise
+
+_VALUE = "__value"
+BITS = 2  # a block is cut in 2 ** BITS blocks of the level below
 
 
 def cross(left: DataFrame, right: DataFrame, rows: int = 1000) -> DataFrame:
@@ -67,42 +71,75 @@ def full_using(
     )
 
 
+def distinct_values(values: DataFrame) -> DataFrame:
+    """The distinct values of a subquery's one column, written: computed once for every join that asks for them."""
+    (name,) = values.columns
+    return materialise(values.select(F.col(name).alias(_VALUE)).distinct(), "subquery")
+
+
+def _known(values: DataFrame) -> DataFrame:
+    return values if values.columns == [_VALUE] else distinct_values(values)
+
+
+def is_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """``left WHERE column IN (values)``; ``values`` has one column or comes from ``distinct_values``."""
+    return left.join(_known(values), left[column] == F.col(_VALUE), "left_semi")
+
+
 def not_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """``left WHERE column NOT IN (values)`` with SQL's three-valued logic.
 
-    ``values`` has one column. Spark's null-aware anti join broadcasts the whole
-    subquery; this is a shuffled anti join on the distinct values plus one row that
-    says whether the subquery is empty or holds a null.
+    ``values`` has one column or comes from ``distinct_values``. Spark's null-aware anti join broadcasts the whole
+    subquery; this is an anti join on its distinct values, written once. Whether there are any, and a null among
+    them, is one look at the written table: no value keeps every row, a null none.
     """
-    (name,) = values.columns
-    distinct = values.select(F.col(name).alias("__value")).distinct()
-    facts = values.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(name).isNull()).alias("nulls")
-    )
-    undecided = facts.select(F.when(F.col("n") == 0, "all").when(F.col("nulls") > 0, "none"))
-    kept = left.join(distinct, left[column] == F.col("__value"), "left_anti")
-    verdict = F.coalesce(undecided.scalar(), F.lit("known"))
-    return kept.filter((verdict == "all") | ((verdict == "known") & F.col(column).isNotNull()))
+    known = _known(values)
+    n, nulls = known.agg(F.count(F.lit(1)), F.count_if(F.col(_VALUE).isNull())).first()
+    if not n:
+        return left
+    if nulls:
+        return left.filter(F.lit(False))
+    return left.filter(F.col(column).isNotNull()).join(known, left[column] == F.col(_VALUE), "left_anti")
 
 
-def in_range(
-    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: int
-) -> DataFrame:
-    """``points JOIN ranges ON at >= low AND at < high`` on integer columns.
+def range_nodes(ranges: DataFrame, low: str, high: str, bits: int = BITS) -> DataFrame:
+    """``ranges`` once for every aligned block their integers ``low <= i < high`` are made of: ``__level`` and ``__node``.
 
-    A join on inequalities alone compares every pair of rows. Both sides get the
-    number of the ``width``-wide bucket they fall in, a range one row per bucket
-    it touches, and Spark joins on equal buckets; the inequalities then decide.
-    Choose ``width`` near the typical length of a range. Few enough ranges are
-    broadcast and the points stay where they are.
+    A block of level ``k`` holds ``2 ** (bits * k)`` integers. A level has the blocks inside of the range that are in no
+    block of the level above inside of it: less than ``2 ** bits`` at either end, on about log(length) levels.
     """
-    bucketed = points.withColumn("__bucket", F.expr(f"floor(`{at}` / {width})"))
-    covered = ranges.filter(F.col(low) < F.col(high)).withColumn(
-        "__bucket",
-        F.explode(F.expr(f"sequence(floor(`{low}` / {width}), floor((`{high}` - 1) / {width}))")),
-    )
-    return (
-        bucketed.join(skew.broadcast_if_small(covered), "__bucket")
-        .filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
-        .drop("__bucket")
-    )
+    levels = F.expr(f"sequence(0, cast(floor(log2(`{high}` - `{low}`) / {bits}) AS int))")
+    rows = ranges.filter(F.col(low) < F.col(high)).withColumn("__level", F.explode(levels))
+
+    def inside(level: str) -> tuple[str, str]:
+        shift = f"{bits} * ({level})"
+        return f"-shiftright(-`{low}`, {shift})", f"shiftright(`{high}`, {shift})"
+
+    (start, end), (above, above_end) = inside("__level"), inside("least(__level + 1, 62 div " + str(bits) + ")")
+    rows = rows.withColumns({"__start": F.expr(start), "__end": F.expr(end)})
+    covered = F.expr(f"({above}) < ({above_end}) AND __level < {62 // bits}")
+    first, last = F.expr(f"({above}) * {1 << bits}"), F.expr(f"({above_end}) * {1 << bits}")
+
+    def numbers(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    start, end = F.col("__start"), F.col("__end")
+    nodes = F.when(covered, F.concat(numbers(start, first), numbers(last, end))).otherwise(numbers(start, end))
+    return rows.withColumn("__node", F.explode(nodes)).drop("__start", "__end")
+
+
+def in_range(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, bits: int = BITS) -> DataFrame:
+    """``points JOIN ranges ON at >= low AND at < high`` on integer columns, within 62 bits.
+
+    A join on inequalities alone compares every pair of rows. Here a range becomes the aligned blocks it is made of,
+    of which there are about ``2 ** bits`` times the logarithm of its length, whether that is 1 or 10^9, and a point
+    the blocks of every level in use that hold it, of which exactly one is in each range around it: an equi-join
+    without false pairs. More ``bits`` give a range more rows and a point fewer. Few enough blocks are broadcast.
+    """
+    nodes = materialise(range_nodes(ranges.withColumns({c: F.col(c).cast("bigint") for c in (low, high)}), low, high, bits), "range-nodes")
+    levels = sorted(r[0] for r in nodes.select("__level").distinct().collect())  # 62 / bits numbers at most
+    level = F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("__level")
+    held = points.select("*", level).withColumn("__node", F.expr(f"shiftright(cast(`{at}` AS bigint), {bits} * __level)"))
+    kinds = {f.name: f.dataType for f in ranges.schema}
+    joined = held.join(skew.broadcast_if_small(nodes), ["__level", "__node"]).drop("__level", "__node")
+    return joined.withColumns({c: F.col(c).cast(kinds[c]) for c in (low, high)})

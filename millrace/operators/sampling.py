@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.workdir import materialise
+
+_SEQ = "__seq"
+FEW_ROWS = 10_000  # rows that one task is asked to take from each partition
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -27,11 +31,26 @@ def percent_by(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFram
     return df.filter(place < round(share / 100 * 2**32))
 
 
-def rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """``TABLESAMPLE (n ROWS)``, the first ``n`` by a total order: repeatable."""
+def rows(df: DataFrame, n: int, order: Sequence[Column], few: int = FEW_ROWS) -> DataFrame:
+    """``TABLESAMPLE (n ROWS)``, the first ``n`` by a total order: repeatable.
+
+    Spark's limit brings the first ``n`` rows of every partition to one task, which serves for few. More rows are
+    sorted by range and written; the pieces' counts, one number each, tell which are whole in the sample and how many
+    rows of the one at its end are.
+    """
     if n < 0:
         raise ValueError("number of rows must not be negative")
-    return df.orderBy(*order).limit(n)
+    if n <= few:
+        return df.orderBy(*order).limit(n)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(sorted_.withColumn(_SEQ, F.monotonically_increasing_id()), "sorted")
+    piece = F.shiftright(_SEQ, 33)  # the id counts on from here in each piece
+    counts = placed.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).orderBy("piece").collect()
+    for part in counts:
+        if n < part["n"]:
+            return placed.filter(F.col(_SEQ) < (part["piece"] << 33) + n).drop(_SEQ)
+        n -= part["n"]
+    return placed.drop(_SEQ)
 
 
 def bucket(
@@ -65,20 +84,22 @@ def first_bytes(df: DataFrame, budget: int | str, size: Column, order: str) -> D
     """``TABLESAMPLE (100M)``: the longest prefix by ``order`` within a byte budget.
 
     ``order`` is an integer column; nulls in it, which have no place in the order,
-    are refused. Rows that share a value stay together. The cut is found by adding up ``size`` over 256 slices of the value
-    range and repeating inside the slice in which the budget runs out: a handful
-    of aggregations over ever smaller parts, no sort, 256 sums at most per pass.
-    The sample itself is a filter the scan can push down.
+    are refused. Rows that share a value stay together. ``size`` is added up over 256 slices of a span of values at the low
+    end; while the budget lasts, the next span is four times as long, so no more than a few budgets of
+    rows are ever read. Inside the slice in which the budget runs out the search is repeated: a handful
+    of aggregations over small parts, no sort, 256 sums at most per pass, each behind a filter the scan can push down,
+    as is the sample itself.
     """
     if isinstance(budget, str):
         budget = size_in_bytes(budget)
-    low, high, nulls = df.agg(F.min(order), F.max(order), F.count_if(F.col(order).isNull())).first()
+    low, last, nulls = df.agg(F.min(order), F.max(order), F.count_if(F.col(order).isNull())).first()
     if nulls:
         raise ValueError(f"{nulls} rows without {order}")
     if low is None:
         return df
-    spent = 0
-    while True:
+    spent, span = 0, max(256, (last - low) >> 16)
+    while low <= last:
+        high = min(last, low + span - 1)
         step = -(-(high - low + 1) // 256)
         slices = (
             df.filter(F.col(order).between(low, high))
@@ -92,8 +113,11 @@ def first_bytes(df: DataFrame, budget: int | str, size: Column, order: str) -> D
                 break
             spent += part["bytes"]
         else:
-            return df.filter(F.col(order) <= high)
+            low, span = high + 1, 4 * span
+            continue
         low += part["slice"] * step
-        high = low + step - 1
         if step == 1:
-            return df.filter(F.col(order) < low)
+            break
+        last = min(high, low + step - 1)
+        span = step
+    return df.filter(F.col(order) < low)

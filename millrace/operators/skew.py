@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,8 @@ from millrace.workdir import materialise
 
 # Rows of one group a single task is asked to sort or hold at most.
 TASK_ROWS = 4_000_000
+# Keys the frequent-items summary tracks, and the partial summaries that are merged side by side.
+TRACKED_KEYS, MERGED_APART = 16_384, 128
 # Rows and bytes a table may have to be broadcast; what is larger is joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -23,13 +25,14 @@ _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Tim
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """Sizes of the groups of some keys: all numbers, nothing per group."""
+    """Sizes of the groups of some keys, and the few groups above the limit."""
 
     rows: int
-    largest: int  # at most this; exact when there are more rows than the limit
+    largest: int  # at most this; exact where a group is above the limit
     hot: int  # groups above the limit
     hot_rows: int  # rows in them
     limit: int = TASK_ROWS
+    keys: DataFrame | None = field(default=None, compare=False, repr=False)  # of the groups above the limit, written
 
     @property
     def any_hot(self) -> bool:
@@ -50,44 +53,64 @@ def match(
     return joined.drop(*[f"__right_{k}" for k in keys])
 
 
+def _from_footers(df: DataFrame) -> bool:
+    """Whether ``df`` is columns of a table as they are: then counting its rows reads file footers only."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(line.lstrip(" :+-").startswith(("Project", "Relation")) for line in plan.splitlines() if line.strip())
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> GroupSizes:
-    """Measure the groups with one map-side combined count over the key columns.
+    """Measure the groups, in one job where none is above ``limit`` rows.
 
-    A table within the limit has no group above it; its row count, which a plain
-    scan takes from the file footers, is the whole measurement.
+    A frequent-items summary of the keys' hashes is built in the pass that reads the rows, in each task, and merged in
+    two steps: no key is shuffled, however many there are. A summary that tracks ``TRACKED_KEYS`` keys misses none
+    that has more than ``_least_found`` of all rows; its counts may be too high by as much and never too low. So
+    the keys it finds above the limit are the only candidates, and those are counted exactly in a second pass over the
+    key columns. Tables so large that the limit is below that share are counted key by key.
     """
-    total = df.count()
-    if total <= limit:
+    total = df.count() if _from_footers(df) else None
+    if total is not None and total <= limit:
         return GroupSizes(total, total, 0, 0, limit)
-    row = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
-            F.count_if(F.col("n") > limit).alias("hot"),
-            F.coalesce(F.sum(F.when(F.col("n") > limit, F.col("n"))), F.lit(0)).alias("hot_rows"),
-        )
-        .first()
+    ident = F.xxhash64(*keys)
+    apart = F.pmod(F.spark_partition_id(), F.lit(MERGED_APART)).alias("part")
+    summaries = df.select(ident.alias("__ident"), apart).groupBy("part").agg(
+        F.expr(f"approx_top_k_accumulate(__ident, {TRACKED_KEYS})").alias("state"), F.count(F.lit(1)).alias("n")
     )
-    return GroupSizes(*row, limit)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> DataFrame:
-    """Keys of the groups above ``limit`` rows: at most rows / limit of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > limit)
-        .select(*keys)
+    merged = summaries.groupBy(F.lit("all")).agg(  # without rows no group, and nothing to merge
+        F.expr(f"approx_top_k_combine(state, {TRACKED_KEYS})").alias("state"), F.sum("n").alias("n")
     )
+    most = TRACKED_KEYS // 5  # more than can be above any limit the summary serves
+    row = merged.select("n", F.expr(f"approx_top_k_estimate(state, {most})").alias("found")).first()
+    total = row["n"] if row else 0
+    if total <= limit:
+        return GroupSizes(total, total, 0, 0, limit)
+    if limit > _least_found(total):
+        idents = [(r["item"],) for r in row["found"] if r["count"] > limit]
+        if not idents:
+            return GroupSizes(total, limit, 0, 0, limit)
+        candidates = F.broadcast(df.sparkSession.createDataFrame(idents, "__ident bigint"))  # at most ``most`` numbers
+        df = df.select(*keys, ident.alias("__ident")).join(candidates, "__ident", "left_semi")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    hot = materialise(counted, "hot-keys")  # at most total / limit rows
+    sums = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(limit))).first()
+    return GroupSizes(total, sums[2], sums[0], sums[1], limit, hot.select(*keys))
+
+
+def _least_found(rows: int) -> int:
+    """Rows of a key that the summary cannot miss among ``rows``.
+
+    The summary keeps 2 ** k >= TRACKED_KEYS / 0.75 counters; its counts are at most 3.5 * rows / 2 ** k too high, and it
+    gives every key whose count less that error is above that error.
+    """
+    counters = 1 << (-(-TRACKED_KEYS * 4 // 3) - 1).bit_length()
+    return 7 * rows // counters + 1
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], sizes: GroupSizes
 ) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two: rows of the groups within the limit, rows of the larger ones."""
-    hot = materialise(hot_keys(df, keys, sizes.limit), "hot-keys")
+    """``df`` in two: rows of the groups within the limit, rows of the larger ones (``sizes`` of the same keys)."""
+    hot = sizes.keys.select(*keys)
     small = fits(hot)
     return match(df, hot, keys, "left_anti", small), match(df, hot, keys, "left_semi", small)
 

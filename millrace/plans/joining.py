@@ -36,12 +36,33 @@ def join_theta(t):
     day = F.unix_date(F.col("l_shipdate").cast("date")).alias("day")
     per_day = t.lineitem.groupBy(day).agg(F.count("*").alias("n"))
     return (
-        joins.in_range(per_day, "day", months, "low", "high", width=31)
+        joins.in_range(per_day, "day", months, "low", "high")
         .groupBy("month")
         .agg(F.sum("n").alias("shipped"))
     )
 
 
+@query(
+    "join_theta_ranges",
+    """WITH spans AS (
+         SELECT o_orderkey AS low, o_orderkey + 1 + CAST(pow(10, o_orderkey % 10) AS BIGINT) AS high, o_orderkey % 10 AS digits
+         FROM orders WHERE o_orderkey % 49 = 0)
+       SELECT o_orderkey, count(*) AS spans, max(digits) AS longest, min(low) AS first
+       FROM orders JOIN spans ON o_orderkey >= low AND o_orderkey < high GROUP BY o_orderkey""",
+)
+def join_theta_ranges(t):
+    # Ranges of one to 10^9 keys: no width of buckets suits them all.
+    key = F.col("o_orderkey")
+    length = F.pow(F.lit(10), key % 10).cast("bigint")
+    spans = t.orders.filter("o_orderkey % 49 = 0").select(
+        key.alias("low"), (key + 1 + length).alias("high"), (key % 10).alias("digits")
+    )
+    found = joins.in_range(t.orders.select("o_orderkey"), "o_orderkey", spans, "low", "high")
+    return found.groupBy("o_orderkey").agg(
+        F.count("*").alias("spans"), F.max("digits").alias("longest"), F.min("low").alias("first")
+    )
+
+
 @query(
     "join_theta_residual",
     """SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem

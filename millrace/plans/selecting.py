@@ -152,10 +152,9 @@ def case_when(t):
 )
 def subquery_in(t):
     big = t.orders.filter(F.col("o_totalprice") > 400000).select("o_custkey")
-    inside = t.customer.join(
-        big.distinct(), F.col("c_custkey") == F.col("o_custkey"), "left_semi"
-    )
-    outside = joins.not_in(t.customer, "c_custkey", big)
+    buyers = joins.distinct_values(big)
+    inside = joins.is_in(t.customer, "c_custkey", buyers)
+    outside = joins.not_in(t.customer, "c_custkey", buyers)
     return inside.select("c_custkey", F.lit("in").alias("side")).unionAll(
         outside.select("c_custkey", F.lit("not in").alias("side"))
     )

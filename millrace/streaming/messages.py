@@ -17,7 +17,7 @@ _BAD = "_bad"
 def decode(text: DataFrame, column: str = "value") -> DataFrame:
     """Parse messages; ``bad`` marks text that is not a message object.
 
-    Keeps the raw text, the file it came in and when that arrived. Rows are ``raw, file,
+    Keeps the raw text, the file it came in and when it arrived. Rows are ``raw, file,
     arrived, bad, name, namespace, uid, ts, services``.
     """
     schema = f"{MESSAGE}, {_BAD} string"
@@ -37,12 +37,16 @@ def decode(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
-    """Messages, one per line, from text files arriving under ``path``."""
+    """Messages, one per line, from text files arriving under ``path``; ``arrived`` is when their batch began.
+
+    That is the stream's own clock: it is part of a batch's log, so a batch that is run again has the same time, and it
+    goes forward whatever dates the files bear.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").alias("arrived"),
+        F.current_timestamp().alias("arrived"),
     )
 
 
@@ -74,9 +78,9 @@ def first_delivery(messages: DataFrame, horizon: str, ways: int = 16) -> DataFra
     """Good messages, each ``uid`` once however often it was delivered.
 
     ``horizon`` is how long after a delivery its repeat can arrive; state is kept that
-    long and no longer. Messages need no time of their own: what counts is when their
-    file arrived. Those without a uid carry nothing to match on and are passed on by
-    ``routed`` only.
+    long and no longer. Messages need no time of their own: what counts is when they
+    are read, so files that bear old dates (copied, uploaded late) are never too late. Those without
+    a uid carry nothing to match on and are passed on by ``routed`` only.
 
     Deliveries are first matched within ``ways`` groups of files, so that even one
     uid sent millions of times is spread over tasks; what is left, at most ``ways``

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -76,14 +77,40 @@ def test_in_range_edges(spark, rows):
     )
     spans = [tuple(r) for r in ranges.collect()]
     want = sorted((p.at, n) for p in points.collect() for n, lo, hi in spans if lo <= p.at < hi)
-    for width in (1, 7, 1000):
-        assert rows(joins.in_range(points, "at", ranges, "low", "high", width), "at", "name") == want
+    for bits in (1, 2, 4):
+        assert rows(joins.in_range(points, "at", ranges, "low", "high", bits), "at", "name") == want
+    assert joins.in_range(points, "at", ranges.limit(0), "low", "high").count() == 0
+    assert joins.in_range(points, "at", ranges, "low", "high").select("low", "high").dtypes == ranges.select("low", "high").dtypes
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4])
+def test_ranges_of_very_different_length(spark, rows, bits):
+    """From 1 to 10^9 and around zero: every pair once, and a number of rows that only the logarithm sets."""
+    rng = random.Random(bits)
+    spans = [(k, low, low + rng.choice([1, 2, 3, 10, 1000, 10**6, 10**9, 4 ** (k % 28)])) for k in range(40) for low in [rng.randint(-(10**9), 10**9)]]
+    spans += [(40, -(1 << 60), 1 << 60), (41, 0, 1 << 61), (42, -5, -5), (43, 7, 3)]
+    ends = [v + d for _, a, b in spans for v in (a, b) for d in (-1, 0, 1)]
+    points = spark.createDataFrame([(v,) for v in {*ends, 0, -1, *(rng.randint(-(10**9), 10**9) for _ in range(200))}], "at long")
+    ranges = spark.createDataFrame(spans, "name long, low long, high long")
+    want = sorted((p.at, n) for p in points.collect() for n, lo, hi in spans if lo <= p.at < hi)
+    assert rows(joins.in_range(points, "at", ranges, "low", "high", bits), "at", "name") == want
+    nodes = joins.range_nodes(ranges, "low", "high", bits).groupBy("name").count().agg(F.max("count")).first()[0]
+    assert nodes <= 2 * (2**bits - 1) * (62 // bits + 1)
+
+
+def test_subquery_is_computed_once(spark):
+    values = joins.distinct_values(spark.range(20).select((F.col("id") % 7).alias("v")))
+    left = spark.range(50).toDF("a")
+    both = joins.is_in(left, "a", values).unionAll(joins.not_in(left, "a", values))
+    assert both.count() == 50 and joins.is_in(left, "a", values).count() == 7
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "NestedLoop" not in plan
 
 
 def test_in_range_joins_on_a_key(spark):
     points = spark.range(100).toDF("at")
     ranges = spark.createDataFrame([(0, 5)], "low long, high long")
-    plan = joins.in_range(points, "at", ranges, "low", "high", 10)
+    plan = joins.in_range(points, "at", ranges, "low", "high")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "CartesianProduct" not in text
 

@@ -33,6 +33,21 @@ def test_rows(spark, rows):
         sampling.rows(df, -1, [F.col("id")])
 
 
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 501, 999, 1000, 5000])
+def test_many_rows_are_chosen_by_counts(spark, rows, n):
+    """No task has the rows chosen: they stay in sorted pieces; ties follow the total order."""
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 7 END AS v").repartition(9)
+    order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+    found = sampling.rows(df, n, order, few=-1)
+    assert rows(found) == rows(df.orderBy(*order).limit(n)) and found.columns == df.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "SinglePartition" not in plan
+
+
+def test_many_rows_of_none(spark):
+    assert sampling.rows(spark.range(0), 5, [F.col("id")], few=0).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["long", "string", "double"])
 def test_buckets_split_the_table(spark, kind):
     df = spark.range(-50, 50).select(F.col("id").cast(kind).alias("v"))
@@ -91,6 +106,16 @@ def test_first_bytes_is_the_longest_prefix(spark, budget):
     assert found == want
 
 
+def test_first_bytes_reads_from_the_low_end(spark, monkeypatch):
+    """A small budget: the passes ask for a few budgets of rows, whatever the table holds above."""
+    df, asked = spark.range(1_000_000), []
+    between = type(F.col("id")).between
+    monkeypatch.setattr(type(F.col("id")), "between", lambda self, a, b: (asked.append(b - a + 1), between(self, a, b))[1])
+    found = sampling.first_bytes(df, 100 * 3000, F.lit(100), "id")
+    assert found.count() == 3000 and sum(asked) <= 10 * 3000
+    assert "LocalLimit" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_bytes_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, n long")
     assert sampling.first_bytes(empty, "1K", F.col("n"), "id").count() == 0

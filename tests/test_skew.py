@@ -18,6 +18,23 @@ def test_group_sizes(lopsided):
     assert skew.group_sizes(lopsided, ["k"], 400) == skew.GroupSizes(400, 400, 0, 0, 400)
 
 
+def test_one_job_finds_the_candidates(spark, lopsided):
+    """Many keys of one row, a hot one and one just below the limit; also where the summary's bound does not reach."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 WHEN id % 10 = 1 THEN -2 ELSE id END AS k", "id % 2 AS j")
+    exact = df.groupBy("k").count()
+    for limit in (3_999, 4_000, 25_000, 5):  # the last one below what the summary cannot miss
+        found = skew.group_sizes(df, ["k"], limit)
+        hot = {r["k"]: r["count"] for r in exact.collect() if r["count"] > limit}
+        assert (found.rows, found.hot, found.hot_rows) == (60_000, len(hot), sum(hot.values()))
+        assert found.any_hot == bool(hot) and found.largest >= max(hot.values(), default=0)
+        if hot:
+            assert {r["k"] for r in found.keys.collect()} == set(hot)
+    assert skew._least_found(60_000) > 5 and skew._least_found(60_000) < 3_999
+    assert skew.group_sizes(df, ["k", "j"], 9_999).hot == 2
+    assert skew._from_footers(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey"))
+    assert not skew._from_footers(df)
+
+
 def test_group_sizes_of_nothing(spark):
     empty = spark.createDataFrame([], "k string")
     assert skew.group_sizes(empty, ["k"]).rows == 0

@@ -35,12 +35,12 @@ class Folder:
         os.makedirs(self.path)
         self.files = 0
 
-    def arrive(self, *lines):
+    def arrive(self, *lines, age=1000):
         self.files += 1
         target = os.path.join(self.path, f"{self.files:03}.txt")
         with open(target, "w") as out:
             out.write("\n".join(lines) + "\n")
-        moment = time.time() - 1000 + self.files  # files are taken in this order
+        moment = time.time() - age + self.files  # files are taken in this order
         os.utime(target, (moment, moment))
 
     def route(self):
@@ -121,3 +121,26 @@ def test_messages_need_a_uid_but_no_time(folder):
     folder.arrive(message("1"), message(None), message("2", ts=None), plain)
     folder.arrive(plain, message("2", ts=None))
     assert folder.once() == ["1", "2", "3"]
+
+
+def test_files_with_old_dates_are_not_too_late(folder):
+    """A file copied with its old time, in a later batch or after a restart: its new uids come out, its repeats do not."""
+    folder.arrive(message("u1"), message("u2"), age=0)
+    assert folder.once(horizon="1 hour") == ["u1", "u2"]
+    folder.arrive(message("u1"), message("u3"), age=2 * 3600)
+    assert folder.once(horizon="1 hour") == ["u1", "u2", "u3"]
+    folder.arrive(message("u4"), message("u3"), age=400 * 24 * 3600)
+    folder.arrive(message("u4"), message("u5"), message("u2"), age=-3600)
+    folder.arrive(message("u6"), message("u5"), age=5 * 3600)
+    assert folder.once(horizon="1 hour") == ["u1", "u2", "u3", "u4", "u5", "u6"]
+
+
+def test_state_is_dropped_after_the_horizon(folder):
+    folder.arrive(message("u1"))
+    assert folder.once(horizon="1 second") == ["u1"]
+    for k in range(3):  # the clock goes on with every batch
+        time.sleep(1.2)
+        folder.arrive(message(f"other{k}"))
+        folder.once(horizon="1 second")
+    folder.arrive(message("u1"))
+    assert folder.once(horizon="1 second").count("u1") == 2
