@@ -44,10 +44,7 @@ def outer(
     condition = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in pairs])
     exposed = {"left": [(right, partners)], "right": [(left, keys)]}
     exposed["full"] = exposed["left"] + exposed["right"]
-    # Counting the sides together is one job, and no key can be hot in one of them
-    # without being hot in their sum.
-    joint = [side.select(*by).toDF(*keys) for side, by in exposed[how]]
-    if not skew.group_sizes(reduce(DataFrame.unionAll, joint), keys, limit).any_hot:
+    if not any(skew.group_sizes(side.select(*by), by, limit).any_hot for side, by in exposed[how]):
         return left.join(right, condition, how)
     result = left.join(right, condition, "inner")
     if how in ("left", "full"):

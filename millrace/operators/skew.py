@@ -16,6 +16,7 @@ from millrace.workdir import materialise
 TASK_ROWS = 4_000_000
 # Keys the frequent-items summary tracks, and the partial summaries that are merged side by side.
 TRACKED_KEYS, MERGED_APART = 16_384, 128
+LISTED_FILES = 1000  # files whose footers are asked for a bound
 # Rows and bytes a table may have to be broadcast; what is larger is joined by shuffle.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -27,7 +28,7 @@ _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Tim
 class GroupSizes:
     """Sizes of the groups of some keys, and the few groups above the limit."""
 
-    rows: int
+    rows: int  # at most this; exact where there are more than the limit
     largest: int  # at most this; exact where a group is above the limit
     hot: int  # groups above the limit
     hot_rows: int  # rows in them
@@ -53,24 +54,35 @@ def match(
     return joined.drop(*[f"__right_{k}" for k in keys])
 
 
-def _from_footers(df: DataFrame) -> bool:
-    """Whether ``df`` is columns of a table as they are: then counting its rows reads file footers only."""
+def most_rows(df: DataFrame) -> int | None:
+    """A number of rows that ``df`` cannot exceed, where file footers tell: it filters or groups one Parquet table.
+
+    None for any other plan, and for tables of so many files that the driver should not list them again.
+    """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(line.lstrip(" :+-").startswith(("Project", "Relation")) for line in plan.splitlines() if line.strip())
+    lines = [line.lstrip(" :+-") for line in plan.splitlines() if line.strip()]
+    kept = all(line.startswith(("Project", "Filter", "Aggregate", "Sort", "Relation")) for line in lines)
+    tables = [line for line in lines if line.startswith("Relation")]
+    if not kept or len(tables) != 1 or not tables[0].rstrip().endswith("parquet"):
+        return None
+    files = df.inputFiles()
+    if not files or len(files) > LISTED_FILES:
+        return None
+    return df.sparkSession.read.schema("any int").parquet(*files).count()  # no column is read
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], limit: int = TASK_ROWS) -> GroupSizes:
     """Measure the groups, in one job where none is above ``limit`` rows.
 
-    A frequent-items summary of the keys' hashes is built in the pass that reads the rows, in each task, and merged in
+    A table whose files hold no more rows than that has no such group, which their footers tell. Else a frequent-items summary of the keys' hashes is built in the pass that reads the rows, in each task, and merged in
     two steps: no key is shuffled, however many there are. A summary that tracks ``TRACKED_KEYS`` keys misses none
     that has more than ``_least_found`` of all rows; its counts may be too high by as much and never too low. So
     the keys it finds above the limit are the only candidates, and those are counted exactly in a second pass over the
     key columns. Tables so large that the limit is below that share are counted key by key.
     """
-    total = df.count() if _from_footers(df) else None
-    if total is not None and total <= limit:
-        return GroupSizes(total, total, 0, 0, limit)
+    most = most_rows(df)
+    if most is not None and most <= limit:
+        return GroupSizes(most, most, 0, 0, limit)
     ident = F.xxhash64(*keys)
     apart = F.pmod(F.spark_partition_id(), F.lit(MERGED_APART)).alias("part")
     summaries = df.select(ident.alias("__ident"), apart).groupBy("part").agg(

@@ -202,7 +202,8 @@ def struct_ops(t):
 @query(
     "subscript",
     """SELECT vec_id, embedding[1] AS first, embedding[label % 7 + 1] AS picked,
-              embedding[1000000] IS NULL AS past_end, label::VARCHAR AS by_key, true AS no_key
+              embedding[1000000] IS NULL AS past_end, label::VARCHAR AS by_key,
+              (MAP {'label': label::VARCHAR})['other'] IS NULL AS no_key
        FROM embeddings""",
 )
 def subscript(t):
@@ -342,9 +343,10 @@ def func_array(t):
 
 @query(
     "func_map",
-    """SELECT event_id, event_type AS kind, user_id::VARCHAR AS who, 2 AS entries,
-              true AS has_kind, false AS has_other, 'kind,who' AS keys
-       FROM events""",
+    """SELECT event_id, m['kind'] AS kind, m['who'] AS who, CAST(cardinality(m) AS INTEGER) AS entries,
+              map_contains(m, 'kind') AS has_kind, map_contains(m, 'other') AS has_other,
+              array_to_string(list_sort(map_keys(m)), ',') AS keys
+       FROM (SELECT event_id, MAP {'kind': event_type, 'who': user_id::VARCHAR} AS m FROM events)""",
 )
 def func_map(t):
     facts = F.create_map(

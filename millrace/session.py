@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.parquet.mergeSchema": "false",
     "spark.sql.hive.metastorePartitionPruning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Spark's own sizes, whatever an earlier job of the session has set.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # State of a stream lives on disk next to the executor, not on its heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -47,6 +47,12 @@ class Tables:
     def location(self, name: str) -> str:
         return f"{self.path}/{name}.parquet"
 
+    def size(self) -> int:
+        """Bytes of all files, as the store lists them: one request to it."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(conf).getContentSummary(path).getLength()
+
     def register(self) -> None:
         """Make every table a temporary view, for plain SQL text over them."""
         for name in SCHEMAS:

@@ -31,8 +31,15 @@ def test_one_job_finds_the_candidates(spark, lopsided):
             assert {r["k"] for r in found.keys.collect()} == set(hot)
     assert skew._least_found(60_000) > 5 and skew._least_found(60_000) < 3_999
     assert skew.group_sizes(df, ["k", "j"], 9_999).hot == 2
-    assert skew._from_footers(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey"))
-    assert not skew._from_footers(df)
+
+
+def test_rows_bounded_by_file_footers(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    n = orders.count()
+    assert skew.most_rows(orders.select("o_custkey")) == skew.most_rows(orders.filter("o_custkey > 5").groupBy("o_custkey").count()) == n
+    assert skew.most_rows(orders.union(orders)) is None and skew.most_rows(spark.range(5)) is None
+    assert skew.most_rows(orders.select(F.explode(F.sequence(F.lit(1), F.lit(9))).alias("x"))) is None
+    assert skew.most_rows(orders.crossJoin(orders.limit(3))) is None
 
 
 def test_group_sizes_of_nothing(spark):
