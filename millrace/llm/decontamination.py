@@ -6,13 +6,15 @@
    with at most one edit between them (the edits cost a point each, so there are fewer of them than
    twice the matches), and both words of such a pair stand one or two words apart in the item
    and in the document. Items so short that this promises no pair use single words.
-2. Seeds: as so many places of an item must be matched, every set of one more than the rest holds a matched
-   one. That many places of each item are taken, those with the rarest grams in the corpus first, so
-   each alignment from ``threshold`` on has a seed, whatever the counts are; they only order the work.
+2. Seeds: of so many places that must be matched, half are asked for: so many places of each item are taken that any
+   alignment has them among its own, those with the rarest grams in the corpus first. Each
+   alignment from ``threshold`` on has that many seeds, whatever the counts are; they only order the work.
    The counts come from one pass over the documents, for which a bitmap of the grams, of bounded
    size, is sent to the tasks and lets most places go.
-3. A second pass, with a bitmap of the seeds, gathers a document's places into segments, with as many
-   words around them as an alignment can reach; an equal-join with the seeds makes candidate pairs.
+3. A second pass, with bitmaps of the seeds, gathers a document's places into segments, with as many
+   words around them as an alignment can reach. Items go in layers by their reach, to a power of two, each with
+   segments of its own, so a very long item widens no other's. An equal-join with the seeds counts the places that
+   segment and item share; pairs with as many as asked for are candidates.
 4. Smith-Waterman aligns each candidate segment that holds enough of its item's words with the item, word by
    word (match 2, else -1).
    The score is the best alignment as a share of the item's own, and a pair counts from ``threshold``.
@@ -72,6 +74,14 @@ def least_score(size: int, threshold: float) -> int:
     return max(1, math.ceil(MATCH * size * threshold - 1e-9))
 
 
+def layer(size: int, threshold: float) -> int:
+    """The power of two that the reach of an item of ``size`` words stays below.
+
+    Of an alignment, every word of the document is matched or an edit.
+    """
+    return ((1 + MATCH) * size - least_score(size, threshold)).bit_length()
+
+
 def _found(hashes: np.ndarray, step: int) -> np.ndarray:
     """The gram at each word: of the word and the one ``step`` words on, or of the word alone."""
     return words.pairs(hashes, step) if step else hashes
@@ -84,7 +94,8 @@ def _grams(threshold: float):
                 own = batch.column("words")[row].values.to_numpy().view(np.uint64)
                 sure = -(-least_score(len(own), threshold) // 2) - 1  # places that are matched at least
                 steps = (1, 2) if sure > 0 else (0,)
-                cover = len(own) - max(0, sure)
+                need = max(1, (sure + 1) // 2)
+                cover = min(len(own), len(own) - max(0, sure) + need - 1) if sure > 0 else len(own)
                 grams = [_found(own, step) for step in steps]
                 sizes = [len(g) for g in grams]
                 yield pa.record_batch({
@@ -92,6 +103,8 @@ def _grams(threshold: float):
                     "at": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
                     "step": pa.array(np.repeat(np.array(steps, np.int32), sizes)),
                     "cover": pa.array(np.full(sum(sizes), cover, np.int32)),
+                    "need": pa.array(np.full(sum(sizes), need, np.int32)),
+                    "layer": pa.array(np.full(sum(sizes), layer(len(own), threshold), np.int32)),
                     "gram": pa.array(np.concatenate(grams).view(np.int64)),
                 })
 
@@ -99,20 +112,19 @@ def _grams(threshold: float):
 
 
 def gram_bitmap(grams: DataFrame, least: int = LEAST_BITS, most: int = MOST_BITS) -> np.ndarray:
-    """One bit for the leading bits of every gram, in bytes; its size is bounded by ``most``."""
-    size = min(most, max(least, (32 * grams.count()).bit_length()))
-    shift = np.uint64(64 - size)
+    """One bit for the leading bits of every gram, in bytes; its size is bounded by ``most``.
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = batch.column("gram").to_numpy().view(np.uint64) >> shift
-            yield pa.record_batch({"place": pa.array(np.unique(gram).astype(np.int64))})
-
-    bits = np.zeros(1 << (size - 3), np.uint8)
-    found = grams.select("gram").mapInArrow(places, "place bigint").distinct()
-    for (place,) in found.toLocalIterator():  # a partition at a time, no more places than bits
-        bits[place >> 3] |= 1 << (place & 7)
-    return bits
+    The tasks fill blocks of 4 KB; only finished blocks come here.
+    """
+    size = min(most, max(least, (32 * grams.count()).bit_length()))
+    place = grams.select((F.shiftrightunsigned("gram", 64 - size) + 1).alias("place"))
+    blocks = place.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    bits = np.zeros((max(1, (1 << size) >> 15), 1 << 12), np.uint8)
+    for row in blocks.collect():
+        bits[row["block"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
 
 
 def _known(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -122,17 +134,17 @@ def _known(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 _PLACES = (
-    "doc_id bigint, segment bigint, starts bigint, words array<bigint>, grams array<bigint>, at array<int>"
+    "layer int, doc_id bigint, segment bigint, starts bigint, words array<bigint>, grams array<bigint>, at array<int>"
 )
 
 
-def _standing(bitmap, w: words.Words, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _standing(bits: np.ndarray, w: words.Words, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the grams of whole texts that the bitmap knows."""
     ends = np.cumsum(w.counts)
     found, values = [], []
     for step in steps:
         grams = _found(w.hashes, step)
-        at = _known(bitmap.value, grams)
+        at = _known(bits, grams)
         at = at[at + step < ends[np.searchsorted(ends, at, side="right")]]  # within one text
         found.append(at)
         values.append(grams[at])
@@ -145,42 +157,60 @@ def _tally(bitmap, steps: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words.scan(batch.column("text")):
-                grams, n = np.unique(_standing(bitmap, w, steps)[1], return_counts=True)
+                grams, n = np.unique(_standing(bitmap.value, w, steps)[1], return_counts=True)
                 yield pa.record_batch({"gram": pa.array(grams.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     return run
 
 
-def _places(bitmap, steps: list[int], reach: int):
-    """Segments of documents around the words at which a seed may stand."""
+def _places(layers, steps: list[int]):
+    """Segments of documents around the words at which seeds may stand, for every layer of items.
+
+    ``layers``: each one's bitmap and the number of places without which no item of it has what it needs.
+    """
+
+    def segments(batch: pa.RecordBatch, w: words.Words, number: int, segment: int) -> pa.RecordBatch | None:
+        reach, ends = 1 << number, np.cumsum(w.counts)
+        bits, least = layers.value[number]
+        at, gram = _standing(bits, w, steps)
+        if not len(at):
+            return None
+        order = np.argsort(at, kind="stable")
+        at, gram = at[order], gram[order]
+        text = np.searchsorted(ends, at, side="right")
+        new = np.concatenate(([True], (np.diff(at) > reach) | (np.diff(text) > 0)))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        enough = last - first + 1 >= least
+        kept = np.repeat(enough, last - first + 1)
+        first, last, at, gram = first[enough], last[enough], at[kept], gram[kept]
+        if not len(first):
+            return None
+        text = text[kept]
+        last = np.cumsum(last - first + 1) - 1
+        first = np.concatenate(([0], last[:-1] + 1))
+        base = (ends - w.counts)[text[first]]
+        begins = np.maximum(at[first] - reach, base)
+        stops = np.minimum(at[last] + 1 + reach, ends[text[first]])
+        return pa.record_batch({
+            "layer": pa.array(np.full(len(first), number, np.int32)),
+            "doc_id": batch.column("doc_id").take(pa.array(w.first + text[first])),
+            "segment": pa.array(segment + np.arange(len(first))),
+            "starts": pa.array(begins - base),
+            "words": list_column(w.hashes[ragged(begins, stops - begins)].view(np.int64), stops - begins, pa.int64()),
+            "grams": list_column(gram.view(np.int64), last - first + 1, pa.int64()),
+            "at": list_column((at - np.repeat(begins, last - first + 1)).astype(np.int32), last - first + 1, pa.int32()),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = _numbered()
         for batch in batches:
-            ids = batch.column("doc_id")
             for w in words.scan(batch.column("text")):
-                ends = np.cumsum(w.counts)
-                at, gram = _standing(bitmap, w, steps)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, gram = at[order], gram[order]
-                text = np.searchsorted(ends, at, side="right")
-                new = np.concatenate(([True], (np.diff(at) > reach) | (np.diff(text) > 0)))
-                first = np.flatnonzero(new)
-                last = np.concatenate((first[1:], [len(at)])) - 1
-                base = (ends - w.counts)[text[first]]
-                begins = np.maximum(at[first] - reach, base)
-                stops = np.minimum(at[last] + 1 + reach, ends[text[first]])
-                yield pa.record_batch({
-                    "doc_id": ids.take(pa.array(w.first + text[first])),
-                    "segment": pa.array(segment + np.arange(len(first))),
-                    "starts": pa.array(begins - base),
-                    "words": list_column(w.hashes[ragged(begins, stops - begins)].view(np.int64), stops - begins, pa.int64()),
-                    "grams": list_column(gram.view(np.int64), last - first + 1, pa.int64()),
-                    "at": list_column((at - np.repeat(begins, last - first + 1)).astype(np.int32), last - first + 1, pa.int32()),
-                })
-                segment += len(first)
+                for number in layers.value:
+                    made = segments(batch, w, number, segment)
+                    if made is not None:
+                        yield made
+                        segment += made.num_rows
 
     return run
 
@@ -228,7 +258,7 @@ def _align(threshold: float):
 
 
 def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``gram, item, step``: the grams of the ``cover`` places of each item that are rarest, ties to the first.
+    """``gram, item, at, step, need, layer``: the grams of the ``cover`` places of each item that are rarest, ties to the first.
 
     ``counts`` has how often each gram stands in the corpus.
     """
@@ -236,7 +266,7 @@ def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
     places = counted.groupBy("item", "at", "cover").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "at"))
     taken = places.withColumn("rank", rank).filter("rank <= cover").select("item", "at")
-    return grams.join(taken, ["item", "at"]).select("gram", "item", "step").distinct()
+    return grams.join(taken, ["item", "at"]).select("gram", "item", "at", "step", "need", "layer")
 
 
 def _steps(grams: DataFrame) -> list[int]:
@@ -248,20 +278,25 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     (``item_id``, ``text``), the best score, and the word after the best alignment."""
     spark = docs.sparkSession
     own = item_words(items)
-    grams = own.mapInArrow(_grams(threshold), "item bigint, at int, step int, cover int, gram bigint")
-    grams = written(grams, "grams")
-    longest = own.agg(F.max(F.size("words"))).first()[0] or 1
-    # Of an alignment, every word of the document is matched or an edit.
-    reach = (1 + MATCH) * longest - least_score(longest, threshold)
+    kinds = "item bigint, at int, step int, cover int, need int, layer int, gram bigint"
+    grams = written(own.mapInArrow(_grams(threshold), kinds), "grams")
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     bitmap = spark.sparkContext.broadcast(gram_bitmap(grams))
     tally = narrow.select("text").mapInArrow(_tally(bitmap, _steps(grams)), "gram bigint, n bigint")
     rare = written(seeds(grams, tally.groupBy("gram").agg(F.sum("n").alias("n"))), "seeds")
-    bitmap = spark.sparkContext.broadcast(gram_bitmap(rare))
-    segments = written(narrow.mapInArrow(_places(bitmap, _steps(rare), reach), _PLACES), "segments")
-
-    found = segments.select("segment", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = found.join(rare, "gram").select("segment", "item").distinct()
+    # A layer has items of more than half its reach: as many as powers of two, whatever the items.
+    alike = rare.groupBy("layer", "item", "gram").agg(F.count_distinct("at").alias("n"), F.first("need").alias("need"))
+    found = alike.groupBy("layer").agg(F.min("need").alias("need"), F.max("n").alias("n")).collect()
+    least = {r["layer"]: -(-r["need"] // r["n"]) for r in found}  # a gram stands at so many places of an item at most
+    bitmaps = {n: (gram_bitmap(rare.filter(F.col("layer") == n), least=LEAST_BITS - 4), least[n]) for n in sorted(least)}
+    layers = spark.sparkContext.broadcast(bitmaps)
+    segments = written(narrow.mapInArrow(_places(layers, _steps(rare)), _PLACES), "segments")
+
+    found = segments.select("layer", "segment", F.explode(F.array_distinct("grams")).alias("gram"))
+    shared = found.join(rare, ["layer", "gram"]).groupBy("segment", "item").agg(
+        F.count_distinct("at").alias("places"), F.first("need").alias("need")
+    )
+    pairs = shared.filter("places >= need").select("segment", "item")
     joined = pairs.join(segments.select("doc_id", "segment", "starts", "words"), "segment")
     joined = joined.join(own.select("item", "item_id", F.col("words").alias("item_words")), "item")
     scored = joined.select("doc_id", "item_id", "starts", "words", "item_words").mapInArrow(

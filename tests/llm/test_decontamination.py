@@ -132,3 +132,66 @@ def test_odd_inputs(spark):
     assert {d for d, i in found if i == 1} == {3, 13}
     assert dec.matches(no_docs(spark), items).count() == 0
     assert dec.matches(odd_docs(spark), items.limit(0)).count() == 0
+
+
+def _written(monkeypatch):
+    tables = {}
+    write = dec.written
+
+    def record(df, label):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(dec, "written", record)
+    return tables
+
+
+def test_a_very_long_item_widens_no_other_segment(spark, monkeypatch):
+    prepared(spark)
+    docs, items, dirty = planted(spark)
+    rng = random.Random(4)
+    book = [f"b{rng.randrange(5000)}" for _ in range(20_000)]
+    long = items.unionByName(spark.createDataFrame([(99, " ".join(book))], "item_id bigint, text string"))
+    plain = _written(monkeypatch)
+    want = {(r["doc_id"], r["item_id"]) for r in dec.matches(docs, items).collect()}
+    monkeypatch.undo()
+    with_book = _written(monkeypatch)
+    assert {(r["doc_id"], r["item_id"]) for r in dec.matches(docs, long).collect()} == want
+    own = dec.layer(len(book), dec.THRESHOLD)
+    lengths = [sorted(r[0] for r in t["segments"].filter(f"layer <> {own}").selectExpr("size(words)").collect()) for t in (plain, with_book)]
+    assert lengths[0] == lengths[1] and with_book["segments"].filter(f"layer = {own}").count() == 0
+    monkeypatch.undo()
+    copied = docs.limit(1).selectExpr("7777 AS doc_id", f"'{' '.join(book[:14_000])}' AS text")
+    assert [(r["doc_id"], r["item_id"]) for r in dec.matches(copied, long).collect()] == [(7777, 99)]
+
+
+def test_items_of_common_words_make_few_candidates(spark, monkeypatch):
+    """Word pairs that every document has join everywhere, but only documents that share many places are aligned."""
+    prepared(spark)
+    rng = random.Random(6)
+    common = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on"]
+    item = [rng.choice(common) for _ in range(40)]
+    texts = [" ".join(x for _ in range(60) for x in (rng.choice(common), f"w{rng.randrange(9999)}")) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(item)])), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    aligned = []
+    align = dec._align
+    monkeypatch.setattr(dec, "_align", lambda threshold: aligned.append(threshold) or align(threshold))
+    tables = _written(monkeypatch)
+    found = dec.matches(docs, items)
+    assert [(r["doc_id"], r["score"]) for r in found.collect()] == [(200, 1.0)]
+    need = tables["grams"].first()["need"]
+    seeds = {r["gram"]: set() for r in tables["seeds"].collect()}
+    for r in tables["seeds"].collect():
+        seeds[r["gram"]].add(r["at"])
+    shared = [len(set().union(*(seeds.get(g, ()) for g in r["grams"]))) for r in tables["segments"].collect()]
+    assert need == 10 and sum(n >= need for n in shared) < len(shared) / 2
+
+
+def test_bitmap_has_the_leading_bits_of_every_gram(spark):
+    rng = np.random.default_rng(2)
+    grams = rng.integers(-(2**63), 2**63, 3000)
+    bits = dec.gram_bitmap(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"), least=18)
+    want = np.zeros(8 * len(bits), bool)
+    want[(grams.view(np.uint64) >> np.uint64(64 - 18)).astype(np.int64)] = True
+    assert len(bits) == 1 << 15 and (np.unpackbits(bits, bitorder="little").astype(bool) == want).all()
