@@ -5,11 +5,15 @@ addresses, IP addresses, card numbers and phone numbers. Each is found in time t
 long its runs of digits or letters are.
 
 The method adds what the patterns miss (numbers without a plus sign, other separators, addresses with
-letters outside ASCII) by a bidirectional LSTM with CRF transitions over characters. All four kinds need a digit
-or an ``@``, so the tagger reads every stretch of text ``MARGIN`` characters around one, and on to the ends of the words
-between white space that this would cut, in windows of ``WINDOW`` characters that overlap by half. A character's scores are the mean over its windows, weighted by how far
-inside each it stands, and one decoding of the whole stretch reconciles the windows. A tagged span counts
-when it passes an exact check of its kind and meets no base span.
+letters outside ASCII) by a bidirectional LSTM with CRF transitions over characters. A span that is added must pass an
+exact check of its kind, so it holds an ``@`` between word characters with a host of several parts behind it, four numbers
+with dots, or a run of digits and marks with nine digits. The tagger reads every such sign with ``MARGIN`` characters
+around it, and on to the ends of the words between white space that this would cut, in windows of ``WINDOW`` characters
+that overlap by half; what no sign is near cannot hold a span. A number behind a word that
+names another kind (``order``, ``invoice``, …) is none of them. A character's scores are the mean over its windows, weighted by how far
+inside each it stands, and one decoding of the whole stretch reconciles the windows (one of more than ``SECTION`` characters
+is decoded in sections that overlap by more than a span is long). A tagged span counts when it passes its check and
+meets no base span, or is of one's kind and longer, with all of it inside: base spans stay beside it.
 
 The tagger is trained on ``examples`` windows with labelled spans, by default drawn by rule and seed.
 
@@ -32,6 +36,7 @@ from millrace.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN = 64, 24
+SECTION, OVERLAP = 1024, 128
 EXAMPLES, HIDDEN, EPOCHS, SEED = 2400, 20, 10, 17
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -39,7 +44,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]")
+_DIGIT_OR_AT = re.compile(r"[0-9@]")
+# What the check of every kind asks for: an address, four numbers with dots, or nine digits among marks.
+_ADDRESS = re.compile(r"[\w.%+-]@[\w-]+\.[\w-]|[0-9]++(?:\.[0-9]++){3}")
+_RUN = re.compile(r"[0-9][0-9 ()./-]{7,}[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+# Words that name a number of another kind.
+_OTHER_NUMBER = re.compile(r"(?i)(?<![a-z])(?:order|invoice|item|ref|id|case|gps|isbn|version|no|nr)[.:#]{0,2}\s{0,2}$")
 _SPACE = re.compile(r"\s")
 
 Span = tuple[int, int, str]  # start, end, kind
@@ -138,7 +149,7 @@ def labelled_windows(count: int, seed: int = SEED) -> Iterator[tuple[str, list[S
     def card() -> str:
         d = n(11, 18)
         d += next(c for c in string.digits if luhn(d + c))
-        mark = pick("", "", " ", "-", ".")
+        mark = pick("", "", " ", "-", ".", "/")
         return mark.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def email() -> str:
@@ -150,24 +161,32 @@ def labelled_windows(count: int, seed: int = SEED) -> Iterator[tuple[str, list[S
 
     def phone() -> str:
         a, b, c = n(3, 3), n(3, 3), n(4, 4)
-        return pick(f"+{n(1, 2)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{n(2, 2)} {a} {b} {c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"+{n(10, 13)}", f"0{n(3, 3)} {n(6, 7)}")
+        if rng.random() < 0.45:  # with a leading zero
+            return pick(f"0{n(3, 3)} {n(6, 7)}", f"0{n(2, 2)} {n(7, 8)}", "0" + " ".join([n(1, 1), *(n(2, 2) for _ in range(4))]), f"0{n(2, 2)} {n(4, 4)} {n(4, 4)}")
+        return pick(f"+{n(1, 2)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{n(2, 2)} {a} {b} {c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"+{n(10, 13)}")
 
     def other() -> str:
         return pick(
             n(1, 6), n(7, 11), f"{n(1, 3)}.{n(1, 2)}", f"v{n(1, 1)}.{n(1, 2)}.{n(1, 2)}", f"{n(4, 4)}-{n(2, 2)}-{n(2, 2)}", f"{n(2, 2)}:{n(2, 2)}",
             f"${n(1, 4)}.{n(2, 2)}", f'token = "{some("0123456789abcdef", 20, 40)}"', some(letters + string.digits, 6, 20), f"@{some(letters, 3, 8)}", f"{n(1, 2)} @ {n(1, 2)}",
             f"{n(1, 3)},{n(3, 3)},{n(3, 3)}", f"version {n(1, 1)}.{n(1, 1)}", f"#{n(2, 5)}", f"{n(2, 2)}/{n(2, 2)}/{n(4, 4)}", f"{n(20, 26)}", f"{n(1, 2)} {n(1, 2)} {n(1, 2)}",
+            f"{n(1, 2)}.{n(4, 5)} {n(1, 3)}.{n(4, 5)}", f"{n(1, 2)}.{n(4, 5)}, {n(1, 3)}.{n(4, 5)}", f"{n(4, 4)}-{n(2, 2)}-{n(2, 2)} {n(2, 2)}:{n(2, 2)}",
         )
 
     for _ in range(count):
+        if rng.random() < 0.08:  # a text that ends with its one value
+            kind, value = pick(("email", email), ("ip", ip), ("card", card), ("phone", phone), ("phone", phone))
+            before, value = pick("", "", "(", word() + " "), value()
+            yield (before + value)[:WINDOW], [(len(before), min(WINDOW, len(before) + len(value)), kind)]
+            continue
         text, spans = "", []
         while len(text) < WINDOW:
             draw = rng.random()
             if draw < 0.3:
-                kind, value = pick(("email", email), ("ip", ip), ("card", card), ("phone", phone))
+                kind, value = pick(("email", email), ("ip", ip), ("card", card), ("phone", phone), ("phone", phone))
                 value = value()
                 spans.append((len(text), len(text) + len(value), kind))
-                text += value + pick("", "", ",", ".", "###", "%%%")
+                text += value + pick("", "", ",", ".", "\n", ")", "###", "%%%")
             else:
                 text += other() if draw < 0.5 else word()
             text += " " if text[-1] != "\n" else ""
@@ -187,17 +206,39 @@ def states(spans: list[Span]) -> np.ndarray:
 
 def train(examples: int = EXAMPLES, seed: int = SEED) -> Tagger:
     drawn = list(labelled_windows(examples, seed))
-    x = np.array([characters(t) for t, _ in drawn])
+    x = np.array([np.pad(characters(t), (0, WINDOW - len(t)), constant_values=_PAD) for t, _ in drawn])
     y = np.array([states(s) for _, s in drawn])
     tagger = Tagger.fresh(_N_CHARACTERS, len(KINDS), HIDDEN, seed)
     return tagger.fit(x, y, EPOCHS, batch=48, rate=0.02, seed=seed).compact()
 
 
+def signs(text: str) -> list[tuple[int, int]]:
+    """Where a span can be: no span that passes its check lies elsewhere."""
+    found = [m.span() for m in _ADDRESS.finditer(text)] if "@" in text or "." in text else []
+    for m in _RUN.finditer(text):
+        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m[0])]
+        # A group beside a letter is part of a longer word; no span has as many as twenty digits in a row.
+        if text[max(0, m.start() - 1) : m.start()].isalnum():
+            groups[0] = (groups[0][0], groups[0][0] + 20)
+        if text[m.end() : m.end() + 1].isalnum():
+            groups[-1] = (groups[-1][1] - 20, groups[-1][1])
+        digits, first = 0, None
+        for a, b in [*groups, (0, 20)]:
+            if b - a < 20:
+                first = a if first is None else first
+                digits, last = digits + b - a, b
+                continue
+            if digits >= 9:
+                found.append((first, last))
+            digits, first = 0, None
+    return sorted(found)
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Where the tagger reads: ``MARGIN`` characters around every digit and ``@``, and the whole of words at the edges."""
+    """Where the tagger reads: ``MARGIN`` characters around every sign of a span, and the whole of words at the edges."""
     start = end = -1
-    for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for first, last in signs(text):
+        a, b = max(0, first - MARGIN), min(len(text), last + MARGIN)
         if b <= end:
             continue
         while a > max(0, end) and not text[a - 1].isspace() and not text[a].isspace():
@@ -248,19 +289,30 @@ def tag(pieces: list[str], tagger: Tagger) -> list[list[Span]]:
         np.add.at(sums, at[inside], scores[inside] * spread[:, None])
         np.add.at(weights, at[inside], spread)
     sums /= np.maximum(weights, 1e-9)[:, None]
-    out: list[list[Span]] = [[] for _ in pieces]
-    order, i = np.argsort(lengths, kind="stable"), 0
+    states = np.zeros(int(base[-1]), np.int8)
+    starts, ends, keep, keep_end = _sections(base)
+    size = ends - starts
+    order, i = np.argsort(size, kind="stable"), 0
     while i < len(order):
         j = i + 1
-        while j < len(order) and (j - i + 1) * lengths[order[j]] <= _CELLS:
+        while j < len(order) and (j - i + 1) * size[order[j]] <= _CELLS:
             j += 1
         some = order[i:j]
-        steps = int(lengths[some[-1]])
-        at = base[some][:, None] + np.minimum(np.arange(steps), lengths[some][:, None] - 1)
-        for k, row in zip(some, tagger.decode(sums[at], lengths[some]), strict=True):
-            out[k] = _spans(row[: lengths[k]])
+        at = starts[some][:, None] + np.minimum(np.arange(int(size[some[-1]])), size[some][:, None] - 1)
+        for k, row in zip(some.tolist(), tagger.decode(sums[at], size[some]), strict=True):
+            states[keep[k] : keep_end[k]] = row[keep[k] - starts[k] : keep_end[k] - starts[k]]
         i = j
-    return out
+    return [_spans(states[a:b]) for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def _sections(base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where decodings begin and end, and which part of each counts: whole pieces, or sections of long ones."""
+    found = []
+    for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True):
+        for start in range(a, b, SECTION):
+            end = min(b, start + SECTION)
+            found.append((max(a, start - OVERLAP), min(b, end + OVERLAP), start, end))
+    return tuple(np.array(found, np.int64).reshape(-1, 4).T)
 
 
 def _spans(row: np.ndarray) -> list[Span]:
@@ -283,10 +335,12 @@ def checked(text: str, start: int, end: int, kind: str) -> Span | None:
     value = text[start:end]
     if text[max(0, start - 1) : start].isalnum() or text[end : end + 1].isalnum():
         return None
+    if kind in ("card", "phone") and _OTHER_NUMBER.search(text[max(0, start - 16) : start]):
+        return None
     digits = _digits(value)
     if kind == "email":
         local, at, host = value.partition("@")
-        fits = bool(local and at and re.fullmatch(r"[\w-]+(?:\.[\w-]+)+", host))
+        fits = bool(at and re.fullmatch(r"[\w.%+-]+", local) and re.fullmatch(r"[\w-]+(?:\.[\w-]+)+", host))
     elif kind == "ip":
         parts = value.split(".")
         fits = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -294,20 +348,27 @@ def checked(text: str, start: int, end: int, kind: str) -> Span | None:
         fits = 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9]+(?:[ ./-][0-9]+)*", value) is not None
     else:
         groups = re.findall("[0-9]+", value)
-        fits = 9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][ ().0-9-]*", value) is not None and (value[0] in "+(" or 3 <= len(groups) <= 5)
+        fits = 9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][ ().0-9-]*", value) is not None and (value[0] in "+(" or 3 <= len(groups) <= 5 or len(groups) == 2 and value[0] == "0")
     return (start, end, kind) if fits else None
 
 
+def _beside(span: Span, base: Span) -> bool:
+    """Whether a span may be added to a base span: apart from it, or longer, of its kind and around it."""
+    apart = span[1] <= base[0] or base[1] <= span[0]
+    around = span[2] == base[2] and span[0] <= base[0] and base[1] <= span[1] and span[:2] != base[:2]
+    return apart or around
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and base and added ones, of every text."""
-    base = [base_spans(t) if _SIGN.search(t) else [] for t in texts]
+    base = [base_spans(t) if _DIGIT_OR_AT.search(t) else [] for t in texts]
     places = [(k, a, b) for k, t in enumerate(texts) for a, b in stretches(t)]
     tagged = tag([texts[k][a:b] for k, a, b in places], tagger)
     added: list[list[Span]] = [[] for _ in texts]
     for (k, a, _), spans in zip(places, tagged, strict=True):
         for start, end, kind in spans:
             span = checked(texts[k], a + start, a + end, kind)
-            if span and not any(s < span[1] and span[0] < e for s, e, _ in base[k]):
+            if span and all(_beside(span, other) for other in base[k]):
                 added[k].append(span)
     order = lambda s: (s[0], KINDS.index(s[2]))
     return [(b, sorted(b + more, key=order)) for b, more in zip(base, added, strict=True)]

@@ -83,13 +83,14 @@ class Tagger:
         hidden = of_state.shape[0]
         d_char = np.zeros((self.weights[0].shape[0], 4 * hidden))
         d_state, d_bias = np.zeros_like(of_state), np.zeros(4 * hidden)
+        each = np.eye(len(d_char))
         d_h = d_c = 0
         for t in range(len(kept) - 1, -1, -1):
             i, f, o, g, before, bent, last = kept[t]
             d_h = d_h + d_out[t]
             d_c = d_c + d_h * o * (1 - bent**2)
             d_z = np.concatenate((d_c * g * i * (1 - i), d_c * before * f * (1 - f), d_h * bent * o * (1 - o), d_c * i * (1 - g**2)), axis=1)
-            np.add.at(d_char, x[:, t], d_z)
+            d_char += each[x[:, t]].T @ d_z
             d_state += last.T @ d_z
             d_bias += d_z.sum(0)
             d_h, d_c = d_z @ of_state.T, d_c * f

@@ -171,7 +171,7 @@ def test_items_of_common_words_make_few_candidates(spark, monkeypatch):
     rng = random.Random(6)
     common = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on"]
     item = [rng.choice(common) for _ in range(40)]
-    texts = [" ".join(x for _ in range(60) for x in (rng.choice(common), f"w{rng.randrange(9999)}")) for _ in range(200)]
+    texts = [" ".join(x for _ in range(16) for x in (rng.choice(common), f"w{rng.randrange(9999)}")) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate([*texts, " ".join(item)])), "doc_id bigint, text string")
     items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
     aligned = []
