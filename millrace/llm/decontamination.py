@@ -37,9 +37,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words
 from millrace.llm.frames import list_column, ragged, written
+from millrace.operators.skew import broadcast_if_small
 
 THRESHOLD = 0.5
-# The bitmap has two to the power of so many bits: enough for 32 a gram, 2 to 128 MB.
+# The bitmap has two to the power of so many bits: enough for 256 a gram, 2 to 128 MB.
 LEAST_BITS, MOST_BITS = 24, 30
 MATCH, OTHER = 2, -1
 
@@ -116,7 +117,7 @@ def gram_bitmap(grams: DataFrame, least: int = LEAST_BITS, most: int = MOST_BITS
 
     The tasks fill blocks of 4 KB; only finished blocks come here.
     """
-    size = min(most, max(least, (32 * grams.count()).bit_length()))
+    size = min(most, max(least, (256 * grams.count()).bit_length()))
     place = grams.select((F.shiftrightunsigned("gram", 64 - size) + 1).alias("place"))
     blocks = place.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
@@ -288,7 +289,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     alike = rare.groupBy("layer", "item", "gram").agg(F.count_distinct("at").alias("n"), F.first("need").alias("need"))
     found = alike.groupBy("layer").agg(F.min("need").alias("need"), F.max("n").alias("n")).collect()
     least = {r["layer"]: -(-r["need"] // r["n"]) for r in found}  # a gram stands at so many places of an item at most
-    bitmaps = {n: (gram_bitmap(rare.filter(F.col("layer") == n), least=LEAST_BITS - 4), least[n]) for n in sorted(least)}
+    bitmaps = {n: (gram_bitmap(rare.filter(F.col("layer") == n)), least[n]) for n in sorted(least)}
     layers = spark.sparkContext.broadcast(bitmaps)
     segments = written(narrow.mapInArrow(_places(layers, _steps(rare)), _PLACES), "segments")
 
@@ -296,8 +297,8 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     shared = found.join(rare, ["layer", "gram"]).groupBy("segment", "item").agg(
         F.count_distinct("at").alias("places"), F.first("need").alias("need")
     )
-    pairs = shared.filter("places >= need").select("segment", "item")
-    joined = pairs.join(segments.select("doc_id", "segment", "starts", "words"), "segment")
+    pairs = written(shared.filter("places >= need").select("segment", "item"), "pairs")
+    joined = segments.select("doc_id", "segment", "starts", "words").join(broadcast_if_small(pairs), "segment")
     joined = joined.join(own.select("item", "item_id", F.col("words").alias("item_words")), "item")
     scored = joined.select("doc_id", "item_id", "starts", "words", "item_words").mapInArrow(
         _align(threshold), "doc_id bigint, item_id bigint, score double, ends bigint"
