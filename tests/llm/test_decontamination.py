@@ -191,7 +191,7 @@ def test_items_of_common_words_make_few_candidates(spark, monkeypatch):
 def test_bitmap_has_the_leading_bits_of_every_gram(spark):
     rng = np.random.default_rng(2)
     grams = rng.integers(-(2**63), 2**63, 3000)
-    bits = dec.gram_bitmap(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"), least=18)
+    bits = dec.gram_bitmap(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"), least=18, most=18)
     want = np.zeros(8 * len(bits), bool)
     want[(grams.view(np.uint64) >> np.uint64(64 - 18)).astype(np.int64)] = True
     assert len(bits) == 1 << 15 and (np.unpackbits(bits, bitorder="little").astype(bool) == want).all()
