@@ -72,6 +72,20 @@ def test_odd_vectors(spark):
     assert neighbours.search(neighbours.build_index(docs.limit(0)), F.expr("vec_id % 50 = 0")).count() == 0
 
 
+def test_products_from_bit_planes():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 64, 65, 200):
+        unit, codes = rng.normal(size=(9, n)), rng.integers(0, 2, (13, n)).astype(np.uint8)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        rounded = neighbours.planes(unit)
+        values = rounded.low[:, None] + rounded.step[:, None] * np.rint((unit - rounded.low[:, None]) / rounded.step[:, None])
+        want = (rounded.scale[:, None] * values) @ (2.0 * codes.T - 1)
+        words = neighbours._words(np.packbits(codes, axis=1))
+        got = rounded.products(slice(None), words, codes.sum(axis=1, dtype=np.int64))
+        assert np.abs(got - want).max() < 1e-4
+        assert np.allclose(np.linalg.norm(unit - rounded.scale[:, None] * values, axis=1), rounded.missed)
+
+
 def test_many_blocks_of_queries(spark, monkeypatch):
     prepared(spark)
     docs = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
