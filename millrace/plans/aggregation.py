@@ -1,9 +1,12 @@
 """Aggregation."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates
 from millrace.plans.registry import query
+from millrace.workdir import materialise
 
 
 @query(
@@ -70,6 +73,21 @@ def agg_distinct(t):
     )
 
 
+@query(
+    "agg_distinct_states",
+    """SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS parts,
+              count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders
+       FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
+)
+def agg_distinct_states(t):
+    """Every level of the rollup is counted from one written table of states."""
+    keys, names = ["l_returnflag", "l_linestatus"], ["parts", "suppliers", "orders"]
+    states = aggregates.distinct_states(t.lineitem, keys, ["l_partkey", "l_suppkey", "l_orderkey"])
+    states = materialise(states, "distinct-states")
+    levels = [aggregates.distinct_counts(states, keys[:n], names) for n in range(len(keys), -1, -1)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
+
+
 @query(
     "agg_rollup",
     """SELECT l_returnflag, l_linestatus, CAST(grouping(l_linestatus) AS TINYINT) AS status_rolled,

@@ -135,6 +135,21 @@ def create_bucketed(t):
     )
 
 
+@query(
+    "create_skewed",
+    """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+       WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+       UNION ALL
+       SELECT o_orderkey, o_custkey, -o_totalprice, o_orderpriority FROM orders
+       WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderpriority IS NULL""",
+)
+def create_skewed(t):
+    """Two values of a skewed table, one of them listed, and all that are not listed."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    table = sinks.create_skewed(orders, fresh_path(t.spark, "skewed"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
+    return table.among(["1-URGENT", "5-LOW"]).unionAll(table.rest().withColumn("o_totalprice", -F.col("o_totalprice")))
+
+
 @query(
     "make_snapshot",
     """SELECT l_returnflag, l_linestatus, count(*) AS rows,

@@ -57,6 +57,47 @@ def create_table(
     return df.sparkSession.table(name)
 
 
+@dataclass(frozen=True)
+class SkewedTable:
+    """Rows at rest by ``SKEWED BY (column) ON (values) STORED AS DIRECTORIES``.
+
+    Each listed value has a folder of its own, in as many files as its rows need, and all others share one, so a
+    reader of some values opens their folders alone. ``folder`` holds the place of a value in the list, -1 for the rest.
+    """
+
+    rows: DataFrame  # the table's columns and its ``folder``
+    column: str
+    values: tuple
+    folder: str
+
+    def all(self) -> DataFrame:
+        return self.rows.drop(self.folder)
+
+    def among(self, values: Sequence[Any]) -> DataFrame:
+        """Rows whose value is one of ``values``; None stands for null."""
+        folders = {self.values.index(v) if v in self.values else -1 for v in values}
+        tests = [F.col(self.column).eqNullSafe(F.lit(v)) for v in values]
+        chosen = self.rows.filter(F.col(self.folder).isin(sorted(folders)))
+        return chosen.filter(reduce(Column.__or__, tests, F.lit(False))).drop(self.folder)
+
+    def rest(self) -> DataFrame:
+        """Rows of the values that are not listed: what a join need not split."""
+        return self.rows.filter(F.col(self.folder) == -1).drop(self.folder)
+
+
+def create_skewed(df: DataFrame, path: str, column: str, values: Sequence[Any]) -> SkewedTable:
+    """Write ``df`` with the listed ``values`` of ``column`` apart, None being null, and read it back."""
+    folder = f"{column}_folder"
+    while folder.lower() in {c.lower() for c in df.columns}:
+        folder += "_"
+    values = tuple(dict.fromkeys(values))
+    places = [F.when(F.col(column).eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(values)]
+    placed = df.withColumn(folder, F.coalesce(*places, F.lit(-1)))
+    # A folder's rows are dealt together, and split where they are many.
+    placed.hint("rebalance", folder).write.mode("error").partitionBy(folder).parquet(path)
+    return SkewedTable(df.sparkSession.read.schema(placed.schema).parquet(path), column, values, folder)
+
+
 def matches(spec: PartitionSpec) -> Column:
     """Rows of a partition spec: every column with a value equals it."""
     tests = [F.col(c).eqNullSafe(F.lit(v)) for c, v in spec.items() if v is not None]

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -7,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace import workdir
 from millrace.sources import delimited, sinks, snapshot
+from tests.plans import scans
 
 
 @pytest.fixture
@@ -245,3 +247,20 @@ def test_directory_formats(spark, sales, rows):
         sinks.write_directory(sales.filter("id < 3"), path, provider)
         back = spark.read.schema(sales.schema).format(provider).load(path)
         assert rows(back, "id") == [(1,), (2,)]
+
+
+def test_skewed_table_reads_back_and_prunes(spark, sales, rows):
+    named = sales.withColumn("K_folder", sales["id"])  # the name the folder would have
+    path = workdir.fresh_path(spark, "skewed")
+    table = sinks.create_skewed(named, path, "k", ["a", None, "a", "absent"])
+    assert table.all().schema == named.schema
+    assert rows(table.all()) == rows(named)
+    assert rows(table.among(["a"]), "id") == [(1,), (2,)]
+    assert rows(table.among([None, "b"]), "id") == [(3,), (4,)]
+    assert rows(table.among(["absent"]), "id") == rows(table.among([]), "id") == []
+    assert rows(table.rest(), "id") == [(3,)]
+    (scan,) = scans(table.among(["a"]))
+    assert re.search(r"PartitionFilters: \[[^\]]*k_folder_#\d+ = 0|PartitionFilters: \[[^\]]*k_folder_#\d+ IN", scan)
+    assert {f.split("k_folder_=")[1].split("/")[0] for f in table.all().inputFiles()} == {"0", "1", "-1"}
+    empty = sinks.create_skewed(named.limit(0), workdir.fresh_path(spark, "skewed"), "k", ["a"])
+    assert empty.all().count() == empty.among(["a"]).count() == 0
