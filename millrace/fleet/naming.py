@@ -11,6 +11,9 @@ ENGINE_PREFIX = "spark-sql-"
 DEFAULT_USER = "default"
 JDBC_PORT = 10019
 JDBC_PORT_KEY = "spark.thrift.jdbc.bind.port"
+WEB_RULE = "Host(`%s`) && PathPrefix(`%s`)"
+TCP_RULE = "HostSNI(`*`)"
+WEB_KIND, TCP_KIND = "IngressRoute", "IngressRouteTCP"
 
 
 def engine_name(user: Column) -> Column:

@@ -125,8 +125,9 @@ def cast_types(t):
 @query(
     "literals",
     """SELECT c_custkey, 1::TINYINT AS tiny, 2::SMALLINT AS small, 3 AS whole, 4::BIGINT AS big,
-              1.5::DOUBLE AS dbl, 2.5::FLOAT AS single, '1.25' AS exact, true AS yes, true AS nothing_is_null,
-              'ab' AS joined, '2024-02-29' AS day, '2024-02-29 12:30:00' AS moment, 'CAFE' AS bytes
+              1.5::DOUBLE AS dbl, 2.5::FLOAT AS single, 1.25::DECIMAL(3, 2)::VARCHAR AS exact, true AS yes,
+              NULL IS NULL AS nothing_is_null, 'a' || 'b' AS joined, (DATE '2024-02-29')::VARCHAR AS day,
+              (TIMESTAMP '2024-02-29 12:30:00')::VARCHAR AS moment, hex(unhex('cafe')) AS bytes
        FROM customer""",
 )
 def literals(t):
