@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import skew
@@ -13,6 +13,8 @@ from millrace.workdir import materialise
 
 _VALUE = "__value"
 BITS = 2  # a block is cut in 2 ** BITS blocks of the level below
+STRETCH = 6  # points of 2 ** STRETCH integers meet the steps of aggregates over them
+Merged = Mapping[str, tuple[Column, Callable[[str], Column]]]
 
 
 def cross(left: DataFrame, right: DataFrame, rows: int = 1000) -> DataFrame:
@@ -125,18 +127,59 @@ def range_nodes(ranges: DataFrame, low: str, high: str, bits: int = BITS) -> Dat
     return rows.withColumn("__node", F.explode(nodes)).drop("__start", "__end")
 
 
-def in_range(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, bits: int = BITS) -> DataFrame:
+def in_range(
+    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, bits: int = BITS, merged: Merged | None = None
+) -> DataFrame:
     """``points JOIN ranges ON at >= low AND at < high`` on integer columns, within 62 bits.
 
     A join on inequalities alone compares every pair of rows. Here a range becomes the aligned blocks it is made of,
     of which there are about ``2 ** bits`` times the logarithm of its length, whether that is 1 or 10^9, and a point
     the blocks of every level in use that hold it, of which exactly one is in each range around it: an equi-join
     without false pairs. More ``bits`` give a range more rows and a point fewer. Few enough blocks are broadcast.
+
+    Long ranges around many points make as many pairs as that. With ``merged`` there are none: a point that any range
+    holds comes once, with its columns and those ``merged`` names, aggregates over all ranges around it. It maps each
+    to a column of ``ranges`` and a function that may merge what it has merged: ``F.sum``, ``F.min``, ``F.max``.
     """
+    if merged is not None:
+        return _merged_in_range(points, at, ranges, low, high, bits, merged)
     nodes = materialise(range_nodes(ranges.withColumns({c: F.col(c).cast("bigint") for c in (low, high)}), low, high, bits), "range-nodes")
+    kinds = {f.name: f.dataType for f in ranges.schema}
+    return _at_nodes(points, at, nodes, bits).withColumns({c: F.col(c).cast(kinds[c]) for c in (low, high)})
+
+
+def _at_nodes(points: DataFrame, at: str, nodes: DataFrame, bits: int) -> DataFrame:
+    """``points`` joined with the rows of all blocks that hold them; ``nodes`` is a written table."""
     levels = sorted(r[0] for r in nodes.select("__level").distinct().collect())  # 62 / bits numbers at most
     level = F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("__level")
     held = points.select("*", level).withColumn("__node", F.expr(f"shiftright(cast(`{at}` AS bigint), {bits} * __level)"))
-    kinds = {f.name: f.dataType for f in ranges.schema}
-    joined = held.join(skew.broadcast_if_small(nodes), ["__level", "__node"]).drop("__level", "__node")
-    return joined.withColumns({c: F.col(c).cast(kinds[c]) for c in (low, high)})
+    return held.join(skew.broadcast_if_small(nodes), ["__level", "__node"]).drop("__level", "__node")
+
+
+def _merged_in_range(
+    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, bits: int, merged: Merged
+) -> DataFrame:
+    """``in_range`` with aggregates: these change only where a range begins or ends.
+
+    The integers are cut into stretches of ``2 ** STRETCH``, and those that hold points at the ends of ranges into
+    steps. Ranges are merged per aligned block, and blocks per step, so that a point meets the few steps of its stretch
+    and moves once.
+    """
+    ends = ranges.select(F.col(low).cast("bigint").alias("__low"), F.col(high).cast("bigint").alias("__high"), *[v.alias(n) for n, (v, _) in merged.items()])
+    merge = [function(name).alias(name) for name, (_, function) in merged.items()]
+    nodes = range_nodes(ends, "__low", "__high", bits).groupBy("__level", "__node").agg(*merge)
+    nodes = materialise(nodes, "range-nodes")
+    stretch = F.shiftright(F.col(at).cast("bigint"), STRETCH)
+    held = points.withColumn("__stretch", stretch)
+    taken = materialise(held.select("__stretch").filter(F.col("__stretch").isNotNull()).distinct(), "stretches")
+    edges = ends.filter("__low < __high").select(F.explode(F.array("__low", "__high")).alias("__from")).distinct()
+    edges = edges.withColumn("__stretch", F.shiftright("__from", STRETCH)).join(taken, "__stretch", "left_semi")
+    starts = taken.select(F.shiftleft("__stretch", STRETCH).alias("__from"), "__stretch")
+    end = F.lead("__from").over(Window.partitionBy("__stretch").orderBy("__from"))  # 2 ** STRETCH rows at most
+    steps = starts.unionByName(edges).distinct().withColumn(
+        "__to", F.coalesce(end, F.shiftleft(F.col("__stretch") + 1, STRETCH))
+    )
+    found = _at_nodes(steps, "__from", nodes, bits).groupBy("__stretch", "__from", "__to").agg(*merge)
+    found = skew.broadcast_if_small(materialise(found, "steps"))
+    within = (F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to"))
+    return held.join(found, "__stretch").filter(within).select(*points.columns, *merged)

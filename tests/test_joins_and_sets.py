@@ -98,6 +98,24 @@ def test_ranges_of_very_different_length(spark, rows, bits):
     assert nodes <= 2 * (2**bits - 1) * (62 // bits + 1)
 
 
+def test_merged_ranges_make_no_pairs(spark, rows):
+    """A point comes once, whatever the number of ranges around it, with what all of them add up to."""
+    rng = random.Random(5)
+    lows = [rng.randint(-500, 500) for _ in range(300)]
+    spans = [(low, low + rng.choice([-1, 0, 1, 5, 64, 100, 10**9]), k) for k, low in enumerate(lows)] + [(None, 5, 1), (5, None, 2)]
+    values = [rng.randint(-600, 1500) for _ in range(400)] + [None, 10**9, -(10**9), 0, 63, 64, 64]
+    points = spark.createDataFrame([(v,) for v in values], "at int")
+    ranges = spark.createDataFrame(spans, "low long, high long, k long")
+    merged = {"n": (F.lit(1), F.sum), "most": (F.col("k"), F.max), "first": (F.col("low"), F.min)}
+    whole = [s for s in spans if None not in s]
+    around = [(v, [s for s in whole if s[0] <= v < s[1]]) for v in values if v is not None]
+    want = sorted((v, len(a), max(k for *_, k in a), min(low for low, *_ in a)) for v, a in around if a)
+    assert sum(len(a) for _, a in around) > 20 * len(want)
+    for bits in (1, 2, 4):
+        assert rows(joins.in_range(points, "at", ranges, "low", "high", bits, merged)) == want
+    assert joins.in_range(points, "at", ranges.limit(0), "low", "high", merged=merged).count() == 0
+
+
 def test_subquery_is_computed_once(spark):
     values = joins.distinct_values(spark.range(20).select((F.col("id") % 7).alias("v")))
     left = spark.range(50).toDF("a")
