@@ -14,6 +14,7 @@ from millrace.operators import placing
 
 ROWS_PER_BUCKET = 8_000_000
 MOST_BUCKETS = 65_536  # within spark.sql.sources.bucketing.maxBuckets
+OPEN_FILES = 200  # of one task
 
 PartitionSpec = Mapping[str, Any]  # column -> value, or None for "any value"
 
@@ -210,6 +211,16 @@ def multi_insert(source: DataFrame, branches: Mapping[str, Branch], root: str) -
 
 
 def write_batches(df: DataFrame, path: str, batches: int) -> None:
-    """The same rows as CSV ``batches`` times, one job and one folder per batch."""
+    """The same rows as CSV ``batches`` times, one job and one folder per batch.
+
+    A task keeps a file open for each batch and writes rows as they come. They are not sorted by batch, so a task's
+    memory does not grow with its rows; beyond ``OPEN_FILES`` batches Spark sorts the rows of those that are left.
+    """
     numbers = F.explode(F.sequence(F.lit(1), F.lit(batches)))
-    df.withColumn("batch", numbers).write.mode("error").partitionBy("batch").csv(path)
+    conf, setting = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(setting)
+    conf.set(setting, str(min(batches, OPEN_FILES)))
+    try:
+        df.withColumn("batch", numbers).write.mode("error").partitionBy("batch").csv(path)
+    finally:
+        conf.set(setting, before)

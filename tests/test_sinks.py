@@ -3,6 +3,7 @@ import re
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +171,25 @@ def test_batches(spark, rows):
         sinks.write_batches(students, path, 10)
 
 
+def test_batches_are_not_sorted(spark, monkeypatch):
+    """A task writes to all batches at once, be there one or several files of it, and the session stays as it was."""
+    setting, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, csv = spark.conf.get(setting), DataFrameWriter.csv
+
+    def recorded(writer, path):
+        seen.append(int(spark.conf.get(setting)))
+        csv(writer, path)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", recorded)
+    for batches, files in ((10, 200), (7, 3)):
+        monkeypatch.setattr(sinks, "OPEN_FILES", files)
+        path = workdir.fresh_path(spark, "batches")
+        sinks.write_batches(spark.range(500, numPartitions=3), path, batches)
+        back = spark.read.schema("id bigint, batch int").csv(path)
+        assert back.distinct().count() == back.count() == 500 * batches
+        assert seen.pop() == min(batches, files) and spark.conf.get(setting) == before
+
+
 NASTY = ["", "plain", "a|b", "back\\slash", "\\", "\\|", "line\nbreak", "c,d:e", "\\N", "ü|\\\\|"]
 
 
