@@ -19,23 +19,29 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _VOWELS = np.isin(np.arange(256), list(b"aeiouAEIOU"))
+VOWEL_BYTES = 1 << 20
 
 
 @F.arrow_udf(T.LongType())
 def vowel_count(text: pa.Array) -> pa.Array:
     """Number of unaccented Latin vowels in each text.
 
-    Works on the bytes of a whole batch: these letters are single bytes in UTF-8
-    and never part of another character.
+    Works on the bytes of a batch, ``VOWEL_BYTES`` at a time whatever the batch holds or a text is long: these
+    letters are single bytes in UTF-8 and never part of another character.
     """
-    texts = pc.fill_null(text.cast(pa.large_string()), "")
-    start, stop = texts.offset, texts.offset + len(texts) + 1
+    texts = text.cast(pa.large_string())
     _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[start:stop]
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     bytes_ = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    upto = np.concatenate([[0], np.cumsum(_VOWELS[bytes_[ends[0] : ends[-1]]])])
-    counts = upto[ends[1:] - ends[0]] - upto[ends[:-1] - ends[0]]
-    return pa.array(counts, pa.int64(), mask=text.is_null().to_numpy(zero_copy_only=False))
+    upto = np.zeros(len(ends), np.int64)  # vowels before each text's first byte, and before the end
+    before, first = 0, 0
+    for start in range(int(ends[0]), int(ends[-1]), VOWEL_BYTES):
+        counts = np.cumsum(_VOWELS[bytes_[start : min(start + VOWEL_BYTES, ends[-1])]], dtype=np.int32)
+        last = int(np.searchsorted(ends, start + len(counts), side="right"))
+        place = ends[first:last] - start  # from 0, where nothing of this piece is before a text
+        upto[first:last] = before + np.where(place > 0, counts[place - 1], 0)
+        before, first = before + int(counts[-1]), last
+    return pa.array(np.diff(upto), pa.int64(), mask=text.is_null().to_numpy(zero_copy_only=False))
 
 
 @F.pandas_udf(T.DoubleType())

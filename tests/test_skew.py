@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +180,25 @@ def test_reduce_script_merges_batches(spark, lopsided, rows):
     assert found == rows(want)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 1 << 20])
+def test_vowels_across_pieces(monkeypatch, piece):
+    monkeypatch.setattr(user_defined, "VOWEL_BYTES", piece)
+    texts = ["", "Aeiou xyz\nb", None, "", "äé" * 5 + "o", "u", None, "xx", ""]
+    for column in (pa.array(texts), pa.array(["aa", *texts, "ee"]).slice(1, len(texts)), pa.array(texts[:0], pa.string()), pa.array([None], pa.string())):
+        want = [t if t is None else sum(c in "aeiouAEIOU" for c in t) for t in column.to_pylist()]
+        assert user_defined.vowel_count.func(column).to_pylist() == want
+
+
+def test_vowels_need_little_memory():
+    """The largest batch Spark sends, and one text as long: no work array as long as its bytes."""
+    for column in (pa.array(["wording " * 500] * 8000), pa.array(["wording " * 4_000_000])):
+        tracemalloc.start()
+        found = user_defined.vowel_count.func(column)
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert pc.sum(found).as_py() == 2 * len(column) * len(column[0].as_py()) // 8 and most < 16_000_000
+
+
 def test_vowels_and_lines(spark):
     df = spark.createDataFrame([("Aeiou xyz\nb",), ("",), (None,)], "text string")
     counted = df.select(user_defined.vowel_count("text").alias("n")).collect()
