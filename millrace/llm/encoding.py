@@ -31,6 +31,7 @@ _TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 # Pieces and ids a worker remembers before it starts afresh; a bound on memory only.
 REMEMBERED_PIECES = 800_000
 REMEMBERED_IDS = 8_000_000
+CUT_CHARACTERS = 1 << 19  # of the texts whose pieces are held at once
 
 
 def _byte_letters() -> dict[int, int]:
@@ -140,7 +141,16 @@ class Encoder:
 
     def __call__(self, texts: list[str]):
         """Ids of all texts in a row and each text's number of ids; with offsets, also where each
-        token begins and ends in its text, in code points."""
+        token begins and ends in its text, in code points.
+
+        Texts of about ``CUT_CHARACTERS`` are cut at a time: their pieces, many times their size, are gone before
+        the next ones are made."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        last = np.flatnonzero(np.diff(ends // CUT_CHARACTERS)) + 1
+        parts = [self._encoded(texts[a:b]) for a, b in zip([0, *last.tolist()], [*last.tolist(), len(texts)], strict=True)]
+        return tuple(map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+
+    def _encoded(self, texts: list[str]):
         if len(self.known) > REMEMBERED_PIECES or self.ids.used > REMEMBERED_IDS:
             self._forget()
         whole = [

@@ -48,6 +48,24 @@ def test_forgetting_changes_nothing(whole, monkeypatch):
         assert encoder([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("at_once", [1, 5, 40])
+def test_pieces_of_few_texts_are_held(monkeypatch, at_once):
+    """However many texts a batch has, those that are cut together are few, and the results are those of one go."""
+    texts = ["", "a b c d", "hello world " * 9, "", *(t or "" for _, t in TEXTS), *ADDED, ""]
+    for offsets in (False, True):
+        want = encoding.Encoder(encoding.default_vocabulary(), offsets)(texts)
+        monkeypatch.setattr(encoding, "CUT_CHARACTERS", at_once)
+        encoder, held = encoding.Encoder(encoding.default_vocabulary(), offsets), []
+        encoded = encoder._encoded
+        monkeypatch.setattr(encoder, "_encoded", lambda part, encoded=encoded, held=held: held.append(part) or encoded(part))
+        found = encoder(texts)
+        monkeypatch.undo()
+        assert [t for part in held for t in part] == texts and len(held) > 1
+        assert all(sum(map(len, part[1:])) <= at_once for part in held)
+        assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(found, want, strict=True))
+        assert [x.tolist() for x in encoder([])] == [[] for _ in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.data())
 def test_images_round_trip(bits, data):
