@@ -18,6 +18,8 @@ from millrace.llm import decontamination, mixing, quality, simhash, token_files
 from millrace.llm.frames import fresh, prepared, written
 from millrace.sources.tables import Tables
 
+REMEMBERED_PIECES = 200_000  # less than the encoder's own: the workers stay for the other stages
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -56,7 +58,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The index of the bit-packed token files, read back from them."""
     prepared(spark)
-    return token_files.document_index(token_files.write_tokens(docs))
+    return token_files.document_index(token_files.write_tokens(docs, remembered=REMEMBERED_PIECES))
 
 
 STAGES = [

@@ -98,8 +98,8 @@ class _Known(dict):
 class Encoder:
     """Encodes lists of texts; with ``offsets`` also tells where each token stands."""
 
-    def __init__(self, path: str, offsets: bool = False):
-        self.tokenizer, self.offsets = load(path), offsets
+    def __init__(self, path: str, offsets: bool = False, remembered: int | None = None):
+        self.tokenizer, self.offsets, self.remembered = load(path), offsets, remembered
         self.cut, self.model = _can_cut(self.tokenizer), self.tokenizer.model
         self.added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         self._forget()
@@ -151,7 +151,7 @@ class Encoder:
         return tuple(map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
 
     def _encoded(self, texts: list[str]):
-        if len(self.known) > REMEMBERED_PIECES or self.ids.used > REMEMBERED_IDS:
+        if len(self.known) > (self.remembered or REMEMBERED_PIECES) or self.ids.used > REMEMBERED_IDS:
             self._forget()
         whole = [
             not self.cut or not t.isascii() and _OTHER_SPACE.search(t) is not None or self._has_added(t) for t in texts
@@ -178,8 +178,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, offsets: bool = False) -> Encoder:
+def encoder(path: str, offsets: bool = False, remembered: int | None = None) -> Encoder:
     """This worker's encoder: what it remembers serves its later tasks too."""
-    if (path, offsets) not in _encoders:
-        _encoders[path, offsets] = Encoder(path, offsets)
-    return _encoders[path, offsets]
+    key = path, offsets, remembered
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -44,9 +44,9 @@ def with_end(ids: np.ndarray, n_ids: np.ndarray, end_id: int) -> np.ndarray:
     return np.insert(ids, np.cumsum(n_ids), end_id)
 
 
-def _encode(vocabulary: str, end_id: int, bits: int):
+def _encode(vocabulary: str, end_id: int, bits: int, remembered: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = encoder_of(vocabulary), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(vocabulary, remembered=remembered), TaskContext.get().partitionId()
         image, docs, counts, parts, held = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -76,9 +76,12 @@ def _encode(vocabulary: str, end_id: int, bits: int):
 
 
 def write_tokens(
-    docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 2
+    docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 2, remembered: int | None = None
 ) -> DataFrame:
-    """Encode ``doc_id, text`` and write the images; the written table, see the module."""
+    """Encode ``doc_id, text`` and write the images; the written table, see the module.
+
+    ``remembered`` bounds the pieces of texts whose ids a worker remembers, and so its memory, at the cost of time.
+    """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     path = path or workdir.fresh_path(spark, "tokens")
@@ -91,7 +94,7 @@ def write_tokens(
         .select("doc_id", "text")
     )
     # Packed ids do not compress, so nothing is spent on trying.
-    ordered.mapInArrow(_encode(vocabulary, end_id, bits), IMAGES).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_encode(vocabulary, end_id, bits, remembered), IMAGES).write.option("compression", "none").parquet(path)
     return read_tokens(spark, path)
 
 

@@ -48,6 +48,14 @@ def test_forgetting_changes_nothing(whole, monkeypatch):
         assert encoder([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_a_caller_may_bound_what_is_remembered(whole):
+    encoder = encoding.encoder(encoding.default_vocabulary(), remembered=3)
+    for text in ("a b c d e f", "g h a b", "", "a b c"):
+        assert encoder([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 3 + 6
+    assert encoding.encoder(encoding.default_vocabulary()) is not encoder
+
+
 @pytest.mark.parametrize("at_once", [1, 5, 40])
 def test_pieces_of_few_texts_are_held(monkeypatch, at_once):
     """However many texts a batch has, those that are cut together are few, and the results are those of one go."""
